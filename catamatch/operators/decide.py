@@ -338,3 +338,15 @@ def promote_group(df: DataFrame) -> DataFrame:
     return df.withColumn("note", F.when(lifted, F.concat(F.lit("accessory of "), grp, F.lit(": "), "note"))
                          .otherwise(F.col("note"))).withColumn(
         "conf", F.when(lifted, rules.NEARLY).otherwise(F.col("conf")))
+
+
+def check_answers(df: DataFrame, answer: str, catalogue: DataFrame) -> DataFrame:
+    """Accepts an outside answer ``code,HIGH|LOW`` only if the catalogue has the code."""
+    pattern = r"(?i)^\s*(\d+|none)\s*,?\s*(HIGH|LOW)?"
+    asked = df.withColumns({"code": F.regexp_extract(answer, pattern, 1),
+                            "_sure": F.upper(F.regexp_extract(answer, pattern, 2)) == "HIGH"})
+    found = lookup.lookup(asked, catalogue.withColumn("_hit", F.lit(True)), "code")
+    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    return found.withColumns({
+        "code": F.when(hit, F.col("code")).otherwise(""), "name": F.when(hit, F.col("name")).otherwise(""),
+        "conf": F.when(hit & F.col("_sure"), rules.NEARLY).otherwise(rules.CHECK)}).drop("_hit", "_sure")
