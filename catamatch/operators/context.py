@@ -74,43 +74,43 @@ def loads_per_parent(details: DataFrame, max_chars: int = MAX_CELL_CHARS) -> Dat
             .withColumnRenamed("parent_idx", "item_idx"))
 
 
-def carry_meter(df: DataFrame, names: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Meters that follow a multi-meter in the document take its code and become doubtful.
-
-    df needs form, code, conf, note; names is (code, official).
-    """
-    df = df.join(names, "code", "left")
-    source = F.col("code").startswith(rules.METER_SOURCE_PREFIX) & F.coalesce(
-        F.col("official").contains(rules.METER_SOURCE_NAME), F.lit(False))
-    df = df.withColumn("_src", source)
-    carried = F.when(F.col("_src"), F.struct("code", "official"))
-    df = last_before(df, ["doc_id"], ["panel_idx", "item_idx"], carried, "_m", chunk_rows)
-    taken = (~F.col("_src") & F.col("_m").isNotNull() & ~F.col("form").rlike(rules.METER_GUARD)
+def with_code_facts(settled: DataFrame, cats: DataFrame) -> DataFrame:
+    """Adds what the context rules need to know about a code, once per distinct decision:
+    official (its name), is_meter (a multi-meter) and built_in (a relay with its detector)."""
+    facts = cats.select("code", F.col("name").alias("official"), "spec")
+    df = settled.join(facts, "code", "left")
+    name, spec = F.coalesce("official", F.lit("")), F.coalesce("spec", F.lit(""))
+    built_in = t.contains_any(F.concat(name, spec), rules.ABSORBING_WORDS) | name.contains(rules.ABSORBING_NAME)
+    meter = F.col("code").startswith(rules.METER_SOURCE_PREFIX) & name.contains(rules.METER_SOURCE_NAME)
+    return df.withColumns({"is_meter": meter, "built_in": (F.col("code") != "") & built_in}).drop("spec")
+
+
+def carry_meter(df: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Meters that follow a multi-meter in the document take its code and become doubtful."""
+    facts = ["code", "official", "built_in"]
+    df = last_before(df, ["doc_id"], ["panel_idx", "item_idx"],
+                     F.when(F.col("is_meter"), F.struct(*facts)), "_m", chunk_rows)
+    taken = (~F.col("is_meter") & F.col("_m").isNotNull() & ~F.col("form").rlike(rules.METER_GUARD)
              & (F.col("code").isin(rules.METER_CODES) | F.col("form").rlike(rules.METER_TEXT)))
     df = df.withColumn("carried", taken)
-    return (df.withColumn("conf", F.when(F.col("carried") | F.col("_src"), rules.CHECK).otherwise(F.col("conf")))
-            .withColumn("note", F.when(F.col("carried"), "same type as the multi-meter above, check the type")
-                        .when(F.col("_src"), "multi-meter, check the type").otherwise(F.col("note")))
-            .withColumn("code", F.when(F.col("carried"), F.col("_m.code")).otherwise(F.col("code")))
-            .withColumn("official", F.when(F.col("carried"), F.col("_m.official")).otherwise(F.col("official")))
-            .drop("_m", "_src"))
+    gone = F.col("carried")
+    return df.withColumns({
+        "conf": F.when(gone | F.col("is_meter"), rules.CHECK).otherwise(F.col("conf")),
+        "note": F.when(gone, "same type as the multi-meter above, check the type")
+        .when(F.col("is_meter"), "multi-meter, check the type").otherwise(F.col("note")),
+        **{c: F.when(gone, F.col(f"_m.{c}")).otherwise(F.col(c)) for c in facts}}).drop("_m", "is_meter")
 
 
-def absorb_detectors(df: DataFrame, specs: DataFrame) -> DataFrame:
+def absorb_detectors(df: DataFrame) -> DataFrame:
     """Stand-alone detectors are not counted where their panel has a relay that contains one.
 
-    specs is (code, spec); the panel flag is a combined aggregate, not a window.
+    The panel flag is a combined aggregate, not a window over the panel.
     """
-    df = df.join(specs, "code", "left")
-    text = F.concat(F.coalesce("official", F.lit("")), F.coalesce("spec", F.lit("")))
-    built_in = (F.col("code") != "") & (t.contains_any(text, rules.ABSORBING_WORDS)
-                                        | F.coalesce(F.col("official").contains(rules.ABSORBING_NAME), F.lit(False)))
-    panels = df.where(built_in).select(*PANEL).distinct().withColumn("_abs", F.lit(True))
+    panels = df.where("built_in").select(*PANEL).distinct().withColumn("_abs", F.lit(True))
     lone = F.col("form").rlike(rules.STANDALONE_DETECTOR) & ~F.col("form").rlike(rules.STANDALONE_GUARD)
     df = df.join(panels, PANEL, "left").withColumn("absorbed", F.coalesce(F.col("_abs") & lone, F.lit(False)))
     gone = F.col("absorbed")
-    return (df.withColumn("code", F.when(gone, "").otherwise(F.col("code")))
-            .withColumn("official", F.when(gone, None).otherwise(F.col("official")))
-            .withColumn("conf", F.when(gone, rules.UNCOUNTED).otherwise(F.col("conf")))
-            .withColumn("note", F.when(gone, "contained in the relay of the panel").otherwise(F.col("note")))
-            .drop("_abs", "spec"))
+    return df.withColumns({
+        "code": F.when(gone, "").otherwise(F.col("code")), "official": F.when(gone, None).otherwise(F.col("official")),
+        "conf": F.when(gone, rules.UNCOUNTED).otherwise(F.col("conf")),
+        "note": F.when(gone, "contained in the relay of the panel").otherwise(F.col("note"))}).drop("_abs", "built_in")

@@ -10,8 +10,7 @@ from catamatch.functions import extract as x
 from catamatch.functions import text as t
 from catamatch.operators import lookup
 from catamatch.operators.stage import written
-from catamatch.operators.candidates import (SHOWN, candidates, catalogue_features, item_features,
-                                            residual)
+from catamatch.operators.candidates import SHOWN, candidates, item_features, residual
 
 CONTEXT = ["cname", "volt", "symbol", "kw", "grp", "panel_kind", "tb_control",
            "capacitor_panel", "after_main"]
@@ -273,14 +272,13 @@ def missing_attributes(part: str, text: str, required: bool, spec=None) -> Colum
     return F.expr(f"CASE {' '.join(cases)} ELSE CAST(array() AS array<string>) END")
 
 
-def evidence(contexts: DataFrame, catalogue: DataFrame) -> DataFrame:
+def evidence(contexts: DataFrame, cats: DataFrame) -> DataFrame:
     """Joins every distinct context with what the rules need: features, candidates, capacity fit."""
-    cats = written(catalogue_features(catalogue))
     feats = item_features(contexts)
     feats = feats.withColumn("_own", t.nfkc(F.col("cname")))
     feats = feats.withColumns({"cform": t.squeeze(F.col("_own")), "cspaced": t.compact(F.col("_own"))})
     feats = written(series_of_item(feats.drop("_own")))
-    best = candidates(feats, cats).alias("b")
+    best = written(candidates(feats, cats)).alias("b")
     f = feats.alias("f")
     on = None
     for col in ("part", "band", "form", "vals", "opts"):
@@ -299,9 +297,12 @@ def evidence(contexts: DataFrame, catalogue: DataFrame) -> DataFrame:
         "_top", "_volt", "_fold")
 
 
-def select_codes(contexts: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Settles every distinct context: rule, code, conf, note, candidates, parts, missing attributes."""
-    df = evidence(contexts, catalogue).withColumn("known", known_codes(catalogue))
+def select_codes(contexts: DataFrame, cats: DataFrame) -> DataFrame:
+    """Settles every distinct context: rule, code, conf, note, candidates, parts, missing attributes.
+
+    cats is the written table of ``catalogue_features``.
+    """
+    df = evidence(contexts, cats).withColumn("known", known_codes(cats))
     codes = F.col("known")
     df = with_motor_code(with_breaker_code(df, codes))
     by_symbol = F.coalesce(F.col("symbol"), F.lit("")) != ""

@@ -9,6 +9,7 @@ from catamatch import rules
 from catamatch.functions import extract as x
 from catamatch.functions import text as t
 from catamatch.operators import context as ctx
+from catamatch.operators.candidates import catalogue_features
 from catamatch.operators.stage import written
 from catamatch.operators.decide import CONTEXT, select_codes
 
@@ -35,18 +36,17 @@ def select_items(items: DataFrame, catalogue: DataFrame) -> DataFrame:
     items: doc_id, panel_idx, panel, item_idx and ITEM_FIELDS; catalogue: ord, code, name,
     volt, kind, spec with unique codes.  Equal contexts are settled once and joined back.
     """
-    marked = written(ctx.with_parent(ctx.mark_rows(items)))
+    marked = written(ctx.with_parent(written(ctx.mark_rows(items))))
     rows = contexts_of(marked)
-    settled = written(select_codes(rows.select(*CONTEXT).distinct(), catalogue))
-    df = written(rows.join(settled, CONTEXT))
-
-    official = catalogue.select("code", F.col("name").alias("official"))
-    df = ctx.carry_meter(df, official)
+    cats = written(catalogue_features(catalogue))
+    settled = select_codes(rows.select(*CONTEXT).distinct(), cats)
+    settled = written(ctx.with_code_facts(settled, cats))
+    df = ctx.carry_meter(written(rows.join(settled, CONTEXT)))
     unclear = F.coalesce("unclear", F.lit(False)) & (F.col("conf") != rules.CHECK)
-    df = df.withColumn("note", F.when(unclear, F.concat(F.lit("drawing hard to read: "), "note"))
-                       .otherwise(F.col("note"))).withColumn(
-        "conf", F.when(unclear, rules.CHECK).otherwise(F.col("conf")))
-    df = ctx.absorb_detectors(df, catalogue.select("code", "spec"))
+    df = df.withColumns({
+        "note": F.when(unclear, F.concat(F.lit("drawing hard to read: "), "note")).otherwise(F.col("note")),
+        "conf": F.when(unclear, rules.CHECK).otherwise(F.col("conf"))})
+    df = ctx.absorb_detectors(df)
 
     loads = ctx.loads_per_parent(ctx.detail_rows(marked))
     df = df.join(loads, ctx.KEY, "left")

@@ -151,7 +151,7 @@ SQL: dict[str, str] = {
             OR (ends_with(v, 'P') AND NOT regexp_matches(name, '[234]P'))
             OR (ends_with(v, 'V') AND len(list_filter(vals, lambda r: list_contains(tvals, r) AND ends_with(r, 'φ'))) > 0 AND len(list_filter(vals, lambda r: list_contains(tvals, r) AND ends_with(r, 'KVA'))) > 0)))), '|') AS missing FROM t""",
     "candidate_options": TEXTS + f""", o AS (SELECT f3.cname, f3.volt, c.cands, coalesce(c.cands[3], c.cands[1]) AS ch FROM {_LEFT.format('cands')})
-        SELECT cname, volt, array_to_string(list_concat([ch.code || '（' || ch.name || '）'], list_transform(list_filter(cands[1:5], lambda c: c.code <> ch.code), lambda c: c.code || '（' || c.name || '）')), '|') AS labels FROM o""",
+        SELECT cname, volt, CASE WHEN ch IS NULL THEN '' ELSE array_to_string(list_concat([ch.code || '（' || ch.name || '）'], list_transform(list_filter(cands[1:5], lambda c: c.code <> ch.code), lambda c: c.code || '（' || c.name || '）')), '|') END AS labels FROM o""",
     "first_match_in_ranked": TEXTS + f""", o AS (SELECT f3.cname, f3.volt, list_filter(c.cands, lambda c: contains(c.name, '標準') OR contains(c.name, '静止型'))[1] AS h FROM {_LEFT.format('cands')})
         SELECT cname, volt, h.rn AS rn, h.code AS code FROM o""",
     "decision_list": P + " SELECT doc_id, panel_idx, item_idx, qty, part, rule, code, conf, carried, gone AS absorbed FROM graded",

@@ -380,7 +380,8 @@ def recipe_expand(s, d):
 @query
 def group_promotion(s, d):
     rows = contexts_of(written(ctx.with_parent(ctx.mark_rows(_items(s, d)))))
-    settled = decide.select_codes(rows.where("grp <> ''").select(*decide.CONTEXT).distinct(), _cat(s, d))
+    settled = decide.select_codes(rows.where("grp <> ''").select(*decide.CONTEXT).distinct(),
+                                  written(cd.catalogue_features(_cat(s, d))))
     return settled.select("cname", "volt", "symbol", "kw", "grp", "panel_kind", "tb_control", "capacitor_panel",
                           "after_main", "rule", "code", "conf")
 

@@ -33,7 +33,7 @@ _ITEM_TEXTS = [
     f"'LBS 7.2kV ' || {pick('200,400', 'u')} || 'A PF' || {pick('30,40', div('u', 2))} || 'A'",
     f"'CT ' || {pick('10,15,30,40,60,75,100,150,200,250,300,400', 'u')} || '/5A'",
     f"'端子台 ' || {pick('50,100,150,225,400,600', 'u')} || 'A'",
-    f"'TR ' || {pick('1φ,3φ', 'u')} || ' ' || {pick('10,20,30,50,75,100,150,200,300,500,750', div('u', 2))} || 'kVA 6600/210V'",
+    f"'TR ' || {pick('1φ,3φ', 'u')} || ' ' || {pick('10,20,30,50,75,100,150,200,300,500,750', div('u', 2))} || 'kVA ' || {pick('6.6kV/210V,6600/210V,6600V,', div('u', 22))}",
     f"'SC 7.2kV ' || {pick('10.6,25,50,75,100,200', 'u')} || 'kvar(SC×3)'",
     f"'SR ' || {pick('1.6,3.19,6.38,12.8', 'u')} || 'kvar' || {pick(' L=6%, 200V, 234V', div('u', 4))}",
     f"'LGR' || {pick(', 2段警報, 0.2A', 'u')}",
