@@ -12,7 +12,8 @@ from catamatch.functions import text as t
 
 # --- fixed values: patterns of the item grammar ------------------------------------------
 _TIMES = r"[xX×]\s*(\d{1,3})(?![\p{L}\p{N}_])"
-_AFTER_POWER = r"(?<!(?i:kw|kva|kvar|kvr)\s{0,64})"
+# looked at only in front of a multiplication mark
+_AFTER_POWER = r"(?=[xX×])(?<!(?i:kw|kva|kvar|kvr)\s{0,64})"
 _DS_TOKEN = r"(?i)(?<![a-z])ds(?![a-z])"
 _BRACKET = r"[（(]([^（）()]*)[）)]"
 _THREE = r"[xX×]\s*3(?![\p{L}\p{N}_])"

@@ -65,7 +65,7 @@ def options_in_names(options: DataFrame, names: DataFrame) -> DataFrame:
     Both sides meet on the option's first characters against the grams of the name, then the
     full containment is checked, so options are never compared with every name.
     """
-    n = 4
+    n = 6
     size = F.length("form")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
                         lambda i: F.array(*[F.substring(F.col("form"), i, F.lit(g)) for g in range(1, n + 1)]))

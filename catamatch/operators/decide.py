@@ -286,7 +286,7 @@ def evidence(contexts: DataFrame, cats: DataFrame) -> DataFrame:
         on = eq if on is None else on & eq
     df = f.join(best, on, "left").select("f.*", "b.cands")
     df = df.withColumn("want", F.col("kva").cast("double"))
-    fit = lookup.nearest_above_window(df.where("series is not null").select("series", "want"),
+    fit = lookup.nearest_above(df.where("series is not null").select("series", "want"),
                                capacity_ladder(cats), ["series"], "want", "cap", "code")
     df = df.join(fit.withColumnRenamed("top", "top_cap"), ["series", "want"], "left")
     top = F.get("cands", 0)

@@ -88,18 +88,18 @@ def nearest_above(wants: DataFrame, ladder: DataFrame, keys: list[str], want: st
     steps = _ladder(ladder, keys, cap, code)
     sizes = steps.groupBy(*keys).agg(F.count("*").alias("_n"))
     asked = wants.select(*keys, F.col(want).cast("double").alias(want)).distinct()
-    small = sizes.where(F.col("_n") <= packed_steps).select(*keys)
     long = sizes.where(F.col("_n") > packed_steps).select(*keys)
-    packed = steps.join(small, keys, "left_semi").groupBy(*keys).agg(
+    packed = steps.join(sizes.where(F.col("_n") <= packed_steps).select(*keys), keys, "left_semi").groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(F.col(cap).alias("c"), F.col(code).alias("k")))).alias("_steps"))
     fits = F.filter("_steps", lambda s: F.round(s["c"].cast("double"), 6) >= F.round(F.col(want), 6))
-    direct = asked.join(long, keys, "left_anti").join(packed, keys, "left").withColumn(
-        "_fit", F.get(fits, 0)).select(
+    direct = asked.join(packed, keys, "left").withColumn("_fit", F.get(fits, 0)).select(
         *keys, want, F.col("_fit.c").alias("fit"), F.col("_fit.k").alias("fit_code"),
         F.element_at("_steps", -1)["c"].alias("top"))
+    if long.isEmpty():
+        return direct
     windowed = nearest_above_window(asked.join(long, keys, "left_semi"),
                                     ladder.join(long, keys, "left_semi"), keys, want, cap, code)
-    return direct.unionByName(windowed)
+    return direct.join(long, keys, "left_anti").unionByName(windowed)
 
 
 def round_up(value: Column, steps) -> Column:

@@ -30,36 +30,47 @@ def contexts_of(marked: DataFrame) -> DataFrame:
     }).drop("_q", "panel_form")
 
 
-def select_items(items: DataFrame, catalogue: DataFrame) -> DataFrame:
+def select_items(items: DataFrame, catalogue: DataFrame, wide: bool = True) -> DataFrame:
     """Graded rows of all kept items.
 
     items: doc_id, panel_idx, panel, item_idx and ITEM_FIELDS; catalogue: ord, code, name,
     volt, kind, spec with unique codes.  Equal contexts are settled once and joined back.
+    Rows travel through the context rules with their short columns only; ``wide`` adds loads,
+    display, candidates, parts and missing attributes at the end.
     """
     marked = written(ctx.with_parent(written(ctx.mark_rows(items))))
     rows = contexts_of(marked)
     cats = written(catalogue_features(catalogue))
     settled = select_codes(rows.select(*CONTEXT).distinct(), cats)
-    settled = written(ctx.with_code_facts(settled, cats))
-    df = ctx.carry_meter(written(rows.join(settled, CONTEXT)))
+    settled = written(ctx.with_code_facts(settled, cats).withColumn(
+        "decision", F.md5(F.to_json(F.struct(*CONTEXT)))))
+    short = settled.select(*CONTEXT, "decision", "part", "rule", "code", "official", "conf", "note",
+                           "is_meter", "built_in")
+    df = rows.join(short, CONTEXT).select(
+        *ctx.KEY, "panel", "name", "form", "qty", "unclear", "decision", "part", "rule", "code", "official",
+        "conf", "note", "is_meter", "built_in")
+    df = ctx.carry_meter(written(df))
     unclear = F.coalesce("unclear", F.lit(False)) & (F.col("conf") != rules.CHECK)
     df = df.withColumns({
         "note": F.when(unclear, F.concat(F.lit("drawing hard to read: "), "note")).otherwise(F.col("note")),
         "conf": F.when(unclear, rules.CHECK).otherwise(F.col("conf"))})
-    df = ctx.absorb_detectors(df)
+    df = ctx.absorb_detectors(df).drop("form", "unclear")
+    return with_details(df, marked, settled) if wide else df.drop("decision")
 
+
+def with_details(df: DataFrame, marked: DataFrame, settled: DataFrame) -> DataFrame:
+    """Adds the long columns: loads and display of a row, candidates and parts of its decision."""
     loads = ctx.loads_per_parent(ctx.detail_rows(marked))
     df = df.join(loads, ctx.KEY, "left")
+    long = settled.select("decision", "candidates", "parts", "missing_attrs", "missing_opt")
+    df = df.join(long, "decision")
     feed = x.feed_number(F.col("name"))
-    dropped = F.col("carried")
-    return df.select(
-        *ctx.KEY, "panel", "name", "qty", "part", "rule", "code", "official", "conf", "note",
-        F.coalesce(feed, F.lit("")).alias("feed"), F.coalesce("loads", t.empty_strings()).alias("loads"),
-        F.coalesce("n_loads", F.lit(0)).alias("n_loads"),
-        x.display_text(F.col("name"), feed, F.coalesce("loads", t.empty_strings())).alias("display"),
-        F.when(~dropped, F.col("candidates")).alias("candidates"),
-        F.when(~dropped, F.col("parts")).alias("parts"),
-        "missing_attrs", "missing_opt", "carried", "absorbed")
+    kept = ~F.col("carried")
+    return df.withColumns({
+        "feed": F.coalesce(feed, F.lit("")), "loads": F.coalesce("loads", t.empty_strings()),
+        "n_loads": F.coalesce("n_loads", F.lit(0))}).withColumns({
+            "display": x.display_text(F.col("name"), feed, F.col("loads")),
+            "candidates": F.when(kept, F.col("candidates")), "parts": F.when(kept, F.col("parts"))}).drop("decision")
 
 
 def attached_details(items: DataFrame) -> DataFrame:

@@ -132,13 +132,13 @@ def ordered_text_assembly(s, d):
 
 @query
 def report_detail(s, d):
-    return report.detail(select_items(_items(s, d), _cat(s, d))).drop("note")
+    return report.detail(select_items(_items(s, d), _cat(s, d), wide=False)).drop("note")
 
 
 @query
 def report_summary(s, d):
     items = _items(s, d)
-    return report.summary_lines(report.summary(select_items(items, _cat(s, d))), attached_details(items))
+    return report.summary_lines(report.summary(select_items(items, _cat(s, d), wide=False)), attached_details(items))
 
 
 # --- expressions ---------------------------------------------------------------------------
@@ -204,7 +204,7 @@ def alias_classify(s, d):
 
 @query
 def display_compose(s, d):
-    marked = written(ctx.with_parent(ctx.mark_rows(_items(s, d))))
+    marked = written(ctx.with_parent(written(ctx.mark_rows(_items(s, d)))))
     loads = ctx.loads_per_parent(ctx.detail_rows(marked))
     df = marked.where("state = 'kept'").join(loads, ctx.KEY, "left")
     feed = x.feed_number(F.col("name"))
@@ -221,7 +221,7 @@ def exclude_patterns(s, d):
 
 @query
 def grade_filter(s, d):
-    return report.of_grade(select_items(_items(s, d), _cat(s, d)), rules.NEARLY).select("item_idx", "code", "conf")
+    return report.of_grade(select_items(_items(s, d), _cat(s, d), wide=False), rules.NEARLY).select("item_idx", "code", "conf")
 
 
 # --- joins ---------------------------------------------------------------------------------
@@ -379,7 +379,7 @@ def recipe_expand(s, d):
 
 @query
 def group_promotion(s, d):
-    rows = contexts_of(written(ctx.with_parent(ctx.mark_rows(_items(s, d)))))
+    rows = contexts_of(written(ctx.with_parent(written(ctx.mark_rows(_items(s, d))))))
     settled = decide.select_codes(rows.where("grp <> ''").select(*decide.CONTEXT).distinct(),
                                   written(cd.catalogue_features(_cat(s, d))))
     return settled.select("cname", "volt", "symbol", "kw", "grp", "panel_kind", "tb_control", "capacitor_panel",
@@ -444,13 +444,13 @@ def first_match_in_ranked(s, d):
 
 @query
 def decision_list(s, d):
-    return select_items(_items(s, d), _cat(s, d)).select(
+    return select_items(_items(s, d), _cat(s, d), wide=False).select(
         "doc_id", "panel_idx", "item_idx", "qty", "part", "rule", "code", "conf", "carried", "absorbed")
 
 
 @query
 def grade_summary(s, d):
-    return report.summary(select_items(_items(s, d), _cat(s, d)))
+    return report.summary(select_items(_items(s, d), _cat(s, d), wide=False))
 
 
 @query
