@@ -18,7 +18,7 @@ _CHUNK = "_chunk"
 
 
 def _chunked(df: DataFrame, order: list[str], chunk_rows: int) -> DataFrame:
-    return df.withColumn(_CHUNK, F.floor(F.col(order[-1]) / F.lit(chunk_rows)).cast("long"))
+    return df.withColumn(_CHUNK, F.expr(f"`{order[-1]}` div {chunk_rows}"))
 
 
 def _scan(df, group, order, summary, over_summaries, local, combine, out, chunk_rows):
@@ -29,7 +29,7 @@ def _scan(df, group, order, summary, over_summaries, local, combine, out, chunk_
     before = W.partitionBy(*group).orderBy(*order[:-1], _CHUNK)
     carried = sums.select(*within, over_summaries(F.col("_sum"), before).alias("_carry"))
     inside = W.partitionBy(*within).orderBy(order[-1])
-    joined = rows.join(carried, within)
+    joined = rows.join(carried, within, "left")
     return (joined.withColumn(out, combine(local(inside), F.col("_carry")))
             .drop(_CHUNK, "_carry"))
 
@@ -65,7 +65,7 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: Colu
         df, group, order, F.sum(value),
         lambda s, w: F.coalesce(F.sum(s).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
         lambda w: F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0)),
-        lambda own, carry: F.coalesce(own, F.lit(0)) + carry, out, chunk_rows)
+        lambda own, carry: F.coalesce(own, F.lit(0)) + F.coalesce(carry, F.lit(0)), out, chunk_rows)
 
 
 def row_numbers(df: DataFrame, group: list[str], order: list[str], out: str,

@@ -44,7 +44,7 @@ _FRAMES = f"""{_ITEMS}, n AS (SELECT item_idx, {op.norm('name')} AS form, {op.no
 a AS (SELECT item_idx, CASE WHEN {op.any_of('pform', ('制御', '動力'))} THEN 'control' WHEN {op.any_of('pform', ('分電', '電灯'))} THEN 'lighting'
   WHEN {op.any_of('pform', ('配電', '受電', '高圧'))} THEN 'receiving' ELSE 'lighting' END AS kind, CAST({_AFX} AS BIGINT) AS af, CAST({_ATX} AS BIGINT) AS att,
   coalesce({op.grab('form', r'(\d)p')}, '3') AS pole, contains(form, 'elb') AS elb FROM n WHERE {_AFX} IS NOT NULL),
-b AS (SELECT *, {_FRAME} AS frame FROM a)"""
+b AS MATERIALIZED (SELECT *, {_FRAME} AS frame FROM a)"""
 
 
 def _branch(base: str) -> str:
@@ -119,7 +119,7 @@ SQL: dict[str, str] = {
         CAST({_FRAME} AS BIGINT) AS frame, count(*) AS n FROM (SELECT l_quantity, CAST(floor(l_extendedprice / 30) AS BIGINT) AS af, CAST(l_quantity * 10 AS BIGINT) AS att FROM lineitem) GROUP BY ALL""",
     "bucket_range_join": f"SELECT CASE {_SPLIT_PRICE} END AS label, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY ALL",
     "decision_table_join": _FRAMES + f" SELECT item_idx, kind, frame, {op.mapping(op._MAINS, 'kind || chr(124) || CAST(frame AS VARCHAR)')} AS code FROM b",
-    "first_existing_key": _FRAMES + f""", cat AS ({views.CATALOGUE.format(part='part')}), tried AS (SELECT DISTINCT kind, frame, pole, elb,
+    "first_existing_key": _FRAMES + f""", cat AS MATERIALIZED ({views.CATALOGUE.format(part='part')}), tried AS MATERIALIZED (SELECT DISTINCT kind, frame, pole, elb,
           unnest(CASE WHEN kind = 'control' THEN [{', '.join(f"{{'p': {i}, 'c': {_branch(x)}}}" for i, x in enumerate(('50', '40', '60')))}]
             ELSE [{', '.join(f"{{'p': {i}, 'c': {_branch(x)}}}" for i, x in enumerate(('40', '60', '50')))}] END) AS k FROM b),
         found AS (SELECT t.kind, t.frame, t.pole, t.elb, arg_min(t.k.c, t.k.p) AS code FROM tried t JOIN cat ON cat.code = t.k.c GROUP BY ALL)

@@ -323,7 +323,7 @@ def decision_table_join(s, d):
 @query
 def first_existing_key(s, d):
     # a handful of attribute values decides the key, so each combination is tried once
-    df = _frames(s, d)
+    df = written(_frames(s, d))
     ids = ["kind", "frame", "pole", "elb"]
     tried = df.select(*ids).distinct().withColumn("keys", decide.branch_codes(
         F.col("kind"), F.col("frame"), F.col("pole"), F.col("elb")))
