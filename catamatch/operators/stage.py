@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _local_master(spark: SparkSession) -> bool:
+    """True only for local and local[...]; local-cluster has executors of its own."""
+    return re.match(r"local(\[|$)", spark.conf.get("spark.master", "")) is not None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's folder in spark.checkpoint.dir; a temporary one only in local mode without it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not _local_master(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="catamatch-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir() or folder
+        folder = "file://" + tempfile.mkdtemp(prefix="catamatch-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
