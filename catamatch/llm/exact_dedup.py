@@ -24,7 +24,7 @@ from catamatch.llm import mph
 from catamatch.llm.common import BLANKS, pieces_of, same, texts
 from catamatch.operators.stage import written
 
-SHARD = 50_000
+SHARD = 2048
 _WON = "digest binary, n bigint, chars bigint, inverse bigint"
 
 

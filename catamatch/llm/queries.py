@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catamatch.llm import exact_dedup
+from catamatch.llm import exact_dedup, line_dedup, packing, pii, url_filter
 from catamatch.llm.common import table
 
 _WS = r"[\x20\x09-\x0D]"
@@ -16,7 +16,33 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), first)
 
 
-REGISTRY = {f.__name__: f for f in (op1_exact_dedup,)}
+def op2_personal_data(spark, sf_dir):
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.BASE], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op4_pack(spark, sf_dir):
+    import public_tokenizers
+
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+def op6_url_filter(spark, sf_dir):
+    """A page is bad where the label of its id says so (low quality or toxic)."""
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), F.greatest(1 - F.col("quality"), F.col("toxic")).alias("bad"))
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), labels)
+
+
+def op7_line_dedup(spark, sf_dir):
+    cut = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+REGISTRY = {f.__name__: f for f in (op1_exact_dedup, op2_personal_data, op4_pack, op6_url_filter, op7_line_dedup)}
+
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL = {
     "op1_exact_dedup": rf"""
@@ -25,4 +51,45 @@ SQL = {
         g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY h ORDER BY len DESC, doc_id) AS keep_id,
                      count(*) OVER (PARTITION BY h) AS group_size FROM n)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM g""",
+    "op6_url_filter": f"""
+        WITH u AS (SELECT page_id,
+            translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), '{_UP}', '{_LOW}') AS host,
+            coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+        o AS (SELECT doc_id, max(greatest(1 - quality, toxic)) AS bad FROM labels GROUP BY doc_id),
+        h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad,
+                     array_to_string(string_split(host, '.')[-1:], '.') AS suffix,
+                     array_to_string(string_split(host, '.')[-2:], '.') AS domain
+              FROM u LEFT JOIN o ON page_id = doc_id GROUP BY host),
+        d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
+        s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
+        units AS (SELECT 'h' AS level, n, bad FROM h UNION ALL SELECT 'd', n, bad FROM d UNION ALL SELECT 's', n, bad FROM s),
+        sums AS (SELECT level, count(*) AS k, sum(n) AS n, sum(n * n) AS n2, sum(bad) / sum(n) AS p,
+                        sum(bad * bad / n) AS b2 FROM units WHERE n > 0 GROUP BY level),
+        m AS (SELECT level, CASE WHEN k < 2 OR p * (1 - p) = 0 THEN 10 ELSE 1 / least(greatest(
+                  (b2 - n * p * p - (k - 1) * p * (1 - p)) / ((n - n2 / n - (k - 1)) * p * (1 - p)), 0.001), 0.999) - 1 END AS m
+              FROM sums),
+        ps AS (SELECT suffix, (bad + (SELECT m FROM m WHERE level = 's') * (SELECT p FROM sums WHERE level = 's'))
+                              / (n + (SELECT m FROM m WHERE level = 's')) AS p FROM s),
+        pd AS (SELECT d.suffix, domain, (bad + (SELECT m FROM m WHERE level = 'd') * p) / (n + (SELECT m FROM m WHERE level = 'd')) AS p
+               FROM d JOIN ps USING (suffix)),
+        ab AS (SELECT host, bad + (SELECT m FROM m WHERE level = 'h') * p AS a,
+                      n - bad + (SELECT m FROM m WHERE level = 'h') * (1 - p) AS b FROM h JOIN pd USING (suffix, domain)),
+        r AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 AS poor FROM ab),
+        f AS (SELECT u.*, poor, CASE
+                WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+              FROM u JOIN r USING (host))
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+               WHEN poor THEN 'block' ELSE 'allow' END AS verdict FROM f""",
+    "op7_line_dedup": rf"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+        k AS (SELECT *, translate(regexp_replace(line, '^{_WS}+|{_WS}+$', '', 'g'), '{_UP}', '{_LOW}') AS key FROM l),
+        c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        d AS (SELECT k.*, last IS NOT NULL AND last <> doc_id AS gone FROM k LEFT JOIN c USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM d GROUP BY doc_id""",
 }
