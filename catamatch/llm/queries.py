@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catamatch.llm import exact_dedup, line_dedup, packing, pii, url_filter
+from catamatch.llm import (exact_dedup, fingerprints, language, line_dedup, mixing, near_dedup, packing, pii,
+                           substring_dedup, url_filter)
 from catamatch.llm.common import table
 
 _WS = r"[\x20\x09-\x0D]"
@@ -40,7 +41,30 @@ def op7_line_dedup(spark, sf_dir):
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_exact_dedup, op2_personal_data, op4_pack, op6_url_filter, op7_line_dedup)}
+def op3_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_near_dedup(spark, sf_dir):
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op8_substring_dedup(spark, sf_dir):
+    cut = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_fingerprints(spark, sf_dir):
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+REGISTRY = {f.__name__: f for f in (
+    op1_exact_dedup, op2_personal_data, op3_mix, op4_pack, op5_near_dedup, op6_url_filter, op7_line_dedup,
+    op8_substring_dedup, op9_language, op10_fingerprints)}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,7 +90,7 @@ SQL = {
         sums AS (SELECT level, count(*) AS k, sum(n) AS n, sum(n * n) AS n2, sum(bad) / sum(n) AS p,
                         sum(bad * bad / n) AS b2 FROM units WHERE n > 0 GROUP BY level),
         m AS (SELECT level, CASE WHEN k < 2 OR p * (1 - p) = 0 THEN 10 ELSE 1 / least(greatest(
-                  (b2 - n * p * p - (k - 1) * p * (1 - p)) / ((n - n2 / n - (k - 1)) * p * (1 - p)), 0.001), 0.999) - 1 END AS m
+                  (b2 - n * p * p - (k - 1) * p * (1 - p)) / ((n - n2 / n - (k - 1)) * p * (1 - p)), 0.001), 0.333) - 1 END AS m
               FROM sums),
         ps AS (SELECT suffix, (bad + (SELECT m FROM m WHERE level = 's') * (SELECT p FROM sums WHERE level = 's'))
                               / (n + (SELECT m FROM m WHERE level = 's')) AS p FROM s),
@@ -92,4 +116,16 @@ SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM d GROUP BY doc_id""",
+    "op8_substring_dedup": rf"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        p AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS pos FROM w WHERE len(words) >= 50),
+        g AS (SELECT doc_id, pos, hash(array_to_string(words[pos:pos + 49], ' ')) AS a, md5_number(array_to_string(words[pos:pos + 49], ' ')) AS b FROM p),
+        f AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY a, b) < doc_id AS gone FROM g),
+        r AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS pos FROM f WHERE gone),
+        x AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+        k AS (SELECT x.*, r.pos IS NOT NULL AS gone FROM x LEFT JOIN r USING (doc_id, pos)),
+        t AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+                     string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id)
+        SELECT documents.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN t USING (doc_id)""",
 }

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catamatch.llm.common import LOWER, UPPER
+from catamatch.operators.stage import written
 
 #: Verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
@@ -27,7 +28,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Public suffixes of two labels that are common.
 TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp",
               "com.br", "co.in", "co.nz", "co.za", "co.kr", "com.cn", "com.mx", "com.tr")
-MAX_BAD, Z = 0.5, 1.645
+MAX_BAD, Z, MOST_RHO = 0.5, 1.645, 0.333
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -54,7 +55,10 @@ def levels(hosts: DataFrame) -> DataFrame:
 
 
 def _strength(units: DataFrame) -> float:
-    """Prior strength of the units (n, bad) around their mean, by moments of the beta-binomial."""
+    """Prior strength of the units (n, bad) around their mean, by moments of the beta-binomial.
+
+    It is at least that of two observations, so a label or two never decide alone.
+    """
     r = units.where("n > 0").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("bad").alias("bad"),
                                  F.sum(F.col("n") * F.col("n")).alias("n2"),
                                  F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("b2")).first()
@@ -66,7 +70,7 @@ def _strength(units: DataFrame) -> float:
         return 10.0
     between = r["b2"] - r["n"] * p * p
     rho = (between - (r["k"] - 1) * spread) / ((r["n"] - r["n2"] / r["n"] - (r["k"] - 1)) * spread or 1.0)
-    return 1 / min(max(rho, 0.001), 0.999) - 1
+    return 1 / min(max(rho, 0.001), MOST_RHO) - 1
 
 
 def reputation(hosts: DataFrame) -> DataFrame:
@@ -98,8 +102,8 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: floa
     urls = parsed(pages)
     known = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(
         F.max("bad").alias("bad")).withColumnRenamed("page_id", "labelled")
-    hosts = urls.join(known, F.col("page_id") == F.col("labelled"), "left").groupBy("host").agg(
-        F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    hosts = written(urls.join(known, F.col("page_id") == F.col("labelled"), "left").groupBy("host").agg(
+        F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
     judged = reputation(hosts)
     ruled = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.when(F.col("low") > max_bad, "block").otherwise("allow")
