@@ -146,7 +146,8 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Documents are linked when 100 * intersection >= percent * union of their shingle sets.
     """
     found = written(features(docs))
-    named = found.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
+    # written, so that the join below shuffles by itself and a large class can be split there
+    named = written(found.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
     members = written(found.join(named, "set_hash", "left").select(
         "doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
     reps = members.where("bands is not null")
