@@ -11,12 +11,13 @@ from catamatch import rules
 from catamatch.functions import text as t
 
 # --- fixed values: patterns of the item grammar ------------------------------------------
-_TIMES = r"[xX×]\s*(\d{1,3})(?![\p{L}\p{N}_])"
-# looked at only in front of a multiplication mark
-_AFTER_POWER = r"(?=[xX×])(?<!(?i:kw|kva|kvar|kvr)\s{0,64})"
+_TIMES = r"(?U)[xX×]\s*(\d{1,3})(?![\p{L}\p{N}_])"
+_POWER_COUNT = r"(?iU)((?:kw|kva|kvar|kvr)\s*)(?=[x×])"
+# a private character set between a power unit and a multiplication mark, which is no count then
+_GUARD = "\ue000"
 _DS_TOKEN = r"(?i)(?<![a-z])ds(?![a-z])"
 _BRACKET = r"[（(]([^（）()]*)[）)]"
-_THREE = r"[xX×]\s*3(?![\p{L}\p{N}_])"
+_THREE = r"(?U)[xX×]\s*3(?![\p{L}\p{N}_])"
 
 
 def split_quantity(raw: Column) -> Column:
@@ -29,8 +30,9 @@ def split_quantity(raw: Column) -> Column:
     three_phase = raw.rlike(_DS_TOKEN) & raw.rlike(_THREE)
     without = t.strip_marks(F.regexp_replace(raw, _THREE, ""))
     poles = F.when(without.rlike(r"(?i)[123]p"), without).otherwise(F.concat(without, F.lit(" 3P")))
-    found = F.regexp_extract(raw, _AFTER_POWER + _TIMES, 1)
-    rest = F.regexp_replace(raw, "(?s)^(.*?)" + _AFTER_POWER + _TIMES + "(.*)$", "$1$3")
+    guarded = F.regexp_replace(raw, _POWER_COUNT, "$1" + _GUARD)
+    found = F.regexp_extract(guarded, f"(?<!{_GUARD})" + _TIMES, 1)
+    rest = F.replace(F.regexp_replace(guarded, f"(?sU)^(.*?)(?<!{_GUARD})" + _TIMES + "(.*)$", "$1$3"), F.lit(_GUARD), F.lit(""))
     return F.struct(
         F.when(three_phase, poles).when(found != "", t.strip_marks(rest)).otherwise(raw).alias("text"),
         F.when(~three_phase & (found != ""), found).alias("qty"),
@@ -132,12 +134,12 @@ def with_loose_frame(df: DataFrame, form: str) -> DataFrame:
 
 
 def standard_frame(af: Column, at: Column, frames=rules.STANDARD_FRAMES) -> Column:
-    """Smallest standard frame that holds the breaker; the largest one beyond the table."""
-    af, at = af.cast("long"), at.cast("long")
+    """Smallest standard frame that holds the breaker; the largest one beyond the table; NULL without one."""
+    af, at = af.try_cast("long"), at.try_cast("long")
     steps = F.array(*[F.lit(f).cast("long") for f in frames])
     base = F.when((at > 0) & (at <= af) & (at <= frames[-1]), at).otherwise(af)
     fit = F.array_min(F.filter(steps, lambda s: s >= base))
-    return F.when(af.isin(list(frames)), af).otherwise(F.coalesce(fit, F.lit(frames[-1]).cast("long")))
+    return F.when(af.isin(list(frames)), af).when(af.isNotNull(), F.coalesce(fit, F.lit(frames[-1]).cast("long")))
 
 
 # --- fixed values: value families (pattern, tag) ------------------------------------------
@@ -175,8 +177,8 @@ def interval_of_name(name: Column) -> Column:
     """STRUCT<lo, hi> of a catalogue name like ``100/5A~200/5A``; NULL without one."""
     pattern = r"(\d+)/5A\s*[~〜\-]\s*(\d+)/5A"
     lo = t.first(name, pattern, 1)
-    return F.when(lo.isNotNull(), F.struct(lo.cast("long").alias("lo"),
-                                           t.first(name, pattern, 2).cast("long").alias("hi")))
+    return F.when(lo.isNotNull(), F.struct(lo.try_cast("long").alias("lo"),
+                                           t.first(name, pattern, 2).try_cast("long").alias("hi")))
 
 
 def first_alias(form: str, names=None) -> str:
@@ -203,7 +205,7 @@ def detect_part(form: str) -> Column:
 
 def feed_number(raw: Column) -> Column:
     """Feeder label in front of the text, such as 1L1 or 2EM2."""
-    return t.first(F.coalesce(raw, F.lit("")), r"^\s*(\d+[A-Za-z]+\d+)")
+    return t.first(F.coalesce(raw, F.lit("")), r"^[\s\x{3000}]*(\d+[A-Za-z]+\d+)")
 
 
 def display_text(raw: Column, feed: Column, loads: Column) -> Column:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from catamatch import rules
 from catamatch.functions import extract as x
 from catamatch.functions import text as t
+from catamatch.operators.lookup import unique_by_key
 from catamatch.operators.ordered import CHUNK_ROWS, last_before
 
 PANEL = ["doc_id", "panel_idx"]
 KEY = [*PANEL, "item_idx"]
-MAX_CELL_CHARS = 1 << 24
 
 
 def main_breaker(form: Column) -> Column:
@@ -57,27 +57,20 @@ def detail_rows(marked: DataFrame) -> DataFrame:
             .select(*PANEL, "parent_idx", "item_idx", load_name(F.col("name")).alias("load")))
 
 
-def loads_per_parent(details: DataFrame, max_chars: int = MAX_CELL_CHARS) -> DataFrame:
-    """(doc_id, panel_idx, item_idx, loads, n_loads).
+def loads_per_parent(details: DataFrame) -> DataFrame:
+    """(doc_id, panel_idx, item_idx, loads, n_loads): all loads of a row in order.
 
-    A list becomes one cell only when its text stays below ``max_chars``; longer lists have
-    NULL there and are read from ``detail_rows``, which always holds every detail.
+    The cell is what the display of the row shows; ``detail_rows`` has the same as rows.
     """
-    keys = [*PANEL, "parent_idx"]
-    sizes = details.groupBy(*keys).agg(F.count("*").alias("n_loads"),
-                                       F.sum(F.length("load") + 2).alias("_chars"))
-    small = sizes.where(F.col("_chars") <= max_chars)
-    lists = (details.join(small.select(*keys), keys, "left_semi").groupBy(*keys)
-             .agg(F.array_sort(F.collect_list(F.struct("item_idx", "load"))).alias("_l"))
-             .select(*keys, F.col("_l.load").alias("loads")))
-    return (sizes.join(lists, keys, "left").drop("_chars")
-            .withColumnRenamed("parent_idx", "item_idx"))
+    listed = details.groupBy(*PANEL, F.col("parent_idx").alias("item_idx")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("item_idx").alias("i"), "load"))).alias("_l"))
+    return listed.select(*KEY, F.col("_l.load").alias("loads"), F.size("_l").cast("long").alias("n_loads"))
 
 
 def with_code_facts(settled: DataFrame, cats: DataFrame) -> DataFrame:
     """Adds what the context rules need to know about a code, once per distinct decision:
-    official (its name), is_meter (a multi-meter) and built_in (a relay with its detector)."""
-    facts = cats.select("code", F.col("name").alias("official"), "spec")
+    official (its name in the last catalogue row of the code), is_meter (a multi-meter) and built_in (a relay with its detector)."""
+    facts = unique_by_key(cats.select("code", "ord", F.col("name").alias("official"), "spec"), "code", "ord").drop("ord")
     df = settled.join(facts, "code", "left")
     name, spec = F.coalesce("official", F.lit("")), F.coalesce("spec", F.lit(""))
     built_in = t.contains_any(F.concat(name, spec), rules.ABSORBING_WORDS) | name.contains(rules.ABSORBING_NAME)

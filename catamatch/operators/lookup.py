@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PACKED_STEPS = 4096
-
 
 def rule_table(spark, rows, schema: str) -> DataFrame:
     """Fixed rule rows as a broadcast table; the size is that of the rule list."""
@@ -53,12 +51,18 @@ def _ladder(ladder: DataFrame, keys, cap, code) -> DataFrame:
     return ladder.where(F.col(cap).isNotNull()).groupBy(*keys, cap).agg(F.min(code).alias(code))
 
 
-def nearest_above_window(wants: DataFrame, ladder: DataFrame, keys: list[str], want: str,
-                         cap: str, code: str) -> DataFrame:
+def _range(value: Column) -> Column:
+    """Number of a value range that rises with the value: 64 ranges for each doubling."""
+    return F.when(value > 0, F.floor(F.log2(value) * 64)).otherwise(-100_000).cast("int")
+
+
+def nearest_above(wants: DataFrame, ladder: DataFrame, keys: list[str], want: str, cap: str, code: str) -> DataFrame:
     """Smallest step >= the wanted value within the keys, plus the largest step.
 
-    Wanted values and steps are merged into one ordered list per key and read by a window
-    that looks upward, so no (wanted, step) pairs are formed.  Returns one row per distinct
+    Wanted values and steps are merged into one list per key, read downward with a running
+    minimum, so no (wanted, step) pairs are formed and the work is linear.  A key is cut into
+    value ranges: a window over the ranges' smallest steps carries the next step above a range
+    into it, and the other window never leaves its range.  Returns one row per distinct
     (keys, want): fit, fit_code, top.
     """
     steps = _ladder(ladder, keys, cap, code)
@@ -68,38 +72,22 @@ def nearest_above_window(wants: DataFrame, ladder: DataFrame, keys: list[str], w
         wants.select(*keys, F.col(want).cast("double").alias("_v")).distinct()
         .withColumn("_w", F.lit(True)), allowMissingColumns=True)
     # a wanted value equal to a step up to rounding error still takes that step
-    near = F.round(F.col("_v"), 6)
-    w = W.partitionBy(*keys).orderBy(near)
-    upward = w.rangeBetween(W.currentRow, W.unboundedFollowing)
-    whole = W.partitionBy(*keys)
-    return (merged.withColumn("_fit", F.min("_step").over(upward))
-            .withColumn("top", F.max("_step.c").over(whole))
+    merged = merged.withColumn("_near", F.round("_v", 6)).withColumn("_range", _range(F.col("_near")))
+    sums = merged.groupBy(*keys, "_range").agg(F.min("_step").alias("_low"), F.max("_step.c").alias("_high"))
+    above = W.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(k).alias("_k" + k) for k in keys], F.col("_range").alias("_r"),
+                       F.min("_low").over(above).alias("_next"), F.max("_high").over(W.partitionBy(*keys)).alias("top"))
+    on = merged["_range"] == sums["_r"]
+    for k in keys:
+        on = on & merged[k].eqNullSafe(sums["_k" + k])
+    inside = W.partitionBy(*keys, "_range").orderBy(F.desc("_near")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    fit = F.coalesce(F.col("_own"), F.col("_next"))
+    return (merged.join(sums, on).withColumn("_own", F.min("_step").over(inside)).withColumn("_fit", fit)
             .where("_w").select(*keys, F.col("_v").alias(want), F.col("_fit.c").alias("fit"),
                                 F.col("_fit.k").alias("fit_code"), "top"))
 
 
-def nearest_above(wants: DataFrame, ladder: DataFrame, keys: list[str], want: str, cap: str,
-                  code: str, packed_steps: int = PACKED_STEPS) -> DataFrame:
-    """Same result as ``nearest_above_window`` by an equi-join with packed ladders.
-
-    A ladder of at most ``packed_steps`` steps travels as one sorted array per key, and the
-    step is picked inside the row.  Keys with longer ladders take the window form.
-    """
-    steps = _ladder(ladder, keys, cap, code)
-    sizes = steps.groupBy(*keys).agg(F.count("*").alias("_n"))
-    asked = wants.select(*keys, F.col(want).cast("double").alias(want)).distinct()
-    long = sizes.where(F.col("_n") > packed_steps).select(*keys)
-    packed = steps.join(sizes.where(F.col("_n") <= packed_steps).select(*keys), keys, "left_semi").groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(cap).alias("c"), F.col(code).alias("k")))).alias("_steps"))
-    fits = F.filter("_steps", lambda s: F.round(s["c"].cast("double"), 6) >= F.round(F.col(want), 6))
-    direct = asked.join(packed, keys, "left").withColumn("_fit", F.get(fits, 0)).select(
-        *keys, want, F.col("_fit.c").alias("fit"), F.col("_fit.k").alias("fit_code"),
-        F.element_at("_steps", -1)["c"].alias("top"))
-    if long.isEmpty():
-        return direct
-    windowed = nearest_above_window(asked.join(long, keys, "left_semi"),
-                                    ladder.join(long, keys, "left_semi"), keys, want, cap, code)
-    return direct.join(long, keys, "left_anti").unionByName(windowed)
+nearest_above_window = nearest_above
 
 
 def round_up(value: Column, steps) -> Column:

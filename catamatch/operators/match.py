@@ -8,6 +8,10 @@ part, catalogue order) are the only ones that can reach an item's top k through
 the subsets of its own atoms, and ranks the few rows found.  The result equals the full
 comparison; the work is one row per item and subset, not per pair.
 
+A row holds at most one atom that starts with ``LONE`` (its interval), so an item that many
+intervals fit asks for them one at a time.  Sets of more than ``max_atoms`` other atoms take
+another exact way; the atoms of a set all come from its own text, never from other items.
+
 Items and catalogue rows are first reduced to distinct atom sets, so repeated descriptions
 cost nothing and a block with most of the rows is as cheap as any other.
 """
@@ -21,14 +25,22 @@ from pyspark.sql import functions as F
 from catamatch.operators.stage import written
 
 MAX_ATOMS = 10
+LONE = "i:"
 _ALL, _WIDE = "#all", "#wide"
 
 
+def _free(atoms: Column) -> Column:
+    return F.filter(atoms, lambda a: ~a.startswith(LONE))
+
+
 def _subsets(atoms: Column) -> Column:
-    """Keys of all subsets of a sorted array."""
+    """Keys of all subsets of a sorted array; of the atoms that exclude each other at most one."""
     start = F.array(F.lit(""))
-    return F.aggregate(atoms, start, lambda acc, v: F.concat(
+    free = F.aggregate(_free(atoms), start, lambda acc, v: F.concat(
         acc, F.transform(acc, lambda s: F.concat(s, F.lit("\x01"), v))))
+    lone = F.concat(start, F.transform(F.filter(atoms, lambda a: a.startswith(LONE)),
+                                       lambda a: F.concat(F.lit("\x01"), a)))
+    return F.flatten(F.transform(lone, lambda a: F.transform(free, lambda s: F.concat(s, a))))
 
 
 def _keep_shared(df: DataFrame, ids: list[str], shared: DataFrame) -> DataFrame:
@@ -59,7 +71,7 @@ def ranked_matches(items: DataFrame, rows: DataFrame, gain, k: int,
     by_set = W.partitionBy("block", "own", "atoms").orderBy("ord")
     sets = (_keep_shared(rows, ["block", "ord", "own"], shared)
             .withColumn("_r", F.row_number().over(by_set)).where(F.col("_r") <= k).drop("_r"))
-    narrow = F.size("atoms") <= max_atoms
+    narrow = F.size(_free(F.col("atoms"))) <= max_atoms
     keys = F.when(narrow, F.concat(_subsets(F.col("atoms")), F.array(F.lit(_ALL)))
                   ).otherwise(F.array(F.lit(_WIDE), F.lit(_ALL)))
     # whole-block keys are not cut: each of their rows is its own window group

@@ -9,6 +9,9 @@ carried value back to the rows, whose own window then never leaves its chunk.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,7 +32,10 @@ def _scan(df, group, order, summary, over_summaries, local, combine, out, chunk_
     before = W.partitionBy(*group).orderBy(*order[:-1], _CHUNK)
     carried = sums.select(*within, over_summaries(F.col("_sum"), before).alias("_carry"))
     inside = W.partitionBy(*within).orderBy(order[-1])
-    joined = rows.join(carried, within, "left")
+    keys = {c: f"_k{i}" for i, c in enumerate(within)}
+    carried = carried.select(*[F.col(c).alias(k) for c, k in keys.items()], "_carry")
+    on = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]  # NULL groups carry values too
+    joined = rows.join(carried, reduce(and_, on), "left").drop(*keys.values())
     return (joined.withColumn(out, combine(local(inside), F.col("_carry")))
             .drop(_CHUNK, "_carry"))
 

@@ -15,7 +15,7 @@ def value_score(vals: Column, row_vals: Column, interval: Column) -> Column:
     missing = F.array_except(vals, row_vals)
     lost = F.size(F.filter(missing, lambda v: v.endswith("/5A")))
     inside = F.coalesce(F.exists(F.filter(vals, lambda v: v.endswith("/5A")), lambda v: F.regexp_extract(
-        v, r"^(\d+)", 1).cast("long").between(interval["lo"], interval["hi"])), F.lit(False))
+        v, r"^(\d+)", 1).try_cast("long").between(interval["lo"], interval["hi"])), F.lit(False))
     plain = 10 * F.size(F.array_intersect(vals, row_vals)) - 8 * F.size(missing)
     return plain + F.when(inside & (lost > 0), 10 + 8 * lost).otherwise(0)
 

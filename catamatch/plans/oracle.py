@@ -22,8 +22,8 @@ _DOCQ = "CAST(event_id AS VARCHAR)"
 _T, _Q = op.quantity("name")
 _EV = ("WITH ev AS (SELECT user_id AS doc_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS panel_idx, "
        "event_id AS item_idx, event_type, value FROM events)")
-_NEAREST = """WITH wants AS (SELECT p_brand, l_quantity AS want, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
-steps AS (SELECT p_brand, CAST(p_size AS DOUBLE) AS cap, lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS code FROM part WHERE p_size % 3 = 0),
+_NEAREST = """WITH wants AS (SELECT p_brand, floor(l_extendedprice / 100) / 10 AS want, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+steps AS (SELECT p_brand, CAST(p_size AS DOUBLE) AS cap, lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS code FROM part),
 fits AS (SELECT w.p_brand, w.want, w.n, min({'c': s.cap, 'k': s.code}) FILTER (WHERE s.cap >= w.want) AS f, max(s.cap) AS top
   FROM wants w LEFT JOIN steps s ON s.p_brand = w.p_brand GROUP BY ALL)
 SELECT p_brand, want, n, f.c AS fit, f.k AS fit_code, top, CASE WHEN f.c = want THEN '◎' WHEN f.c IS NOT NULL THEN '○' ELSE '△' END AS conf FROM fits"""
@@ -34,7 +34,7 @@ def _round(kind: str) -> str:
     return "CASE " + " ".join(f"WHEN l_quantity <= {s} THEN CAST({s} AS DOUBLE)" for s in steps) + f" ELSE CAST({steps[-1]} AS DOUBLE) END"
 
 
-_FRAME = ("CASE WHEN af IN ({0}) THEN af ELSE coalesce((SELECT min(s) FROM unnest([{0}]) AS u(s) WHERE s >= CASE WHEN att > 0 AND att <= af "
+_FRAME = ("CASE WHEN af IS NULL THEN NULL WHEN af IN ({0}) THEN af ELSE coalesce((SELECT min(s) FROM unnest([{0}]) AS u(s) WHERE s >= CASE WHEN att > 0 AND att <= af "
           "AND att <= 3200 THEN att ELSE af END), 3200) END").format(", ".join(map(str, rules.STANDARD_FRAMES)))
 _AFX = f"coalesce({op.grab('form', r'(\d+)af')}, {op.grab('form', r'[234]p(\d{2,4})(/(\d{2,4}))?', 1)})"
 _ATX = (f"CASE WHEN {op.grab('form', r'(\d+)af')} IS NULL AND {op.grab('form', r'[234]p(\d{2,4})(/(\d{2,4}))?', 1)} IS NOT NULL "
@@ -43,7 +43,7 @@ _ATX = (f"CASE WHEN {op.grab('form', r'(\d+)af')} IS NULL AND {op.grab('form', r
 _FRAMES = f"""{_ITEMS}, n AS (SELECT item_idx, {op.norm('name')} AS form, {op.norm('panel')} AS pform FROM items),
 a AS (SELECT item_idx, CASE WHEN {op.any_of('pform', ('制御', '動力'))} THEN 'control' WHEN {op.any_of('pform', ('分電', '電灯'))} THEN 'lighting'
   WHEN {op.any_of('pform', ('配電', '受電', '高圧'))} THEN 'receiving' ELSE 'lighting' END AS kind, CAST({_AFX} AS BIGINT) AS af, CAST({_ATX} AS BIGINT) AS att,
-  coalesce({op.grab('form', r'(\d)p')}, '3') AS pole, contains(form, 'elb') AS elb FROM n WHERE {_AFX} IS NOT NULL),
+  coalesce({op.grab('form', r'(\d)p')}, '3') AS pole, contains(form, 'elb') AS elb FROM n),
 b AS MATERIALIZED (SELECT *, {_FRAME} AS frame FROM a)"""
 
 
@@ -84,8 +84,8 @@ SQL: dict[str, str] = {
     "path_filter": "SELECT page_id, url FROM pages WHERE regexp_matches(lower(url), '\\.html?$') AND NOT contains(url, '/.')",
     "content_dedup": f"SELECT doc_id, sha256(text) AS hash, length({op.norm('text')}) AS n_form FROM documents",
     "provenance_label": "SELECT page_id, regexp_extract(url, '[^/]*$') || ' / ' || regexp_extract(url, '^https?://([^/]+)', 1) AS label FROM pages",
-    "ordered_text_assembly": """SELECT conv_id, left(string_agg('(' || CAST(turn % 2 AS VARCHAR) || ',' || CAST(-CAST(floor(turn / 2) AS BIGINT) AS VARCHAR) || ') ' || text, chr(10)
-        ORDER BY floor(turn / 2), turn % 2, text), 60000) AS text FROM conversations GROUP BY conv_id""",
+    "ordered_text_assembly": """SELECT conv_id, string_agg('(' || CAST(turn % 2 AS VARCHAR) || ',' || CAST(-CAST(floor(turn / 2) AS BIGINT) AS VARCHAR) || ') ' || text, chr(10)
+        ORDER BY floor(turn / 2), turn % 2, text) AS text FROM conversations GROUP BY conv_id""",
     "report_detail": P + """SELECT doc_id, panel_idx, item_idx, panel, name AS raw, qty, CASE WHEN code = '' THEN '—' ELSE code END AS code,
         coalesce(official, '') AS official, conf FROM graded""",
     "report_summary": P + f""", s AS ({_summary('graded')}), d AS (SELECT count(*) AS n FROM dets WHERE parent_idx IS NOT NULL)
@@ -109,10 +109,10 @@ SQL: dict[str, str] = {
         FROM kept k LEFT JOIN l ON l.doc_id = k.doc_id AND l.panel_idx = k.panel_idx AND l.parent_idx = k.item_idx""",
     "exclude_patterns": P + " SELECT item_idx, state FROM stated",
     "grade_filter": P + " SELECT item_idx, code, conf FROM graded WHERE conf = '○'",
-    "code_lookup": """SELECT l_partkey AS ord, count(*) AS n, sum(l_quantity) AS qty, any_value(p_name) AS p_name, any_value(p_brand) AS p_brand
-        FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size < 25 GROUP BY l_partkey""",
-    "code_exists_semi": "SELECT l_partkey AS ord, count(*) AS n, sum(l_quantity) AS qty FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 25) GROUP BY l_partkey",
-    "code_missing_anti": "SELECT l_partkey AS ord, count(*) AS n, sum(l_quantity) AS qty FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25) GROUP BY l_partkey",
+    "code_lookup": """SELECT l_orderkey AS ord, count(*) AS n, sum(l_quantity) AS qty, any_value(p_name) AS p_name, any_value(p_brand) AS p_brand
+        FROM lineitem LEFT JOIN part ON p_partkey = l_orderkey GROUP BY l_orderkey""",
+    "code_exists_semi": "SELECT l_orderkey AS ord, count(*) AS n, sum(l_quantity) AS qty FROM lineitem WHERE l_orderkey IN (SELECT p_partkey FROM part) GROUP BY l_orderkey",
+    "code_missing_anti": "SELECT l_orderkey AS ord, count(*) AS n, sum(l_quantity) AS qty FROM lineitem WHERE l_orderkey NOT IN (SELECT p_partkey FROM part) GROUP BY l_orderkey",
     "nearest_above_join": _NEAREST,
     "nearest_above_window": _NEAREST,
     "ladder_round_clamp": f"""SELECT l_quantity AS value, {_round('direct')} AS direct, l_quantity > {max(rules.MOTOR_SUFFIX['direct'])} AS clamped, {_round('inverter')} AS inverter,
@@ -123,7 +123,7 @@ SQL: dict[str, str] = {
           unnest(CASE WHEN kind = 'control' THEN [{', '.join(f"{{'p': {i}, 'c': {_branch(x)}}}" for i, x in enumerate(('50', '40', '60')))}]
             ELSE [{', '.join(f"{{'p': {i}, 'c': {_branch(x)}}}" for i, x in enumerate(('40', '60', '50')))}] END) AS k FROM b),
         found AS (SELECT t.kind, t.frame, t.pole, t.elb, arg_min(t.k.c, t.k.p) AS code FROM tried t JOIN cat ON cat.code = t.k.c GROUP BY ALL)
-        SELECT b.item_idx, b.kind, b.frame, found.code FROM b LEFT JOIN found USING (kind, frame, pole, elb)""",
+        SELECT b.item_idx, b.kind, b.frame, found.code FROM b LEFT JOIN found ON b.kind = found.kind AND b.frame IS NOT DISTINCT FROM found.frame AND b.pole = found.pole AND b.elb = found.elb""",
     "interval_contains_join": TEXTS + """, s AS (SELECT lo, hi, count(*) AS n_codes FROM catf WHERE lo IS NOT NULL GROUP BY ALL),
         p AS (SELECT ratio, CAST(sum(n_items) AS BIGINT) AS n_items FROM f3 WHERE ratio IS NOT NULL GROUP BY ratio) SELECT ratio, n_items, lo, hi, n_codes FROM p JOIN s ON ratio BETWEEN lo AND hi""",
     "token_overlap_topk": f"""WITH i AS ({_tok('item_id', 'text', 'benchmark')}), r AS ({_tok('doc_id', 'text', 'documents')}),

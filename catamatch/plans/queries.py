@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -227,38 +230,39 @@ def grade_filter(s, d):
 # --- joins ---------------------------------------------------------------------------------
 
 def _sold(s, d):
-    """Line items combined per part before any lookup."""
-    return table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("ord")).agg(
+    """Line items combined per order before any lookup; most order numbers are no part number."""
+    return table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("ord")).agg(
         F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
 
 
-def _small_parts(s, d):
-    return table(s, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("ord"), "p_name", "p_brand")
+def _parts(s, d):
+    return table(s, d, "part").select(F.col("p_partkey").alias("ord"), "p_name", "p_brand")
 
 
 @query
 def code_lookup(s, d):
-    return lookup.lookup(_sold(s, d), _small_parts(s, d), "ord")
+    return lookup.lookup(_sold(s, d), _parts(s, d), "ord")
 
 
 @query
 def code_exists_semi(s, d):
-    return lookup.existing(_sold(s, d), _small_parts(s, d), "ord")
+    return lookup.existing(_sold(s, d), _parts(s, d), "ord")
 
 
 @query
 def code_missing_anti(s, d):
-    return lookup.missing(_sold(s, d), _small_parts(s, d), "ord")
+    return lookup.missing(_sold(s, d), _parts(s, d), "ord")
 
 
 def _wants(s, d):
     part = table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    sold = table(s, d, "lineitem").groupBy("l_partkey", "l_quantity").agg(F.count("*").alias("n"))
-    return sold.join(part, "l_partkey").groupBy("p_brand", F.col("l_quantity").alias("want")).agg(F.sum("n").alias("n"))
+    want = F.floor(F.col("l_extendedprice") / 100) / 10
+    sold = table(s, d, "lineitem").groupBy("l_partkey", want.alias("want")).agg(F.count("*").alias("n"))
+    return sold.join(part, "l_partkey").groupBy("p_brand", "want").agg(F.sum("n").alias("n"))
 
 
 def _steps(s, d):
-    return table(s, d, "part").where("p_size % 3 = 0").select(
+    return table(s, d, "part").select(
         "p_brand", F.col("p_size").cast("double").alias("cap"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("code"))
 
 
@@ -305,8 +309,8 @@ def bucket_range_join(s, d):
 
 
 def _frames(s, d):
-    """Items with panel kind and standard frame."""
-    df = x.with_frame(ctx.mark_rows(_items(s, d)), "form").where("af is not null")
+    """Items with panel kind and standard frame, NULL where the text names none."""
+    df = x.with_frame(ctx.mark_rows(_items(s, d)), "form")
     df = df.withColumns({"kind": x.panel_kind(F.col("panel_form")),
                          "frame": x.standard_frame(F.col("af"), F.col("at")),
                          "pole": x.poles(F.col("form")), "elb": F.col("form").contains("elb")})
@@ -328,7 +332,8 @@ def first_existing_key(s, d):
     tried = df.select(*ids).distinct().withColumn("keys", decide.branch_codes(
         F.col("kind"), F.col("frame"), F.col("pole"), F.col("elb")))
     found = lookup.first_existing(tried, ids, "keys", _cat(s, d).select("code"), "code", "code")
-    return df.join(found, ids).select("item_idx", "kind", "frame", "code")
+    same = reduce(and_, [F.col(f"i.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ids])
+    return df.alias("i").join(found.alias("f"), same).select("i.item_idx", "i.kind", "i.frame", "f.code")
 
 
 @query

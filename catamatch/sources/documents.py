@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catamatch.functions import text as t
-from catamatch.operators.ordered import first_per_group
 
 ITEM = ("name STRING, qty STRING, volt STRING, symbol STRING, kw STRING, `group` STRING, "
-        "load_detail BOOLEAN, parent STRING, unclear BOOLEAN, cable BOOLEAN")
-DOCUMENT = f"panels ARRAY<STRUCT<panel: STRING, items: ARRAY<STRUCT<{ITEM.replace(' STRING', ': STRING').replace(' BOOLEAN', ': BOOLEAN')}>>>>"
+        "load_detail STRING, parent STRING, unclear STRING, cable STRING")
+DOCUMENT = f"panels ARRAY<STRUCT<panel: STRING, items: ARRAY<STRUCT<{ITEM.replace(' STRING', ': STRING')}>>>>"
 SPEC = "MAP<STRING, STRUCT<required: ARRAY<STRING>, optional: ARRAY<STRING>, patterns: MAP<STRING, STRING>>>"
 
 # --- fixed values: accepted inputs and the name of a failed one ---------------------------
 EXTENSIONS = (".pdf", ".png", ".jpg", ".jpeg", ".dxf", ".zip")
 FAILED = "[抽出失敗] "
-MAX_TEXT = 60000
+# JSON values that count as no
+FALSY = ("", "false", "null", "0", "0.0", "[]", "{}")
 
 
 def salvage(text: Column) -> Column:
@@ -28,6 +29,17 @@ def salvage(text: Column) -> Column:
     return F.when(valid(bare), bare).when(valid(braces), braces)
 
 
+def truthy(flag: Column) -> Column:
+    """A JSON flag of any type, read as text, as yes or no; missing is no."""
+    return F.coalesce(~flag.isin(*FALSY), F.lit(False))
+
+
+def readable(json: Column) -> Column:
+    """An object whose panels, if there are any, are an array."""
+    panels = F.get_json_object(json, "$.panels")
+    return F.coalesce(json.startswith("{") & (panels.isNull() | panels.startswith("[")), F.lit(False))
+
+
 def flatten(df: DataFrame, ids: list[str], json: str) -> DataFrame:
     """One row per item of panels[].items[] with its position; missing texts become ''."""
     doc = F.from_json(F.col(json), DOCUMENT)
@@ -38,14 +50,15 @@ def flatten(df: DataFrame, ids: list[str], json: str) -> DataFrame:
     return items.select(
         *ids, "panel_idx", "panel", "item_idx",
         *[F.coalesce(F.col("_i")[a], F.lit("")).alias(b) for a, b in texts],
-        *[F.coalesce(F.col("_i")[a], F.lit(False)).alias(a) for a in ("load_detail", "unclear", "cable")])
+        *[truthy(F.col("_i")[a]).alias(a) for a in ("load_detail", "unclear", "cable")])
 
 
 def read_documents(df: DataFrame, ids: list[str], text: str, source: Column) -> DataFrame:
-    """Item rows of readable documents and one marked row per unreadable one."""
+    """Item rows of readable documents and one marked row per unreadable or wrongly shaped one."""
     parsed = df.select(*ids, source.alias("_source"), salvage(F.col(text)).alias("_json"))
-    good = flatten(parsed.where(F.col("_json").isNotNull()), ids, "_json")
-    bad = parsed.where(F.col("_json").isNull()).select(
+    parsed = parsed.withColumn("_ok", readable(F.col("_json")))
+    good = flatten(parsed.where("_ok"), ids, "_json")
+    bad = parsed.where("not _ok").select(
         *ids, F.lit(0).alias("panel_idx"), F.concat(F.lit(FAILED), "_source").alias("panel"),
         F.lit(0).alias("item_idx"), F.lit("unreadable").alias("name"), F.lit(True).alias("unclear"))
     return good.unionByName(bad, allowMissingColumns=True)
@@ -79,23 +92,26 @@ def provenance(path: Column, panel: Column) -> Column:
 def process_once(df: DataFrame, content: str, process) -> DataFrame:
     """Runs ``process`` on one row per distinct content and joins the outcome back.
 
-    process: DataFrame(hash, content) -> DataFrame(hash, ...).
+    process: DataFrame(hash, content) -> DataFrame(hash, ...).  NULL contents are one content.
     """
     keyed = df.withColumn("hash", F.sha2(F.col(content), 256))
     distinct = keyed.select("hash", content).dropDuplicates(["hash"])
-    return keyed.drop(content).join(process(distinct), "hash")
+    done = process(distinct).withColumnRenamed("hash", "_hash")
+    return keyed.drop(content).join(done, F.col("hash").eqNullSafe(F.col("_hash")), "left").drop("_hash")
 
 
-def assemble(df: DataFrame, doc: str, x: str, y: str, text: str, limit: int = MAX_TEXT,
-             slices: int = 64) -> DataFrame:
-    """Text of a document from placed pieces: top to bottom, left to right, cut at ``limit``.
-
-    Every piece adds at least one character, so only the first ``limit`` pieces of a document
-    can be in its text; a document is cut to those in slices before it is put together.
-    """
+def ordered_lines(df: DataFrame, doc: str, x: str, y: str, text: str) -> DataFrame:
+    """(doc, line_no, line): placed pieces from top to bottom, left to right, a row each."""
     lines = df.select(doc, F.struct((-F.col(y)).alias("a"), F.col(x).alias("b"), F.col(text).alias("c")).alias("_o"),
                       F.concat(F.lit("("), F.col(x).cast("string"), F.lit(","), F.col(y).cast("string"),
-                               F.lit(") "), F.col(text)).alias("_line"))
-    kept = first_per_group(lines, [doc], ["_o"], limit, "_n", slices)
-    out = kept.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("_n", "_line"))).alias("_l"))
-    return out.select(doc, F.substring(F.array_join("_l._line", "\n"), 1, limit).alias("text"))
+                               F.lit(") "), F.col(text)).alias("line"))
+    order = W.partitionBy(doc).orderBy("_o")
+    return lines.withColumn("line_no", F.row_number().over(order)).drop("_o")
+
+
+def assemble(df: DataFrame, doc: str, x: str, y: str, text: str, limit: int | None = None) -> DataFrame:
+    """Text of a document from its ordered lines, whole unless the caller's reader has a ``limit``."""
+    out = ordered_lines(df, doc, x, y, text).groupBy(doc).agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
+    whole = F.array_join("_l.line", "\n")
+    return out.select(doc, (whole if limit is None else F.substring(whole, 1, limit)).alias("text"))

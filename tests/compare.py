@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 import time
+from collections import Counter
 
 import duckdb
 
@@ -41,11 +42,9 @@ def differences(spark, con, query, sql, sf_dir):
     other = rows([c[0] for c in cur.description], cur.fetchall())
     if mine[0] != other[0]:
         return len(mine[1]), [("columns", mine[0], other[0])]
-    a, b = set(mine[1]), set(other[1])
-    diff = sorted(a ^ b)[:6]
-    if not diff and len(mine[1]) != len(other[1]):
-        diff = [("row count", len(mine[1]), len(other[1]))]
-    return len(mine[1]), [("spark" if d in a else "sql", d) for d in diff] if diff and diff[0][0] != "row count" else diff
+    a, b = Counter(mine[1]), Counter(other[1])
+    diff = [("spark", n, r) for r, n in (a - b).items()] + [("sql", n, r) for r, n in (b - a).items()]
+    return len(mine[1]), diff[:6]
 
 
 if __name__ == "__main__":

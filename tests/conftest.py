@@ -1,3 +1,4 @@
+import os
 import pathlib
 import sys
 
@@ -12,4 +13,4 @@ sys.path.insert(0, ROOT + "/tests")
 def spark():
     from catamatch.session import local_session
 
-    return local_session(8, "tests")
+    return local_session(os.environ.get("TEST_CPUS", "8"), "tests")
