@@ -91,7 +91,7 @@ def survivors(found: DataFrame, rows: int = ROWS, counters: int = COUNTERS) -> D
     left = found.select("id", F.explode(F.arrays_zip("g", "c", "s", "e")).alias("r")).select("id", "r.*")
     for row in range(rows):
         left = left.withColumn("counter", _counter(row, width)).join(
-            sketch(found, row, width), "counter", "left_semi").drop("counter")
+            written(sketch(found, row, width)), "counter", "left_semi").drop("counter")
     return left
 
 
