@@ -115,12 +115,13 @@ def bucket_join(df: DataFrame, buckets: DataFrame, value: str) -> DataFrame:
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], point: str,
-                  lo: str, hi: str, radix: int = 16, levels: int = 5) -> DataFrame:
+                  lo: str, hi: str, radix: int = 16, levels: int = 16) -> DataFrame:
     """Containment join as an equality: pairs with lo <= point <= hi (integers).
 
     An interval is covered by aligned blocks of widths 1, radix, radix^2, ...; a point lies
     in exactly one block per width.  Joining on (keys, width, block) meets each containing
-    interval once and no other one, whatever the lengths and however many intervals there are.
+    interval once and no other one.  Sixteen levels of radix 16 span all 64-bit lengths, so an
+    interval becomes at most 30 blocks a level, whatever its length.
     """
     def span(a, b, level):
         return F.when(a <= b, F.transform(F.sequence(a, b), lambda x: F.struct(
