@@ -30,7 +30,7 @@ from catamatch.operators.stage import written
 WEIGHTS = (1, 2, 3)
 REPEATS = 3
 BLOCK, SLOTS = 128, 1024
-CHUNK = 4096
+CHUNK = 512
 WORD = r"[^\x20\x09-\x0D]+"
 #: Multipliers of the permutations: primes, so each is coprime to all numbers but its multiples.
 PRIMES = (2305843009213693951, 2147483647, 999999999989, 67280421310721, 1000000007, 998244353)
