@@ -31,7 +31,7 @@ from catamatch.operators.stage import written
 LENGTH, END = 2048, 0
 ROUNDS, RATE, LEAN, SLACK = 300, 0.5, 1.1, 0.001
 CHUNK = 4096
-KEPT_WORDS, KEPT_CHARS = 150_000, 64
+KEPT_WORDS, KEPT_CHARS = 60_000, 64
 
 
 #: The pattern by which this vocabulary splits text, written out for Latin-1.
