@@ -6,7 +6,7 @@ one the language within it; both let one-versus-one machines vote.  A family of
 no second level.
 
 The machines are fitted on the driver on a bounded sample: at most ``SAMPLE`` labelled documents in
-all, equally many of each language, chosen by a hash of doc_id.  Everything else reads all rows.
+all, as many of each language where it has them, chosen by a hash of doc_id.  Everything else reads all rows.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is any text when
 nothing can be learned; rows that repeat a doc_id are judged each (and learned from once); a null
@@ -137,8 +137,14 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     langs = known.select("lang").distinct().count()
     if not langs:
         return None
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.distinct().withColumn("__no", F.row_number().over(order)).where(F.col("__no") <= max(1, sample // langs))
+    order = W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id")
+    each = max(1, sample // langs)
+    # only the smallest hashes, four times as many as needed, go to the task that ranks a language
+    rates = known.groupBy("lang").agg((F.lit(4.0 * each) / F.count("*")).alias("__rate"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = known.join(rates, "lang").where(place < F.col("__rate")).select("doc_id", "lang").distinct()
+    chosen = near.withColumn("__no", F.row_number().over(order)).where(F.col("__no") <= each)
+    chosen = chosen.orderBy("__no", "lang").limit(sample)
     chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
     texts = docs.select("doc_id", "lang", "text").join(
         F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang")))
