@@ -95,22 +95,12 @@ def possible(percent: int, a: str = "a", b: str = "b") -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the threshold."""
-    def run(cols):
-        u, v = [], []
-        for a, b, x, y in zip(cols["u"], cols["v"], cols["x"], cols["y"]):
-            x, y = x.view(np.uint64), y.view(np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                u.append(a)
-                v.append(b)
-        return {"u": u, "v": v}
-
+    """The pairs (u, v) whose full sets reach the threshold; two sets at a time, inside the JVM."""
     left = sets.select(F.col("rep").alias("u"), F.col("shingles").alias("x"))
     right = sets.select(F.col("rep").alias("v"), F.col("shingles").alias("y"))
-    return map_slices(pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y"), run, "u bigint, v bigint")
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(left, "u").join(right, "v").withColumn("both", both).where(
+        F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * percent).select("u", "v")
 
 
 def components(edges: DataFrame) -> DataFrame:
