@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 #: Blank and \t..\r, the white space of all contracts.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ROWS = 64
+ROWS, BATCH_ROWS = 64, 512
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +28,12 @@ def map_slices(df: DataFrame, fn, schema: str, rows: int = ROWS) -> DataFrame:
     """Runs ``fn(columns) -> columns`` on slices of a few rows in the tasks that hold them.
 
     ``columns``: name -> list; strings arrive as UTF-8 bytes, arrays as numpy arrays.  ``fn`` may return any number of
-    rows.  Slices keep the memory of a worker near that of a few texts.
+    rows.  Slices keep the memory of a worker near that of a few texts.  Arrow batches of the
+    session are cut to ``BATCH_ROWS`` rows: ten thousand whole texts would fill an executor.
     """
+    conf, most = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(most)) <= BATCH_ROWS:
+        conf.set(most, str(BATCH_ROWS))
     spark_schema = StructType.fromDDL(schema)
     arrow = to_arrow_schema(spark_schema)
 
