@@ -17,8 +17,8 @@ first document.  Both hashes together have 128 bits.  A common passage is combin
 shuffle, so no task meets all its copies.
 
 Defined results: null, empty and short texts have no windows; a word is removed if any covered window
-holds it; rows that repeat a doc_id are one document and do not cover each other; a null doc_id counts
-as the largest; an empty table gives no rows; other columns are not read.
+holds it; rows that repeat a doc_id are one document and do not cover each other, but each is cut by its
+own text; a null doc_id counts as the largest; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -61,18 +61,19 @@ def gram_runs(words: np.ndarray, window: int = WINDOW, gram: int = GRAM):
 
 
 def document_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """id (doc_id, null as the largest) and its runs as four arrays."""
+    """id, text_hash (of the row) and its runs as four arrays."""
     def run(cols):
         found = [gram_runs(word_hashes(t), window, gram) for t in cols["text"]]
-        return {"id": cols["id"], "g": [f[0] for f in found], "c": [f[1] for f in found],
+        return {"id": cols["id"], "text_hash": cols["text_hash"], "g": [f[0] for f in found], "c": [f[1] for f in found],
                 "s": [f[2].astype(np.int32) for f in found], "e": [f[3].astype(np.int32) for f in found]}
 
-    rows = texts(docs).select(_id(), "text")
-    return map_slices(rows, run, "id bigint, g array<bigint>, c array<bigint>, s array<int>, e array<int>")
+    rows = texts(docs).select(*_key(), "text")
+    return map_slices(rows, run, "id bigint, text_hash bigint, g array<bigint>, c array<bigint>, s array<int>, e array<int>")
 
 
-def _id() -> Column:
-    return F.coalesce("doc_id", F.lit(_LAST)).alias("id")
+def _key() -> list[Column]:
+    """id (doc_id, null as the largest) says which document is earlier; with text_hash it names the row."""
+    return [F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("text_hash")]
 
 
 def _counter(row: int, width: int) -> Column:
@@ -86,9 +87,9 @@ def sketch(found: DataFrame, row: int, width: int) -> DataFrame:
 
 
 def survivors(found: DataFrame, rows: int = ROWS, counters: int = COUNTERS) -> DataFrame:
-    """(id, g, c, s, e): runs whose gram has two documents or more by every row of the sketch."""
+    """(id, text_hash, g, c, s, e): runs whose gram has two documents or more by every row of the sketch."""
     width = max(1024, counters * (found.agg(F.sum(F.size("g"))).first()[0] or 0))
-    left = found.select("id", F.explode(F.arrays_zip("g", "c", "s", "e")).alias("r")).select("id", "r.*")
+    left = found.select("id", "text_hash", F.explode(F.arrays_zip("g", "c", "s", "e")).alias("r")).select("id", "text_hash", "r.*")
     for row in range(rows):
         left = left.withColumn("counter", _counter(row, width)).join(
             written(sketch(found, row, width)), "counter", "left_semi").drop("counter")
@@ -96,37 +97,40 @@ def survivors(found: DataFrame, rows: int = ROWS, counters: int = COUNTERS) -> D
 
 
 def windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(id, g, h, at) of every single window of the wanted runs (id, g, s, e)."""
-    per = wanted.groupBy("id").agg(F.collect_set(F.struct("g", "s", "e")).alias("r"))
-    rows = texts(docs).select(_id(), "text").join(per, "id").select("id", "text", "r.g", "r.s", "r.e")
+    """(id, text_hash, g, h, at) of every single window of the wanted runs (id, text_hash, g, s, e)."""
+    per = wanted.groupBy("id", "text_hash").agg(F.collect_set(F.struct("g", "s", "e")).alias("r"))
+    rows = texts(docs).select(*_key(), "text").join(per, ["id", "text_hash"]).select(
+        "id", "text_hash", "text", "r.g", "r.s", "r.e")
 
     def run(cols):
-        out = {"id": [], "g": [], "h": [], "at": []}
-        for doc, text, g, s, e in zip(cols["id"], cols["text"], cols["g"], cols["s"], cols["e"]):
+        out = {"id": [], "text_hash": [], "g": [], "h": [], "at": []}
+        for doc, key, text, g, s, e in zip(*[cols[c] for c in ("id", "text_hash", "text", "g", "s", "e")]):
             words = word_hashes(text)
             order = np.argsort(s, kind="stable")
             at = np.concatenate([np.arange(a, b + 1) for a, b in zip(s[order], e[order])])
             out["id"].append(np.full(len(at), doc))
+            out["text_hash"].append(np.full(len(at), key))
             out["g"].append(np.repeat(g[order], e[order] - s[order] + 1))
             out["h"].append(span_hashes(words, at, at + window).view(np.int64))
             out["at"].append(at.astype(np.int32))
         return {k: np.concatenate(v) if v else [] for k, v in out.items()}
 
-    return map_slices(rows, run, "id bigint, g bigint, h bigint, at int")
+    return map_slices(rows, run, "id bigint, text_hash bigint, g bigint, h bigint, at int")
 
 
 def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, rows: int = ROWS, counters: int = COUNTERS) -> DataFrame:
-    """id and spans, the (first, last) windows of the document that start in an earlier one too."""
+    """id, text_hash and spans, the (first, last) windows of the row that an earlier document holds too."""
     left = written(survivors(written(document_runs(docs, window, gram)), rows, counters))
     groups = written(left.groupBy("g", "c").agg(F.min("id").alias("first")))
     marked = left.join(groups, ["g", "c"])
-    whole = marked.where("id > first").select("id", "s", "e")
+    whole = marked.where("id > first").select("id", "text_hash", "s", "e")
 
     several = groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     alone = written(windows(docs, marked.where("id = first").join(several, "g", "left_semi"), window))
     earliest = alone.groupBy("g", "h").agg(F.min("id").alias("first"), F.max("id").alias("top")).where("first < top")
-    single = alone.join(earliest, ["g", "h"]).where("id > first").select("id", F.col("at").alias("s"), F.col("at").alias("e"))
-    return whole.unionByName(single).groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    single = alone.join(earliest, ["g", "h"]).where("id > first").select(
+        "id", "text_hash", F.col("at").alias("s"), F.col("at").alias("e"))
+    return whole.unionByName(single).groupBy("id", "text_hash").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, **settings) -> DataFrame:
@@ -146,6 +150,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, **settings) -> DataFr
         return pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
 
     spans = covered(docs, window, **settings)
-    rows = texts(docs).withColumn("id", _id()).join(spans, "id", "left")
+    rows = texts(docs).select("doc_id", *_key(), "text").join(spans, ["id", "text_hash"], "left")
     done = rows.select("doc_id", cut("text", F.col("spans.s"), F.col("spans.e")).alias("c"))
     return done.select("doc_id", "c.text", "c.n_words", "c.n_removed")

@@ -62,3 +62,29 @@ def test_cases(spark):
     got = rows(op.substring_dedup(docs), "doc_id", "n_removed")
     assert got == sorted([(None, 60), (None, 60), (4, 0), (4, 0), (5, 0)], key=repr)
     assert op.substring_dedup(docs.limit(0)).collect() == []
+
+
+def test_null_and_repeated_ids_with_different_texts(spark):
+    def words(tag, n):
+        return " ".join(f"{tag}{i}" for i in range(n))
+
+    passage = words("p", 30)
+    texts = [passage + " " + words("a", 5), words("b", 90) + " " + passage, words("c", 90), words("d", 20),
+             passage + " " + words("e", 40), words("f", 60) + " " + passage, words("g", 70), "p1 p2", None]
+    ids = [1, None, None, None, None, 4, 4, 4, 4]
+    removed = [0, 30, 0, 0, 30, 30, 0, 0, 0]
+    want = [(i, " ".join(w for w in (t or "").split() if not n or w[0] != "p"), len((t or "").split()), n)
+            for i, t, n in zip(ids, texts, removed)]
+    got = op.substring_dedup(clashing(documents(spark, texts, ids=ids)), window=12, gram=4)
+    assert rows(got, "doc_id", "text", "n_words", "n_removed") == sorted(want, key=repr)
+
+
+def test_random_texts_under_few_ids(spark):
+    for seed in (3, 4):
+        texts = corpus(seed)
+        r = random.Random(seed)
+        ids = [r.choice([1, 2, 3, 4, None]) for _ in texts]
+        last = [99 if i is None else i for i in ids]
+        want = sorted(((None if i == 99 else i, *rest) for i, *rest in brute(texts, last, 12)), key=repr)
+        got = op.substring_dedup(documents(spark, texts, ids=ids), window=12, gram=4)
+        assert rows(got, "doc_id", "text", "n_words", "n_removed") == want
