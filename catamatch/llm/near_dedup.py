@@ -7,7 +7,9 @@ probability 2e-8, one of 0.8 with 3e-6.
 
 Then, without ever listing the pairs of a group:
 
-1. Documents with equal sets form a class, known by its smallest doc_id; only classes go on.
+1. Documents with equal sets form a class, known by its smallest doc_id; only classes go on.  Where
+   a doc_id repeats with different sets and is the smallest of several classes, all but one of these
+   are known by a hash of the set from ``_OTHER`` up, so that each class has links of its own.
 2. A shingle that no other candidate holds can be in no intersection.  From their number follows
    a bound on the similarity of a class to any other one; classes below the threshold leave, and
    pairs below it are not looked at.  This is exact.
@@ -21,7 +23,8 @@ document size goes to the driver, and skewed bands and classes meet only in join
 execution splits.
 
 Defined results: a text of fewer words than a shingle is one shingle; a null, empty or blank text
-has no set and no links; rows that repeat a doc_id are copies of one document; a document without
+has no set and no links; a component is named by the smallest doc_id in it, and the rows that bear
+this doc_id are kept; rows that repeat a doc_id are judged each by its own text; a document without
 doc_id joins its class but is never its name; empty tables give no rows; other columns are not read.
 """
 
@@ -40,6 +43,7 @@ from catamatch.operators.stage import written
 SHINGLE, PERMUTATIONS, BAND_VALUES = 5, 48, 4
 PERCENT = 80
 _SLICE = 4096
+_OTHER = 1 << 62
 _RANDOM = np.random.Generator(np.random.PCG64(5))
 _FACTORS = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -66,9 +70,9 @@ def bands(values: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_hash (of the whole set), bands."""
+    """doc_id, text_hash (with doc_id it names the row), n_shingles, set_hash (of the whole set), bands."""
     def run(cols):
-        out = {"doc_id": cols["doc_id"], "n_shingles": [], "set_hash": [], "bands": []}
+        out = {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "n_shingles": [], "set_hash": [], "bands": []}
         for text in cols["text"]:
             found = shingle_set(word_hashes(text, lower=True), SHINGLE)
             out["n_shingles"].append(len(found))
@@ -76,16 +80,31 @@ def features(docs: DataFrame) -> DataFrame:
             out["bands"].append(bands(signature(found)).view(np.int64) if len(found) else [])
         return out
 
-    return map_slices(texts(docs), run, "doc_id bigint, n_shingles bigint, set_hash binary, bands array<bigint>")
+    return map_slices(texts(docs, _text_hash()), run,
+                      "doc_id bigint, text_hash bigint, n_shingles bigint, set_hash binary, bands array<bigint>")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+
+
+def classes(found: DataFrame) -> DataFrame:
+    """set_hash, name (the smallest doc_id of the class) and rep, which no other class has."""
+    named = written(found.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("name")))
+    several = named.groupBy("name").agg(F.count("*").alias("c"), F.min("set_hash").alias("own")).where("c > 1")
+    several = several.where("name is not null").select("name", "own")
+    other = F.shiftrightunsigned(F.xxhash64("set_hash"), 2).bitwiseOR(F.lit(_OTHER))
+    return written(named.join(several, "name", "left").select(
+        "set_hash", "name", F.when(F.col("own") != F.col("set_hash"), other).otherwise(F.col("name")).alias("rep")))
 
 
 def full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """rep and its sorted shingles, for the named documents only."""
+    """rep and its sorted shingles, for the named rows (doc_id, text_hash, rep) only."""
     def run(cols):
         return {"rep": cols["rep"], "shingles": [
             shingle_set(word_hashes(t, lower=True), SHINGLE).view(np.int64) for t in cols["text"]]}
 
-    wanted = texts(docs).join(reps, F.col("doc_id") == F.col("rep")).select("rep", "text")
+    wanted = texts(docs, _text_hash()).join(reps, ["doc_id", "text_hash"]).select("rep", "text")
     return map_slices(wanted, run, "rep bigint, shingles array<bigint>")
 
 
@@ -131,22 +150,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+    """doc_id, n_shingles, component_id, kept, text_hash for every row; doc_id and text_hash name the row.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets.
     """
     found = written(features(docs))
     # written, so that the join below shuffles by itself and a large class can be split there
-    named = written(found.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
+    named = classes(found)
     members = written(found.join(named, "set_hash", "left").select(
-        "doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
+        "doc_id", "text_hash", "n_shingles", "name", "rep",
+        F.when(F.col("doc_id") == F.col("name"), F.col("bands")).alias("bands")))
     reps = members.where("bands is not null")
     rows = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     rows = written(rows.join(shared, "key", "left_semi"))
 
     # step 2: what no other candidate holds
-    sets = written(full_sets(docs, rows.select("rep").distinct()))
+    wanted = reps.select("doc_id", "text_hash", "rep").distinct()
+    sets = written(full_sets(docs, wanted.join(rows.select("rep").distinct(), "rep", "left_semi")))
     single = sets.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(
         F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
     alive = sets.select("rep", F.size("shingles").cast("long").alias("n")).distinct().join(single, "rep", "left").select(
@@ -179,12 +200,17 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         final = components(old.unionByName(more))
 
     final = final.select(F.col("node").alias("rep"), "label")
-    component = F.least(F.coalesce("label", "rep", "doc_id"), F.coalesce("rep", "doc_id"))
-    return same(members.select("doc_id", "n_shingles", "rep"), final, "rep").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # a class known by a hash can hold the smallest doc_id of its component
+    named = final.join(named.select("rep", "name"), "rep")
+    final = final.join(named.groupBy("label").agg(F.min("name").alias("top")), "label").select("rep", "top")
+    component = F.coalesce("top", "name", "doc_id")
+    return same(members.select("doc_id", "text_hash", "n_shingles", "name", "rep"), final, "rep").select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "text_hash")
 
 
 def kept_documents(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    gone = decisions.where("not kept").select("doc_id").distinct()
-    return same(docs, gone, how="left_anti")
+    """The documents that stay, with all their columns: rows that are themselves kept."""
+    gone = decisions.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["__hash"]), "left_anti")

@@ -46,7 +46,8 @@ def op3_mix(spark, sf_dir):
 
 
 def op5_near_dedup(spark, sf_dir):
-    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), percent=85)
+    found = near_dedup.near_dedup(table(spark, sf_dir, "documents"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op8_substring_dedup(spark, sf_dir):

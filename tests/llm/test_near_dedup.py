@@ -90,3 +90,20 @@ def test_cases(spark):
     assert rows(got, "doc_id", "component_id", "kept") == sorted(
         [(None, 5, False), (5, 5, True), (5, 5, True), (6, 6, True), (None, None, True)], key=repr)
     assert op.near_dedup(docs.limit(0)).collect() == []
+
+
+def test_kept_documents_with_null_and_repeated_ids(spark):
+    r = random.Random(9)
+    long = [" ".join("".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(300)) for _ in range(3)]
+    texts = ["a b c d e f", "a b c d e f", "a b c d e f", None, "z", "A B C D E F", "u v w x y z", "a b c d e f",
+             long[0], long[0] + " end", long[1], long[2], long[2] + " end", None]
+    ids = [None, 5, 5, 6, None, 7, 7, 7, 20, 21, 21, 30, 21, None]
+    stays = [1, 2, 3, 4, 6, 8, 10, 12, 13]
+    docs = clashing(documents(spark, texts, ids=ids))
+    found = op.near_dedup(docs)
+    components = [5, 5, 5, 6, None, 5, 7, 5, 20, 20, 21, 21, 21, None]
+    want = [(i, c, i == c) for i, c in zip(ids, components)]
+    assert rows(found, "doc_id", "component_id", "kept") == sorted(want, key=repr)
+    kept = op.kept_documents(docs, found)
+    assert kept.columns == docs.columns
+    assert rows(kept, "doc_id", "text") == sorted(((ids[i], texts[i]) for i in stays), key=repr)
