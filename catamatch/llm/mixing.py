@@ -2,9 +2,12 @@
 
 Sources get targets that share the size of the whole by weight, none above ``REPEATS`` times its
 own size.  Each source's words, its documents one after another, form a stream that is cut into
-blocks of ``BLOCK`` words.  The output is dealt in shards of ``SLOTS`` block-sized slots; each
-shard draws its counts per source from the multinomial with the target shares: the whole parts
-of the expected counts are fixed and the rest is drawn.  The slots of a source, numbered through
+the fewest blocks of at most ``BLOCK`` words, equal but for one word, so every slot of a source
+is worth the same.  The expected slots of a source are its target by the words of its block.  They
+are dealt over output shards of ``SLOTS`` slots on the whole: each shard gets the whole part of what
+it expects of a source or one more, drawn so that the sums over all shards are again the whole
+part or one more, with the expected number as their mean.  So no source is more than a block off its
+target, and none is drawn past its last allowed pass.  The slots of a source, numbered through
 all shards, are mapped to its blocks by an affine permutation of the block numbers with its own
 multiplier and shift for each pass, so a block comes up again only after all others have.  Slots
 and document pieces meet on (source, block).  Everything random is a hash of fixed numbers, so
@@ -12,7 +15,7 @@ reruns agree.
 
 A source may hold any share of the rows: places in its stream come from running totals dealt to
 parts, and the blocks of a source are as many join keys.  The table of sources, one row each, is
-the mix's configuration; its list of shares is the only thing that every task gets.
+the mix's configuration; a source's slots are listed in as many parts as it has shards' worth of them.
 
 Defined results: a null or blank text has size 0 and gives nothing; a null source is a source of its
 own, after all others; rows that repeat a doc_id are mixed each; empty tables give no rows.
@@ -70,35 +73,26 @@ def _uniform(*cols) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
-def draws(plan: DataFrame, block: int, slots: int, chunk: int, seed: int) -> DataFrame:
-    """Slots of all output shards: no (of the source) and slot (its number among the source's slots)."""
-    total = F.ceil(F.sum("target") / block).cast("long")
-    shards = plan.agg(total.alias("all")).select(F.explode(F.sequence(
-        F.lit(0).cast("long"), F.greatest(F.col("all") - 1, F.lit(0)), F.lit(slots).cast("long"))).alias("at"), "all").where(
-        F.col("at") < F.col("all")).select((F.col("at") / slots).cast("long").alias("shard"),
-                                           F.least(F.lit(slots).cast("long"), F.col("all") - F.col("at")).alias("z"))
-    # the shares of all sources, one entry a source, in each task
-    shares = plan.agg(F.array_sort(F.collect_list(F.struct("no", F.col("target").alias("t")))).alias("s")).scalar()
-    shards = shards.withColumns({"shares": shares, "whole": plan.agg(F.sum("target")).scalar()}).repartition("shard")
-    shards = shards.withColumn("e", F.transform("shares", lambda s: F.struct(
-        s["no"].alias("no"), (F.col("z") * s["t"] / F.col("whole")).alias("x")))).drop("shares", "whole")
-    shards = shards.withColumn("e", F.transform("e", lambda s: F.struct(
-        s["no"].alias("no"), F.floor(s["x"]).alias("n"), (s["x"] - F.floor(s["x"])).alias("r"))))
-    # the rest of the shard: each draw falls into one source's part of the line of remainders
-    rest = F.col("z") - F.aggregate("e", F.lit(0).cast("long"), lambda a, s: a + s["n"])
-    line = F.aggregate("e", F.struct(F.lit(0.0).alias("end"), F.array().cast("array<struct<no:int,end:double>>").alias("ends")),
-                       lambda a, s: F.struct((a["end"] + s["r"]).alias("end"), F.concat(a["ends"], F.array(F.struct(
-                           s["no"].alias("no"), (a["end"] + s["r"]).alias("end")))).alias("ends")))
-    shards = shards.withColumns({"rest": rest, "line": line})
-    fixed = shards.select("shard", F.explode("e").alias("e")).select("shard", "e.no", F.col("e.n").cast("long").alias("n"))
-    drawn = shards.where("rest > 0").select("shard", "line", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rest"))).alias("i"))
-    point = _uniform(F.lit(seed), "shard", "i") * F.col("line.end")
-    drawn = drawn.withColumn("u", point).select("shard", F.coalesce(
-        F.get(F.filter("line.ends", lambda e: e["end"] > F.col("u")), 0), F.element_at("line.ends", -1))["no"].alias("no"),
-        F.lit(1).cast("long").alias("n"))
-    counts = written(fixed.unionByName(drawn).groupBy("shard", "no").agg(F.sum("n").alias("n")).where("n > 0"))
-    placed = numbered(counts, ["no"], ["shard"], F.col("n"), "first", pieces_of(counts.count(), chunk))
-    return placed.select("no", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
+def block_count(block: int) -> Column:
+    """Blocks of a source: the fewest that hold its words."""
+    return F.ceil(F.col("source_size") / block).cast("long")
+
+
+def draws(plan: DataFrame, block: int, slots: int, repeats: int, seed: int) -> DataFrame:
+    """Slots of all output shards: no (of the source), blocks (of the source) and slot (its number among the source's slots).
+
+    A source of x expected slots with the random start u has floor(c x + u) - floor(b x + u) of them in
+    the shard that reaches from the share b to the share c of the whole.  Numbered through the shards
+    these are the slots 0 to floor(x + u) - 1, which is how they are listed.
+    """
+    each = plan.where("target > 0").withColumn("blocks", block_count(block))
+    # x is at most repeats * blocks, a whole number: the bound only undoes rounding of the sum
+    drawn = F.floor(F.col("target") / F.col("source_size") * F.col("blocks") + _uniform(F.lit(seed), "no"))
+    each = each.withColumn("n", F.least(drawn.cast("long"), F.col("blocks") * repeats)).where("n > 0")
+    parts = each.select("no", "blocks", "n", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.col("n") - 1, F.lit(slots).cast("long"))).alias("at")).repartition("no", "at")
+    return parts.select("no", "blocks", F.explode(F.sequence(
+        "at", F.least(F.col("at") + slots, F.col("n")) - 1)).alias("slot"))
 
 
 def permuted(slot: Column, blocks: Column, no: Column, seed: int) -> tuple[Column, Column]:
@@ -113,11 +107,26 @@ def permuted(slot: Column, blocks: Column, no: Column, seed: int) -> tuple[Colum
 
 
 def block_parts(streams: DataFrame, block: int) -> DataFrame:
-    """Documents cut at block borders: doc_id, start, no, block, words."""
+    """Documents cut at block borders: doc_id, start, no, block, words, at (place of the first one in the document, from 1).
+
+    The first ``more`` blocks of a source have ``short`` + 1 words, the others ``short``.
+    """
+    div = lambda a, b: F.call_function("div", a, b)
+    short, more = div(F.col("source_size"), F.col("blocks")), F.col("source_size") % F.col("blocks")
     lo, hi = F.col("start"), F.col("start") + F.col("size")
-    cut = streams.where("size > 0").withColumn("block", F.explode(F.sequence(
-        F.floor(lo / block).cast("long"), F.floor((hi - 1) / block).cast("long"))))
-    return cut.withColumn("words", F.least(hi, (F.col("block") + 1) * block) - F.greatest(lo, F.col("block") * block))
+    head = F.col("more") * (F.col("short") + 1)
+
+    def holds(place):
+        return F.when(place < head, div(place, F.col("short") + 1)).otherwise(F.col("more") + div(place - head, F.col("short")))
+
+    def begins(no):
+        return no * F.col("short") + F.least(no, F.col("more"))
+
+    cut = streams.where("size > 0").withColumn("blocks", block_count(block)).withColumns({"short": short, "more": more})
+    cut = cut.withColumn("block", F.explode(F.sequence(holds(lo), holds(hi - 1))))
+    first = F.greatest(lo, begins(F.col("block")))
+    return cut.withColumns({"words": F.least(hi, begins(F.col("block") + 1)) - first, "at": (first - lo + 1).cast("int")}).drop(
+        "blocks", "short", "more")
 
 
 def drawn_blocks(sized: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, slots: int = SLOTS,
@@ -125,17 +134,16 @@ def drawn_blocks(sized: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, bloc
     """The documents' places in their source's stream, and the drawn blocks.
 
     The first has doc_id, no, source_size, target, size, start; the second has each (no, block, turn)
-    once: the block comes up in that pass.  A slot beyond the last allowed pass stays empty.
+    once: the block comes up in that pass.
     """
     sized = written(sized)
     plan = written(targets(sized, weights, repeats))
     named = plan.withColumnRenamed("source", "__source")
     keyed = sized.join(named, sized["source"].eqNullSafe(named["__source"])).drop("__source")
     streams = written(numbered(keyed, ["no"], ["doc_id", "size"], F.col("size"), "start", pieces_of(sized.count(), chunk)))
-    blocks = plan.where("source_size > 0").select("no", F.ceil(F.col("source_size") / block).cast("long").alias("blocks"))
-    taken = draws(plan.where("target > 0"), block, slots, chunk, seed).join(blocks, "no")
+    taken = draws(plan, block, slots, repeats, seed)
     turn, at = permuted(F.col("slot"), F.col("blocks"), F.col("no"), seed)
-    return streams, taken.select("no", turn.alias("turn"), at.alias("block")).where(F.col("turn") < repeats)
+    return streams, taken.select("no", turn.alias("turn"), at.alias("block"))
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
@@ -159,10 +167,9 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
     streams, drawn = drawn_blocks(sizes(docs.withColumn("doc_id", key)), **settings)
     parts = block_parts(streams, settings.get("block", BLOCK)).join(drawn, ["no", "block"])
-    first = (F.greatest(F.col("start"), F.col("block") * settings.get("block", BLOCK)) - F.col("start") + 1).cast("int")
     spans = parts.groupBy("no", "start", "turn").agg(
         F.max("doc_id").alias("__key"), F.max("size").alias("__size"), F.sum("words").alias("__taken"),
-        F.array_sort(F.collect_list(F.struct(first.alias("at"), F.col("words").cast("int").alias("n")))).alias("__spans")
+        F.array_sort(F.collect_list(F.struct("at", F.col("words").cast("int").alias("n")))).alias("__spans")
     ).select("__key", "__size", "__taken", "__spans")
     one = docs.withColumn("__doc", key).dropDuplicates(["__doc"])
     both = one.join(spans, F.col("__doc") == F.col("__key"))

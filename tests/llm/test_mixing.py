@@ -97,3 +97,37 @@ def test_cases(spark):
 def test_query(spark):
     got = op3_mix(spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_small_sources_meet_their_targets(spark):
+    sizes = [1, 20, 127, 128, 129, 130, 200, 257, 300, 700]
+    sources, texts = ["big"], [" ".join(["w"] * 60000)]
+    for i in range(200):
+        sources.append(f"s{i:03}")
+        texts.append(" ".join(["w"] * sizes[i % len(sizes)]))
+    docs = documents(spark, texts, sources=sources)
+    for slots in (op.SLOTS, 64):
+        got = {r["doc_id"]: r for r in op.mix(docs, slots=slots).collect()}
+        for i, t in enumerate(texts):
+            r, n = got[i], len(t.split())
+            # a source of one document: never more than one of its equal blocks off, exact at the bound
+            assert abs(r["taken"] - r["target"]) <= -(-n // -(-n // op.BLOCK)) + 1e-6
+            assert r["target"] < 3 * n or r["taken"] == 3 * n
+        for n in sizes:
+            some = [r for r in got.values() if r["size"] == n]
+            assert sum(r["taken"] for r in some) == pytest.approx(sum(r["target"] for r in some), rel=0.05)
+
+
+def test_short_blocks_are_unbiased(spark):
+    # below their bound: each source expects a share of a block, over many seeds the mean is the target
+    texts = [" ".join(["w"] * n) for n in (3000, 130, 200, 20)]
+    docs = op.written(op.sizes(documents(spark, texts, sources=list("abcd"))))
+    target, taken = {}, {}
+    for seed in range(12):
+        streams, drawn = op.drawn_blocks(docs, weights=(40.0, 3.0, 3.0, 0.9), seed=seed)
+        parts = op.block_parts(streams, op.BLOCK).join(drawn, ["no", "block"])
+        for r in parts.groupBy("no").agg(F.sum("words").alias("w")).collect():
+            taken[r["no"]] = taken.get(r["no"], 0) + r["w"]
+        target = target or {r["no"]: r["target"] for r in streams.collect()}
+    for no, block in ((1, 65), (2, 100), (3, 20)):
+        assert abs(taken.get(no, 0) / 12 - target[no]) <= 0.5 * block
