@@ -162,9 +162,10 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix as documents: one row for each document and pass that takes any of its words.
 
     A document taken whole keeps its text; of another one the taken words are joined by blanks.
-    n_chars follows the text, other columns pass through.  Rows that repeat a doc_id are copies.
+    n_chars follows the text, other columns pass through.  Rows that repeat doc_id, text and source are copies.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    # a missing doc_id or source leaves its part out; ids are shorter than hashes, so keys stay apart
+    key = F.concat_ws("/", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))), F.md5("source"))
     streams, drawn = drawn_blocks(sizes(docs.withColumn("doc_id", key)), **settings)
     parts = block_parts(streams, settings.get("block", BLOCK)).join(drawn, ["no", "block"])
     spans = parts.groupBy("no", "start", "turn").agg(

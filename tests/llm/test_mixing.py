@@ -131,3 +131,20 @@ def test_short_blocks_are_unbiased(spark):
         target = target or {r["no"]: r["target"] for r in streams.collect()}
     for no, block in ((1, 65), (2, 100), (3, 20)):
         assert abs(taken.get(no, 0) / 12 - target[no]) <= 0.5 * block
+
+
+def test_documents_that_share_an_id(spark):
+    texts = ["a b c", "d e", "d e", "f", "g h", "i", "a b c", "a b c"]
+    sources = ["s", "s", "t", None, "s", "t", "s", None]
+    docs = documents(spark, texts, ids=[1, 1, 1, 1, None, None, 2, None], sources=sources)
+    mixed = op.mixed_documents(docs, weights=(1,), block=1).collect()
+    sizes = {r["no"]: r for r in op.targets(op.sizes(docs), (1,)).collect()}
+    names = {r["source"]: r["target"] for r in sizes.values()}
+    for source, target in names.items():
+        words = [w for r in mixed if r["source"] == source for w in r["text"].split()]
+        assert abs(len(words) - target) <= 1
+    whole = {(r["doc_id"], r["source"], w) for r in docs.collect() for w in r["text"].split()}
+    got = {(r["doc_id"], r["source"], w) for r in mixed for w in r["text"].split()}
+    assert got <= whole
+    full = op.mixed_documents(docs.withColumn("source", F.lit("s")))
+    assert rows(full, "doc_id", "text") == sorted(zip([1, 1, 1, 1, None, None, 2, None], texts), key=repr)
