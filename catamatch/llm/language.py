@@ -9,7 +9,7 @@ The machines are fitted on the driver on a bounded sample: at most ``SAMPLE`` la
 all, as many of each language where it has them, chosen by a hash of doc_id.  Everything else reads all rows.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is any text when
-nothing can be learned; rows that repeat a doc_id are judged each (and learned from once); a null
+nothing can be learned (``accepted`` then rejects only texts without a letter); rows that repeat a doc_id are judged each (and learned from once); a null
 doc_id is not held out and not learned from; an empty table gives no rows.
 """
 
@@ -179,6 +179,13 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def accepted(docs: DataFrame, sample: int = SAMPLE, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents whose language is known, with all their columns."""
-    marked = predicted(docs, learn(docs, sample))
+    """The documents whose language is known, with all their columns.
+
+    When nothing can be learned no language can be judged: all documents with a letter stay.
+    """
+    model = learn(docs, sample)
+    if model is None:
+        letter = pandas_udf(lambda text: text.map(lambda t: bool(t) and has_letter(t)), "boolean")
+        return docs.where(letter(F.col("text")))
+    marked = predicted(docs, model)
     return marked.where((F.col("__pred.lang") != UNKNOWN) & (F.col("__pred.score") >= least)).drop("__pred")

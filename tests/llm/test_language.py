@@ -64,3 +64,10 @@ def test_pieces(monkeypatch):
     monkeypatch.setattr(op, "PIECE", 64)
     assert abs(op.features(text) - whole).max() < 1e-6
     assert op.features(b"").sum() == 0
+
+
+def test_accepted_without_a_model(spark):
+    docs = clashing(documents(spark, ["abc", None, "", "12 ?!", "é 1", "x"], langs=[None] * 6, ids=[0, 1, 2, 3, 4, None]))
+    kept = op.accepted(docs)
+    assert kept.columns == docs.columns and rows(kept, "doc_id", "text") == [(0, "abc"), (4, "é 1"), (None, "x")]
+    assert op.accepted(docs.limit(0)).collect() == []
