@@ -27,7 +27,8 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 def map_slices(df: DataFrame, fn, schema: str, rows: int = ROWS) -> DataFrame:
     """Runs ``fn(columns) -> columns`` on slices of a few rows in the tasks that hold them.
 
-    ``columns``: name -> list; strings arrive as UTF-8 bytes, arrays as numpy arrays.  ``fn`` may return any number of
+    ``columns``: name -> list; strings arrive as UTF-8 bytes, arrays of numbers as numpy
+    arrays, others as lists.  ``fn`` may return any number of
     rows.  Slices keep the memory of a worker near that of a few texts.  Arrow batches of the
     session are cut to ``BATCH_ROWS`` rows: ten thousand whole texts would fill an executor.
     """
@@ -43,7 +44,7 @@ def map_slices(df: DataFrame, fn, schema: str, rows: int = ROWS) -> DataFrame:
                 part = batch.slice(at, rows)
                 cols = {}
                 for name, col in zip(part.schema.names, part.columns):
-                    if pa.types.is_list(col.type):
+                    if pa.types.is_list(col.type) and pa.types.is_primitive(col.type.value_type):
                         at, values = col.offsets.to_numpy(), col.values.to_numpy()
                         cols[name] = [values[a:b] for a, b in zip(at, at[1:])]
                         continue

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catamatch.llm import (exact_dedup, fingerprints, language, line_dedup, mixing, near_dedup, packing, pii,
-                           substring_dedup, url_filter)
+from catamatch.llm import (conversation_repair, exact_dedup, fingerprints, language, line_dedup, mixing, near_dedup, packing, pii,
+                           sentence_pieces, substring_dedup, url_filter)
 from catamatch.llm.common import table
 
 _WS = r"[\x20\x09-\x0D]"
@@ -63,9 +63,24 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_sentence_pieces(spark, sf_dir):
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = sentence_pieces.decoded(sentence_pieces.encoded(table(spark, sf_dir, "documents"), model), model)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"), "agreed")
+
+
+def op12_conversation_repair(spark, sf_dir):
+    rows = conversation_repair.repair(table(spark, sf_dir, "conversations"))
+    return rows.select(*rows.columns[:-1], F.sha2("text", 256).alias("repaired_sha256"))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_exact_dedup, op2_personal_data, op3_mix, op4_pack, op5_near_dedup, op6_url_filter, op7_line_dedup,
-    op8_substring_dedup, op9_language, op10_fingerprints)}
+    op8_substring_dedup, op9_language, op10_fingerprints, op11_sentence_pieces, op12_conversation_repair)}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
