@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catamatch.llm import (conversation_repair, exact_dedup, fingerprints, language, line_dedup, mixing, near_dedup, packing, pii,
+from catamatch.llm import (conversation_repair, exact_dedup, fingerprints, language, lexical_search, line_dedup, mixing, near_dedup, packing, pii,
                            sentence_pieces, substring_dedup, url_filter)
 from catamatch.llm.common import table
 
@@ -78,10 +78,16 @@ def op12_conversation_repair(spark, sf_dir):
     return rows.select(*rows.columns[:-1], F.sha2("text", 256).alias("repaired_sha256"))
 
 
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_exact_dedup, op2_personal_data, op3_mix, op4_pack, op5_near_dedup, op6_url_filter, op7_line_dedup,
-    op8_substring_dedup, op9_language, op10_fingerprints, op11_sentence_pieces, op12_conversation_repair)}
+    op8_substring_dedup, op9_language, op10_fingerprints, op11_sentence_pieces, op12_conversation_repair,
+    op13_lexical_search)}
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL = {
@@ -144,4 +150,17 @@ SQL = {
                      string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id)
         SELECT documents.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN t USING (doc_id)""",
+    "op13_lexical_search": rf"""
+        WITH i AS (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark),
+        q AS (SELECT item_id, text, unnest(regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '{_TERM}')) AS term FROM i),
+        d AS (SELECT doc_id, row_number() OVER () AS no,
+                     regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_TERM}') AS terms FROM documents),
+        s AS (SELECT count(*) FILTER (len(terms) > 0) AS docs, sum(len(terms)) AS size FROM d),
+        t AS (SELECT no, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+        f AS (SELECT no, doc_id, n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term, docs),
+        c AS (SELECT item_id, text, no, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // size)))) AS BIGINT) AS score
+              FROM q JOIN f USING (term) JOIN w USING (term), s GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM c WHERE score > 0)
+        SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 10""",
 }
