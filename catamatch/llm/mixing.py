@@ -3,19 +3,19 @@
 Sources get targets that share the size of the whole by weight, none above ``REPEATS`` times its
 own size.  Each source's words, its documents one after another, form a stream that is cut into
 the fewest blocks of at most ``BLOCK`` words, equal but for one word, so every slot of a source
-is worth the same.  The expected slots of a source are its target by the words of its block.  They
-are dealt over output shards of ``SLOTS`` slots on the whole: each shard gets the whole part of what
-it expects of a source or one more, drawn so that the sums over all shards are again the whole
-part or one more, with the expected number as their mean.  So no source is more than a block off its
-target, and none is drawn past its last allowed pass.  The slots of a source, numbered through
-all shards, are mapped to its blocks by an affine permutation of the block numbers with its own
-multiplier and shift for each pass, so a block comes up again only after all others have.  Slots
-and document pieces meet on (source, block).  Everything random is a hash of fixed numbers, so
+is worth the same.  The expected slots of a source are its target by the words of its block, rounded at
+random to whole slots.  Output shards of ``SLOTS`` slots draw multinomial source counts with these odds.
+What chance has drawn beyond a source's slots over all shards is handed to the sources that came short,
+so no source is more than a block off its target, and none is drawn past its last allowed pass.  The
+slots of a source, numbered through all shards, are mapped to its blocks by an affine permutation of the
+block numbers with its own multiplier and shift for each pass, so a block comes up again only after all
+others have.  Slots and document pieces meet on (source, block).  Everything random is a hash of fixed numbers, so
 reruns agree.
 
 A source may hold any share of the rows: places in its stream come from running totals dealt to
 parts, and the blocks of a source are as many join keys.  The table of sources, one row each, is
-the mix's configuration; a source's slots are listed in as many parts as it has shards' worth of them.
+the mix's configuration; slots are rows of their own, spread by a hash.  Joins that grow with the documents
+are merge joins, so none turns into a broadcast by its compressed size.
 
 Defined results: a null or blank text has size 0 and gives nothing; a null source is a source of its
 own, after all others; rows that repeat a doc_id are mixed each; empty tables give no rows.
@@ -78,21 +78,63 @@ def block_count(block: int) -> Column:
     return F.ceil(F.col("source_size") / block).cast("long")
 
 
-def draws(plan: DataFrame, block: int, slots: int, repeats: int, seed: int) -> DataFrame:
-    """Slots of all output shards: no (of the source), blocks (of the source) and slot (its number among the source's slots).
-
-    A source of x expected slots with the random start u has floor(c x + u) - floor(b x + u) of them in
-    the shard that reaches from the share b to the share c of the whole.  Numbered through the shards
-    these are the slots 0 to floor(x + u) - 1, which is how they are listed.
-    """
+def rounded(plan: DataFrame, block: int, repeats: int, seed: int) -> DataFrame:
+    """no, blocks (of the source) and n, its slots over all shards: the whole part of what it expects or one more, by a random start."""
     each = plan.where("target > 0").withColumn("blocks", block_count(block))
     # x is at most repeats * blocks, a whole number: the bound only undoes rounding of the sum
     drawn = F.floor(F.col("target") / F.col("source_size") * F.col("blocks") + _uniform(F.lit(seed), "no"))
-    each = each.withColumn("n", F.least(drawn.cast("long"), F.col("blocks") * repeats)).where("n > 0")
-    parts = each.select("no", "blocks", "n", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.col("n") - 1, F.lit(slots).cast("long"))).alias("at")).repartition("no", "at")
-    return parts.select("no", "blocks", F.explode(F.sequence(
-        "at", F.least(F.col("at") + slots, F.col("n")) - 1)).alias("slot"))
+    return each.select("no", "blocks", F.least(drawn.cast("long"), F.col("blocks") * repeats).alias("n")).where("n > 0")
+
+
+def multinomial(each: DataFrame, total: int, sources: int, slots: int, seed: int) -> DataFrame:
+    """shard, no, count: every slot of every shard draws a source with the odds of its n.
+
+    A slot draws a number below ``total``; the sources share these by ranges, and both meet on cells of equal width.
+    """
+    width = pieces_of(total, sources)
+    ends = numbered(each, [], ["no"], F.col("n"), "lo", pieces_of(sources, CHUNK)).withColumn("hi", F.col("lo") + F.col("n"))
+    div = lambda c: F.expr(f"{c} div {width}L")
+    ranges = ends.select("no", "lo", "hi", F.explode(F.sequence(div("lo"), div("(hi - 1)"))).alias("cell"))
+    drawn = each.sparkSession.range(total).select(
+        F.expr(f"id div {slots}L").alias("shard"), F.pmod(F.xxhash64(F.lit(seed + 2), "id"), F.lit(total)).alias("u"))
+    met = drawn.withColumn("cell", div("u")).join(ranges, "cell").where("u >= lo and u < hi")
+    return met.groupBy("shard", "no").agg(F.count("*").alias("count"))
+
+
+def draws(plan: DataFrame, block: int, slots: int, repeats: int, seed: int) -> DataFrame:
+    """Slots of all output shards: shard, no and blocks (of the source) and slot (its number among the source's slots).
+
+    Shards of ``slots`` slots draw multinomial source counts.  A source's slots are numbered through the
+    shards; those past its n are handed, one by one, to the sources that were drawn less often than their n.
+    So in the end each source has the slots 0 to n - 1.
+    """
+    each = written(rounded(plan, block, repeats, seed))
+    sums = each.agg(F.sum("n").alias("total"), F.count("*").alias("sources")).first()
+    total, sources = sums["total"] or 0, sums["sources"]
+    if not total:
+        return each.select(F.lit(0).cast("long").alias("shard"), "no", "blocks", F.col("n").alias("slot"))
+    counts = written(multinomial(each, total, sources, slots, seed))
+    shards = pieces_of(total, slots)
+    placed = written(numbered(counts, ["no"], ["shard"], F.col("count"), "first", pieces_of(shards, CHUNK)).join(each, "no"))
+
+    def listed(rows, first, end):
+        return rows.where(F.col(first) < F.col(end)).withColumn("slot", F.explode(F.sequence(first, F.col(end) - 1)))
+
+    own = listed(placed.withColumn("end", F.least("n", F.col("first") + F.col("count"))), "first", "end")
+    over = placed.withColumn("more", F.col("count") - F.greatest(F.lit(0), F.least("count", F.col("n") - F.col("first")))).where("more > 0")
+    had = placed.groupBy("no").agg(F.sum("count").alias("had"))
+    lacking = each.join(had, "no", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < n")
+
+    def units(rows, amount, order, parts):
+        """A row for each unit of the amount, numbered through all rows as ``unit``."""
+        ranked = numbered(rows, [], order, F.col(amount), "lo", parts)
+        return ranked.withColumn("unit", F.explode(F.sequence("lo", F.col("lo") + F.col(amount) - 1)))
+
+    given = units(over.select("shard", "no", "more"), "more", ["shard", "no"], pieces_of(total, CHUNK * slots)).select("unit", "shard")
+    wanted = units(lacking.withColumn("lack", F.col("n") - F.col("had")), "lack", ["no"], pieces_of(sources, CHUNK))
+    moved = wanted.withColumn("slot", F.col("had") + F.col("unit") - F.col("lo")).join(given, "unit")
+    names = ["shard", "no", "blocks", "slot"]
+    return own.select(*names).unionByName(moved.select(*names))
 
 
 def permuted(slot: Column, blocks: Column, no: Column, seed: int) -> tuple[Column, Column]:
@@ -134,7 +176,7 @@ def drawn_blocks(sized: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, bloc
     """The documents' places in their source's stream, and the drawn blocks.
 
     The first has doc_id, no, source_size, target, size, start; the second has each (no, block, turn)
-    once: the block comes up in that pass.
+    once, with its shard: the block comes up in that pass.
     """
     sized = written(sized)
     plan = written(targets(sized, weights, repeats))
@@ -143,18 +185,18 @@ def drawn_blocks(sized: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, bloc
     streams = written(numbered(keyed, ["no"], ["doc_id", "size"], F.col("size"), "start", pieces_of(sized.count(), chunk)))
     taken = draws(plan, block, slots, repeats, seed)
     turn, at = permuted(F.col("slot"), F.col("blocks"), F.col("no"), seed)
-    return streams, taken.select("no", turn.alias("turn"), at.alias("block"))
+    return streams, taken.select("shard", "no", turn.alias("turn"), at.alias("block"))
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, size, source_size, target (its source's), taken (words the mix takes, repeats counted)."""
     streams, drawn = drawn_blocks(sizes(docs), **settings)
     times = drawn.groupBy("no", "block").agg(F.count("*").alias("times"))
-    parts = block_parts(streams, settings.get("block", BLOCK)).join(times, ["no", "block"])
+    parts = block_parts(streams, settings.get("block", BLOCK)).join(times.hint("merge"), ["no", "block"])
     # among documents with words, (source, start) names one
     taken = parts.groupBy("no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     key = F.when(F.col("size") > 0, F.col("start"))
-    return (streams.withColumn("start", key).join(taken, ["no", "start"], "left")
+    return (streams.withColumn("start", key).join(taken.hint("merge"), ["no", "start"], "left")
             .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")))
 
 
@@ -167,13 +209,13 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     # a missing doc_id or source leaves its part out; ids are shorter than hashes, so keys stay apart
     key = F.concat_ws("/", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))), F.md5("source"))
     streams, drawn = drawn_blocks(sizes(docs.withColumn("doc_id", key)), **settings)
-    parts = block_parts(streams, settings.get("block", BLOCK)).join(drawn, ["no", "block"])
+    parts = block_parts(streams, settings.get("block", BLOCK)).join(drawn.hint("merge"), ["no", "block"])
     spans = parts.groupBy("no", "start", "turn").agg(
         F.max("doc_id").alias("__key"), F.max("size").alias("__size"), F.sum("words").alias("__taken"),
         F.array_sort(F.collect_list(F.struct("at", F.col("words").cast("int").alias("n")))).alias("__spans")
     ).select("__key", "__size", "__taken", "__spans")
     one = docs.withColumn("__doc", key).dropDuplicates(["__doc"])
-    both = one.join(spans, F.col("__doc") == F.col("__key"))
+    both = one.join(spans.hint("merge"), F.col("__doc") == F.col("__key"))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     both = both.withColumn("__words", F.when(F.col("__taken") < F.col("__size"), words))
     cut = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice("__words", s["at"], s["n"]))), " ")

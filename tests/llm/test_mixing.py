@@ -148,3 +148,59 @@ def test_documents_that_share_an_id(spark):
     assert got <= whole
     full = op.mixed_documents(docs.withColumn("source", F.lit("s")))
     assert rows(full, "doc_id", "text") == sorted(zip([1, 1, 1, 1, None, None, 2, None], texts), key=repr)
+
+
+def test_shards_draw_multinomial_counts(spark):
+    names, slots = [(0, 900, 30_000), (1, 400, 15_000), (2, 100, 4_990), (3, 1, 10), (4, 500, 1)], 500
+    each = spark.createDataFrame(names, "no bigint, blocks bigint, n bigint")
+    total = sum(n for _, _, n in names)
+    drawn = op.multinomial(each, total, len(names), slots, 7)
+    assert drawn.agg(F.sum("count")).first()[0] == total
+    per = {}
+    for r in drawn.collect():
+        per.setdefault(r["shard"], {})[r["no"]] = r["count"]
+    assert len(per) == total // slots + 1 and all(sum(c.values()) == slots for h, c in per.items() if h < total // slots)
+    full = [c for h, c in per.items() if h < total // slots]
+    for no, _, n in names:
+        p = n / total
+        counts = [c.get(no, 0) for c in full]
+        mean = sum(counts) / len(counts)
+        variance = sum((c - mean) ** 2 for c in counts) / (len(counts) - 1)
+        assert abs(mean - slots * p) < 5 * (slots * p / len(full)) ** 0.5 + 0.1
+        if n > 1000:
+            assert 0.6 < variance / (slots * p * (1 - p)) < 1.6
+
+
+def test_every_slot_once(spark):
+    docs, _, _ = random_docs(spark, 4)
+    plan = op.written(op.targets(op.sizes(docs)))
+    for slots in (8, 64):
+        want = {r["no"]: r["n"] for r in op.rounded(plan, op.BLOCK, op.REPEATS, 0).collect()}
+        got = op.draws(plan, op.BLOCK, slots, op.REPEATS, 0).collect()
+        assert sorted((r["no"], r["slot"]) for r in got) == sorted((no, i) for no, n in want.items() for i in range(n))
+        # what has been handed over stays in its shard, so shards keep their size
+        size = {}
+        for r in got:
+            size[r["shard"]] = size.get(r["shard"], 0) + 1
+        assert all(n == slots for h, n in size.items() if h < max(size))
+
+
+def test_taken_against_a_replay(spark):
+    docs, texts, _ = random_docs(spark, 5)
+    streams, drawn = op.drawn_blocks(op.sizes(docs))
+    places = {}
+    for r in streams.where("size > 0").collect():
+        words = places.setdefault(r["no"], {})
+        for i in range(r["size"]):
+            words[r["start"] + i] = r["doc_id"]
+    taken = {}
+    for r in drawn.collect():
+        n = len(places[r["no"]])
+        blocks = -(-n // op.BLOCK)
+        short, more = divmod(n, blocks)
+        first = r["block"] * short + min(r["block"], more)
+        for at in range(first, first + short + (r["block"] < more)):
+            doc = places[r["no"]][at]
+            taken[doc] = taken.get(doc, 0) + 1
+    got = {r["doc_id"]: r["taken"] for r in op.mix(docs).collect()}
+    assert got == {i: taken.get(i, 0) for i in range(len(texts))}
