@@ -5,9 +5,9 @@ Distinct hashes are counted once (combined before the shuffle) and dealt to shar
 holds a minimal perfect hash and, by slot, arrays of fingerprints, counts and largest doc_ids.
 Documents send only their hashes to the shards and probe the arrays; line texts never move.
 
-A hash that a large share of documents holds would crowd its shard with probes.  Hashes with
-more than one in ``HOT_SHARE`` of all (document, line) pairs are at most ``HOT_SHARE`` by
-counting; they are broadcast and answered where the documents are.
+A hash that many documents hold would crowd its shard with probes.  Hashes of ``HOT`` documents or
+more are at most one in ``HOT`` of all (document, line) pairs; they meet their documents in a join, where
+adaptive execution splits the probes of one hash, and stay out of the shards.
 
 Defined results: a null or empty text is one empty line; each row counts as a document, so rows
 that repeat a doc_id count separately; the lines stay in every row of the largest doc_id that holds
@@ -30,7 +30,7 @@ from catamatch.operators.stage import written
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 SHARD = 4096
-HOT_SHARE, HOT_LEAST = 20_000, 1000
+HOT = 1000
 
 
 def line_hash(line: bytes, least_chars: int = LEAST_CHARS) -> bytes | None:
@@ -64,7 +64,7 @@ def _words(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build_index(counted: DataFrame, shards: int) -> DataFrame:
-    """One row per shard: perfect hash and arrays of fingerprints, counts (saturating) and largest doc_ids."""
+    """One row per shard: perfect hash and arrays of fingerprints, counts and largest doc_ids."""
     def build(part: pd.DataFrame) -> pd.DataFrame:
         hi, lo = _words(part)
         blob = mph.build(hi, lo)
@@ -72,7 +72,7 @@ def build_index(counted: DataFrame, shards: int) -> DataFrame:
         return pd.DataFrame({
             "shard": part["shard"].iloc[:1], "hash": [blob],
             "prints": [part["h2"].to_numpy(np.int32)[at].tobytes()],
-            "counts": [np.minimum(part["n"].to_numpy(), 255).astype(np.uint8)[at].tobytes()],
+            "counts": [part["n"].to_numpy(np.int64)[at].tobytes()],
             "named": [part["last"].notna().to_numpy()[at].tobytes()],
             "last": [part["last"].fillna(0).to_numpy().astype(np.int64)[at].tobytes()]})
 
@@ -87,7 +87,7 @@ def probe(hashes: DataFrame, index: DataFrame, shards: int, least_docs: int) ->
             return part[["doc_id", "h1", "h2"]].iloc[:0]
         row = held.iloc[0]
         at = mph.slots(row["hash"], *_words(part))
-        prints, counts = np.frombuffer(row["prints"], np.int32), np.frombuffer(row["counts"], np.uint8)
+        prints, counts = np.frombuffer(row["prints"], np.int32), np.frombuffer(row["counts"], np.int64)
         known = (at >= 0) & (prints[at] == part["h2"].to_numpy())
         docs = part["doc_id"]
         named, last = np.frombuffer(row["named"], bool), np.frombuffer(row["last"], np.int64)
@@ -99,19 +99,17 @@ def probe(hashes: DataFrame, index: DataFrame, shards: int, least_docs: int) ->
 
 
 def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS,
-                   shard: int = SHARD, hot_least: int = HOT_LEAST) -> DataFrame:
+                   shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """doc_id and the hashes (12 bytes each) of the lines it loses."""
     hashes = written(line_hashes(docs, least_chars))
     pairs = hashes.count()
     shards = pieces_of(pairs, shard)
     counted = written(hashes.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")))
-    is_hot = (F.col("n") >= hot_least) & (F.col("n") * HOT_SHARE > pairs)
-    hot = F.broadcast(counted.where(is_hot))
-    index = written(build_index(counted.where(~is_hot), shards))
-    cold = hashes.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").select("doc_id", "h1", "h2")
-    found = probe(cold, index, shards, min(least_docs, 255)).unionByName(
-        hashes.join(hot, ["h1", "h2"]).where((F.col("n") >= least_docs) & ~F.col("doc_id").eqNullSafe(F.col("last")))
-        .select("doc_id", "h1", "h2"))
+    index = written(build_index(counted.where(F.col("n") < hot), shards))
+    marked = hashes.join(counted.where(F.col("n") >= hot), ["h1", "h2"], "left")
+    cold = marked.where("n is null").select("doc_id", "h1", "h2")
+    found = probe(cold, index, shards, least_docs).unionByName(
+        marked.where((F.col("n") >= least_docs) & ~F.col("doc_id").eqNullSafe(F.col("last"))).select("doc_id", "h1", "h2"))
     return found.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
 
 

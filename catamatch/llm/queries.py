@@ -130,14 +130,15 @@ SQL = {
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
                WHEN poor THEN 'block' ELSE 'allow' END AS verdict FROM f""",
     "op7_line_dedup": rf"""
-        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-                          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+        WITH r AS (SELECT row_number() OVER () AS no, doc_id, text FROM documents),
+        l AS (SELECT no, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM r),
         k AS (SELECT *, translate(regexp_replace(line, '^{_WS}+|{_WS}+$', '', 'g'), '{_UP}', '{_LOW}') AS key FROM l),
-        c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
-        d AS (SELECT k.*, last IS NOT NULL AND last <> doc_id AS gone FROM k LEFT JOIN c USING (key))
+        c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT no) >= 3),
+        d AS (SELECT k.*, c.key IS NOT NULL AND last IS DISTINCT FROM doc_id AS gone FROM k LEFT JOIN c USING (key))
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-        FROM d GROUP BY doc_id""",
+        FROM d GROUP BY no, doc_id""",
     "op8_substring_dedup": rf"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
         p AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS pos FROM w WHERE len(words) >= 50),

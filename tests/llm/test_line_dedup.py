@@ -7,7 +7,7 @@ from llm.cases import clashing, documents, rows
 LONG = ["This line is long enough", "another line, long enough", "é" * 20, "é" * 19, "short"]
 
 
-def brute(texts, ids):
+def brute(texts, ids, least=3):
     def key(line):
         k = line.strip(" \t\n\x0b\x0c\r")
         k = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in k)
@@ -20,7 +20,7 @@ def brute(texts, ids):
     out = []
     for i, t in zip(ids, texts):
         lines = (t or "").split("\n")
-        kept = [x for x in lines if not (len(held.get(key(x), [])) >= 3 and max(held[key(x)]) != i)]
+        kept = [x for x in lines if not (len(held.get(key(x), [])) >= least and max(held[key(x)]) != i)]
         out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
     return sorted(out, key=repr)
 
@@ -30,12 +30,22 @@ def test_against_brute_force(spark):
              LONG[2], LONG[3], LONG[3], LONG[3], "\n".join([LONG[1]] * 500 + [LONG[2]])]
     ids = list(range(len(texts)))
     docs = documents(spark, texts, ids=ids)
-    for hot_least in (1, 1000):
-        got = op.without_lines(clashing(docs), op.repeated_lines(clashing(docs), shard=2, hot_least=hot_least))
+    for hot in (1, 3, 1000):
+        got = op.without_lines(clashing(docs), op.repeated_lines(clashing(docs), shard=2, hot=hot))
         assert rows(got, "doc_id", "text", "n_lines", "n_dropped") == brute(texts, ids)
     assert got.columns[:5] == docs.columns and "digest" in got.columns
 
 
+def test_any_number_of_documents(spark):
+    # 300 documents share a line, 299 another one
+    texts = [f"{LONG[0]} {i}\n{LONG[0]}" + ("" if i == 7 else f"\n {LONG[1].upper()}") for i in range(300)]
+    docs = documents(spark, texts)
+    for least in (2, 3, 256, 300, 301, 1000):
+        for hot in (100, 1000):
+            got = op.line_dedup(docs, least_docs=least, hot=hot)
+            assert rows(got, "doc_id", "text", "n_lines", "n_dropped") == brute(texts, list(range(300)), least)
+
+
 def test_cases(spark):
     docs = documents(spark, [LONG[0]] * 4, ids=[None, None, 3, 3])
     assert rows(op.line_dedup(docs), "doc_id", "text") == sorted(
