@@ -9,7 +9,8 @@ Then, without ever listing the pairs of a group:
 
 1. Documents with equal sets form a class, known by its smallest doc_id; only classes go on.  Where
    a doc_id repeats with different sets and is the smallest of several classes, all but one of these
-   are known by a hash of the set from ``_OTHER`` up, so that each class has links of its own.
+   are known by a hash of the set from ``_OTHER`` up, so that each class has links of its own; so are
+   classes without any doc_id.
 2. A shingle that no other candidate holds can be in no intersection.  From their number follows
    a bound on the similarity of a class to any other one; classes below the threshold leave, and
    pairs below it are not looked at.  This is exact.
@@ -25,7 +26,8 @@ execution splits.
 Defined results: a text of fewer words than a shingle is one shingle; a null, empty or blank text
 has no set and no links; a component is named by the smallest doc_id in it, and the rows that bear
 this doc_id are kept; rows that repeat a doc_id are judged each by its own text; a document without
-doc_id joins its class but is never its name; empty tables give no rows; other columns are not read.
+doc_id is linked like any other but names nothing (a component without any doc_id has none, and all its rows
+are kept); empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -89,13 +91,16 @@ def _text_hash() -> Column:
 
 
 def classes(found: DataFrame) -> DataFrame:
-    """set_hash, name (the smallest doc_id of the class) and rep, which no other class has."""
-    named = written(found.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("name")))
-    several = named.groupBy("name").agg(F.count("*").alias("c"), F.min("set_hash").alias("own")).where("c > 1")
-    several = several.where("name is not null").select("name", "own")
+    """set_hash, name (the smallest doc_id of the class), own (text_hash of a row that bears it) and rep, which no other class has."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("f")
+    named = written(found.where("n_shingles > 0").groupBy("set_hash").agg(first).select(
+        "set_hash", F.col("f.doc_id").alias("name"), F.col("f.text_hash").alias("own")))
+    several = named.groupBy("name").agg(F.count("*").alias("c"), F.min("set_hash").alias("__set")).where("c > 1")
+    several = several.where("name is not null").select("name", "__set")
     other = F.shiftrightunsigned(F.xxhash64("set_hash"), 2).bitwiseOR(F.lit(_OTHER))
+    plain = F.col("name").isNotNull() & (F.coalesce("__set", "set_hash") == F.col("set_hash"))
     return written(named.join(several, "name", "left").select(
-        "set_hash", "name", F.when(F.col("own") != F.col("set_hash"), other).otherwise(F.col("name")).alias("rep")))
+        "set_hash", "name", "own", F.when(plain, F.col("name")).otherwise(other).alias("rep")))
 
 
 def full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -104,7 +109,9 @@ def full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
         return {"rep": cols["rep"], "shingles": [
             shingle_set(word_hashes(t, lower=True), SHINGLE).view(np.int64) for t in cols["text"]]}
 
-    wanted = texts(docs, _text_hash()).join(reps, ["doc_id", "text_hash"]).select("rep", "text")
+    rows, named = texts(docs, _text_hash()), reps.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "rep")
+    wanted = rows.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+    wanted = wanted.select("rep", "text").dropDuplicates(["rep"])
     return map_slices(wanted, run, "rep bigint, shingles array<bigint>")
 
 
@@ -159,8 +166,9 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = classes(found)
     members = written(found.join(named, "set_hash", "left").select(
         "doc_id", "text_hash", "n_shingles", "name", "rep",
-        F.when(F.col("doc_id") == F.col("name"), F.col("bands")).alias("bands")))
-    reps = members.where("bands is not null")
+        F.when(F.col("doc_id").eqNullSafe(F.col("name")) & (F.col("text_hash") == F.col("own")), F.col("bands")).alias("bands")))
+    # repeated rows carry the same bands
+    reps = written(members.where("bands is not null").select("rep", "doc_id", "text_hash", "bands").dropDuplicates(["rep"]))
     rows = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     rows = written(rows.join(shared, "key", "left_semi"))

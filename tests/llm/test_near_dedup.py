@@ -107,3 +107,25 @@ def test_kept_documents_with_null_and_repeated_ids(spark):
     kept = op.kept_documents(docs, found)
     assert kept.columns == docs.columns
     assert rows(kept, "doc_id", "text") == sorted(((ids[i], texts[i]) for i in stays), key=repr)
+
+
+def test_classes_without_an_id_are_linked(spark):
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join(base + ["end"]), " ".join(base + ["stop"]), " ".join(other), " ".join(other + ["end"]),
+             " ".join(other + ["end"])]
+    docs = documents(spark, texts, ids=[5, None, 7, None, None, None])
+    got = op.near_dedup(docs)
+    assert rows(got, "doc_id", "component_id", "kept") == sorted(
+        [(5, 5, True), (None, 5, False), (7, 5, False)] + [(None, None, True)] * 3, key=repr)
+    # the two ends of a chain meet over a row without an id
+    chain = [" ".join(base), " ".join(base[:54] + ["x"] * 6), " ".join(base[:48] + ["x"] * 12)]
+    got = op.near_dedup(documents(spark, chain, ids=[3, None, 9]), percent=70)
+    want = [(i, 3) for i in (3, None, 9)]
+    assert rows(got, "doc_id", "component_id") == sorted(want, key=repr)
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(3 * op._SLICE))
+    got = op.near_dedup(documents(spark, [long, long + " end", "w1 w2 w3 w4 w5"]))
+    assert rows(got, "doc_id", "n_shingles", "component_id") == [(0, 3 * op._SLICE - 4, 0), (1, 3 * op._SLICE - 3, 0), (2, 1, 2)]
