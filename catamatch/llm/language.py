@@ -63,18 +63,18 @@ def has_letter(text: str) -> bool:
 def fit(x: np.ndarray, y: np.ndarray, steps: int = STEPS, loss_weight: float = LOSS_WEIGHT) -> np.ndarray:
     """Linear machine for y of -1 and 1: squared hinge loss and L2, by accelerated gradient steps.
 
-    The last entry is the intercept.
+    The last entry is the intercept.  All in 32 bits, so that no step copies the vectors.
     """
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * loss_weight
-    rate = 1 / (1 + 2 * loss_weight * 2)
-    w = v = np.zeros(x.shape[1])
+    y = y.astype(np.float32)
+    cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32) * np.float32(loss_weight)
+    rate = np.float32(1 / (1 + 2 * loss_weight * 2))
+    w = v = np.zeros(x.shape[1] + 1, np.float32)
     for i in range(steps):
-        lack = np.maximum(0, 1 - y * (x @ v))
-        after = v - rate * (v - 2 * x.T @ (cost * y * lack))
-        v = after + i / (i + 3) * (after - w)
+        pull = 2 * cost * y * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+        after = v - rate * (v - np.append(pull @ x, pull.sum()))
+        v = after + np.float32(i / (i + 3)) * (after - w)
         w = after
-    return w.astype(np.float32)
+    return w
 
 
 class Duels:
@@ -87,7 +87,7 @@ class Duels:
         self.weights = []
         for a, b in self.pairs:
             rows = (names == self.classes[a]) | (names == self.classes[b])
-            self.weights.append(fit(x[rows], np.where(names[rows] == self.classes[a], 1.0, -1.0)))
+            self.weights.append(fit(x if rows.all() else x[rows], np.where(names[rows] == self.classes[a], 1.0, -1.0)))
 
     def predict(self, vector: np.ndarray) -> tuple[str, float]:
         """Class of most votes, at a tie of the largest margins, and a share of confidence."""
@@ -115,7 +115,7 @@ class Model:
         self.languages = {}
         for name in self.family.classes:
             rows = np.array([n == name for n in names])
-            self.languages[name] = Duels(x[rows], [lang for lang, r in zip(langs, rows) if r])
+            self.languages[name] = Duels(x if rows.all() else x[rows], [lang for lang, r in zip(langs, rows) if r])
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not has_letter(text):
@@ -142,7 +142,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     # only the smallest hashes, four times as many as needed, go to the task that ranks a language
     rates = known.groupBy("lang").agg((F.lit(4.0 * each) / F.count("*")).alias("__rate"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    near = known.join(rates, "lang").where(place < F.col("__rate")).select("doc_id", "lang").distinct()
+    # one row a language: in a join on lang all rows of one language would meet in one task
+    near = known.join(F.broadcast(rates) if langs <= sample else rates, "lang").where(place < F.col("__rate")).select("doc_id", "lang").distinct()
     chosen = near.withColumn("__no", F.row_number().over(order)).where(F.col("__no") <= each)
     chosen = chosen.orderBy("__no", "lang").limit(sample)
     chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
@@ -157,7 +158,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     rows = sorted(map_slices(texts.select("lang", "text"), run, "lang string, vector binary").collect())
     if not rows:
         return None
-    return Model(np.stack([np.frombuffer(r["vector"], np.float32) for r in rows]), [r["lang"] for r in rows])
+    langs, x = [r["lang"] for r in rows], np.empty((len(rows), SIZE), np.float32)
+    for i in range(len(rows)):
+        x[i], rows[i] = np.frombuffer(rows[i]["vector"], np.float32), None
+    return Model(x, langs)
 
 
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
