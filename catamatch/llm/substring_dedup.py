@@ -125,7 +125,8 @@ def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, rows: int =
     marked = left.join(groups, ["g", "c"])
     whole = marked.where("id > first").select("id", "text_hash", "s", "e")
 
-    several = groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    # written, so that the join shuffles both sides by itself and a common gram can be split there
+    several = written(groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
     alone = written(windows(docs, marked.where("id = first").join(several, "g", "left_semi"), window))
     earliest = alone.groupBy("g", "h").agg(F.min("id").alias("first"), F.max("id").alias("top")).where("first < top")
     single = alone.join(earliest, ["g", "h"]).where("id > first").select(
