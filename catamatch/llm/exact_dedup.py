@@ -21,16 +21,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catamatch.llm import mph
-from catamatch.llm.common import BLANKS, pieces_of, same, texts
+from catamatch.llm.common import BLANKS, pieces_of, texts
 from catamatch.operators.stage import written
 
 SHARD = 2048
 _WON = "digest binary, n bigint, chars bigint, inverse bigint"
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.translate(F.coalesce(text, F.lit("")), BLANKS, ""), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the text without white space, chars of the original text."""
-    return texts(docs).select("doc_id", F.unhex(F.sha2(F.translate("text", BLANKS, ""), 256)).alias("digest"),
+    return texts(docs).select("doc_id", _digest(F.col("text")).alias("digest"),
                               F.length("text").cast("long").alias("chars"))
 
 
@@ -116,6 +120,6 @@ def exact_dedup(docs: DataFrame, earlier: Column, shard: int = SHARD) -> DataFra
 
 
 def kept_documents(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = decisions.where("kept").select("doc_id").distinct()
-    return same(docs, kept, how="left_semi")
+    """The documents that stay, with all their columns: rows that are themselves kept, by doc_id and text."""
+    kept = decisions.where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]) & (_digest(docs["text"]) == kept["__digest"]), "left_semi")

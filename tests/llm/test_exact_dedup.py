@@ -33,7 +33,9 @@ def test_cases(spark):
         [(None, 7, 3, False), (7, 7, 3, True), (7, 7, 3, True), (None, None, 1, True)], key=repr)
     assert op.exact_dedup(docs.limit(0), F.lit(True)).collect() == []
     kept = op.kept_documents(clashing(docs), got)
-    assert rows(kept, "doc_id", "text") == sorted([(7, "a"), (7, "a"), (None, "a"), (None, "b")], key=repr)
+    assert rows(kept, "doc_id", "text") == sorted([(7, "a"), (7, "a"), (None, "b")], key=repr)
+    docs = documents(spark, ["a", "a", "b"], ids=[7, 3, 7])
+    assert rows(op.kept_documents(docs, op.exact_dedup(docs, F.lit(False))), "doc_id", "text") == [(3, "a"), (7, "b")]
 
 
 def test_slots_compare_the_whole_digest(spark, monkeypatch):
