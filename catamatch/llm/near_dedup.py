@@ -16,8 +16,8 @@ Then, without ever listing the pairs of a group:
    pairs below it are not looked at.  This is exact.
 3. Every class is compared with the smallest one of each of its bands: one edge a class and band.
    Edges are confirmed on the full sets and their components found.
-4. Classes that still share a band across different components, and that the bound of step 2 allows,
-   are compared too.  So no link between different texts is lost that a band shows.
+4. Classes that still share a band across different components are compared too, where the bound of
+   step 2 and the triangle inequality over their distances to the band's centre allow a link.  So no link between different texts is lost that a band shows.
 
 Components are found by alternating star contractions, a written table a round; nothing of
 document size goes to the driver, and skewed bands and classes meet only in joins that adaptive
@@ -120,13 +120,24 @@ def possible(percent: int, a: str = "a", b: str = "b") -> Column:
     return (F.least(f"{a}.m", f"{b}.m") * (100 + percent)) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * percent
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the threshold; two sets at a time, inside the JVM."""
+def close_enough(percent: int, a: str = "a", b: str = "b") -> Column:
+    """Whether the triangle inequality allows the threshold: far counts the shingles that a class and the centre do not share.
+
+    The distance of two classes is at least the difference of their distances to a third one.
+    """
+    gap = F.abs(F.col(f"{a}.far") - F.col(f"{b}.far"))
+    return F.coalesce(gap * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent), F.lit(True))
+
+
+def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) with far, the number of shingles they do not share, and linked; two full sets at a time, inside the JVM."""
     left = sets.select(F.col("rep").alias("u"), F.col("shingles").alias("x"))
     right = sets.select(F.col("rep").alias("v"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "u").join(right, "v").withColumn("both", both).where(
-        F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * percent).select("u", "v")
+    both = F.size(F.array_intersect("x", "y")).cast("long")
+    every = F.size("x") + F.size("y")
+    return pairs.join(left, "u").join(right, "v").withColumn("both", both).select(
+        "u", "v", (every - 2 * F.col("both")).alias("far"),
+        (F.col("both") * 100 >= (every - F.col("both")) * percent).alias("linked"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,20 +199,23 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     centres = rows.groupBy("key").agg(F.min(me).alias("a"), F.max("rep").alias("top")).where("top > a.rep")
     stars = rows.select("key", me.alias("b")).join(centres, "key").where((F.col("a.rep") < F.col("b.rep")) & possible(percent))
     stars = written(stars.select(F.col("b.rep").alias("u"), F.col("a.rep").alias("v")).distinct())
-    labels = components(confirmed(stars, sets, percent))
+    edges = written(measured(stars, sets, percent))
+    labels = components(edges.where("linked").select("u", "v"))
 
     # step 4: bands that join different components
     rows = same(rows, labels.withColumnRenamed("node", "rep"), "rep").withColumn("label", F.coalesce("label", "rep"))
-    open_ = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    open_ = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("rep").alias("v")).where("lo < hi")
     firsts = reps.select(F.col("rep").alias("r"), "bands")
-    rows = rows.join(open_, "key", "left_semi").join(firsts, F.col("rep") == F.col("r")).select(
-        "key", F.struct("rep", "n", "m", "label", F.slice("bands", F.lit(1), F.col("band")).alias("before")).alias("a"))
+    rows = rows.join(written(open_.select("key", "v")), "key").join(firsts, F.col("rep") == F.col("r"))
+    far = F.when(F.col("rep") == F.col("v"), F.lit(0).cast("long")).otherwise(F.col("far"))
+    rows = rows.join(edges.select(F.col("u").alias("rep"), "v", "far"), ["rep", "v"], "left").select(
+        "key", F.struct("rep", "n", "m", "label", far.alias("far"), F.slice("bands", F.lit(1), F.col("band")).alias("before")).alias("a"))
     rows = written(rows)
     across = rows.join(rows.select("key", F.col("a").alias("b")), "key").where(
-        (F.col("a.rep") < F.col("b.rep")) & (F.col("a.label") != F.col("b.label")) & possible(percent)
+        (F.col("a.rep") < F.col("b.rep")) & (F.col("a.label") != F.col("b.label")) & possible(percent) & close_enough(percent)
         & ~F.arrays_overlap("a.before", "b.before"))  # a pair is met in its first common band only
     across = across.select(F.col("b.rep").alias("u"), F.col("a.rep").alias("v")).join(stars, ["u", "v"], "left_anti")
-    more = written(confirmed(across, sets, percent))
+    more = written(measured(across, sets, percent).where("linked").select("u", "v"))
     final = labels
     if not more.isEmpty():
         old = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
