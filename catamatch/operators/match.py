@@ -9,8 +9,9 @@ the subsets of its own atoms, and ranks the few rows found.  The result equals t
 comparison; the work is one row per item and subset, not per pair.
 
 A row holds at most one atom that starts with ``LONE`` (its interval), so an item that many
-intervals fit asks for them one at a time.  Sets of more than ``max_atoms`` other atoms take
-another exact way; the atoms of a set all come from its own text, never from other items.
+intervals fit asks for them one at a time.  Sets of more than ``max_atoms`` other atoms have too many
+subsets; ``wide_matches`` finds their rows by posting lists over small blocks of alike rows, reading only
+blocks whose best possible row can still be among the first k.
 
 Items and catalogue rows are first reduced to distinct atom sets, so repeated descriptions
 cost nothing and a block with most of the rows is as cheap as any other.
@@ -26,7 +27,8 @@ from catamatch.operators.stage import written
 
 MAX_ATOMS = 10
 LONE = "i:"
-_ALL, _WIDE = "#all", "#wide"
+#: Rows of a posting block are at most 2^BLOCK_BITS.
+BLOCK_BITS = 8
 
 
 def _free(atoms: Column) -> Column:
@@ -51,6 +53,64 @@ def _keep_shared(df: DataFrame, ids: list[str], shared: DataFrame) -> DataFrame:
         F.when(F.col("_both"), F.col("atom")))).alias("atoms"))
 
 
+def _score(gain) -> Column:
+    shared = F.array_intersect("atoms", "row_atoms")
+    return (F.col("own") + gain(shared, F.col("extra"))).alias("score")
+
+
+def row_blocks(sets: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """The row sets with ``rb``, the number of a posting block: neighbours in the order of their atoms."""
+    order = ["block", "atoms", "own", "ord"]
+    placed = sets.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(placed.withColumn("rb", F.shiftright(F.monotonically_increasing_id(), bits)))
+
+
+def block_bounds(items: DataFrame, blocks: DataFrame, gain) -> DataFrame:
+    """(block, extra, atoms, rb, bound) of the posting blocks that share an atom with an item.
+
+    A block's posting carries the best own part of its rows.  No row of it scores more than that and the
+    gain of all the item's atoms that occur in the block.
+    """
+    postings = blocks.groupBy("block", "rb").agg(
+        F.max("own").alias("top"), F.array_distinct(F.flatten(F.collect_set("atoms"))).alias("held")).select(
+        "block", "rb", "top", F.explode("held").alias("atom"))
+    met = items.select("block", "extra", "atoms", F.explode("atoms").alias("atom")).join(written(postings), ["block", "atom"])
+    met = met.groupBy("block", "extra", "atoms", "rb").agg(
+        F.max("top").alias("top"), F.array_sort(F.collect_set("atom")).alias("shared"))
+    return met.select("block", "extra", "atoms", "rb", (F.col("top") + gain(F.col("shared"), F.col("extra"))).alias("bound"))
+
+
+def chosen_blocks(bounds: DataFrame, seen: DataFrame, k: int) -> DataFrame:
+    """The bounds that reach the k-th score of the rows seen; all of an item that has seen fewer."""
+    item = ["block", "extra", "atoms"]
+    best = W.partitionBy(*item).orderBy(F.desc("score"), "ord")
+    least = seen.select(*item, "ord", "score").distinct().withColumn("rn", F.row_number().over(best)).where(
+        F.col("rn") == k).select(*item, F.col("score").alias("least"))
+    return bounds.join(least, item, "left").where("least is null or bound >= least").drop("least")
+
+
+def wide_matches(items: DataFrame, sets: DataFrame, gain, k: int, bits: int = BLOCK_BITS) -> DataFrame:
+    """(block, extra, atoms, ord, score): rows that hold every item's first k, without subsets of atoms.
+
+    Every item first reads the rows of the best own part and the posting block of the highest bound.
+    The k-th score found is a floor: of the other posting blocks it reads only those whose bound reaches it.
+    """
+    item = ["block", "extra", "atoms"]
+    blocks = row_blocks(sets, bits)
+    rows = blocks.select("block", "rb", "ord", "own", F.col("atoms").alias("row_atoms"))
+    plain = W.partitionBy("block").orderBy(F.desc("own"), "ord")
+    first = rows.withColumn("_r", F.row_number().over(plain)).where(F.col("_r") <= k).drop("_r", "rb")
+    bounds = written(block_bounds(items, blocks, gain))
+
+    def read(asked):
+        return asked.select(*item, "rb").join(rows, ["block", "rb"]).select(*item, "ord", _score(gain))
+
+    nearest = bounds.groupBy(*item).agg(F.max_by("rb", F.struct("bound", -F.col("rb"))).alias("rb"))
+    seen = written(items.join(first, "block").select(*item, "ord", _score(gain)).unionByName(read(nearest)))
+    more = chosen_blocks(bounds, seen, k).join(nearest, [*item, "rb"], "left_anti")
+    return seen.unionByName(read(more))
+
+
 def ranked_matches(items: DataFrame, rows: DataFrame, gain, k: int,
                    max_atoms: int = MAX_ATOMS) -> DataFrame:
     """Exact top k of ``own + gain(shared atoms)`` per distinct item.
@@ -71,25 +131,23 @@ def ranked_matches(items: DataFrame, rows: DataFrame, gain, k: int,
     by_set = W.partitionBy("block", "own", "atoms").orderBy("ord")
     sets = (_keep_shared(rows, ["block", "ord", "own"], shared)
             .withColumn("_r", F.row_number().over(by_set)).where(F.col("_r") <= k).drop("_r"))
+    sets = written(sets)
     narrow = F.size(_free(F.col("atoms"))) <= max_atoms
-    keys = F.when(narrow, F.concat(_subsets(F.col("atoms")), F.array(F.lit(_ALL)))
-                  ).otherwise(F.array(F.lit(_WIDE), F.lit(_ALL)))
-    # whole-block keys are not cut: each of their rows is its own window group
-    whole = F.when(F.col("key").isin(_ALL, _WIDE), F.xxhash64("own", "ord", "atoms"))
-    by_key = W.partitionBy("block", "key", "_own").orderBy(F.desc("own"), "ord")
-    index = (sets.withColumn("key", F.explode(keys)).withColumn("_own", whole)
-             .withColumn("_r", F.row_number().over(by_key)).where(F.col("_r") <= k)
-             .drop("_r", "_own"))
-
-    # item side: distinct reduced sets look up their subsets; very wide ones read the block's sets
-    distinct = asked.select("block", "extra", "atoms").distinct()
-    asks = F.when(narrow, F.concat(_subsets(F.col("atoms")), F.array(F.lit(_WIDE)))
-                  ).otherwise(F.array(F.lit(_ALL)))
-    found = (distinct.withColumn("key", F.explode(asks))
+    by_key = W.partitionBy("block", "key").orderBy(F.desc("own"), "ord")
+    index = (sets.where(narrow).withColumn("key", F.explode(_subsets(F.col("atoms"))))
+             .withColumn("_r", F.row_number().over(by_key)).where(F.col("_r") <= k).drop("_r"))
+
+    # item side: distinct reduced sets look up their subsets
+    distinct = written(asked.select("block", "extra", "atoms").distinct())
+    found = (distinct.where(narrow).withColumn("key", F.explode(_subsets(F.col("atoms"))))
              .join(index.withColumnRenamed("atoms", "row_atoms"), ["block", "key"])
-             .select("block", "extra", "atoms", "ord",
-                     (F.col("own") + gain(F.array_intersect("atoms", "row_atoms"), F.col("extra"))
-                      ).alias("score")).distinct())
+             .select("block", "extra", "atoms", "ord", _score(gain)))
+    wide_items, wide_sets = distinct.where(~narrow), sets.where(~narrow)
+    if not wide_items.isEmpty():
+        found = found.unionByName(wide_matches(wide_items, sets, gain, k))
+    if not wide_sets.isEmpty():
+        found = found.unionByName(wide_matches(distinct.where(narrow), wide_sets, gain, k))
+    found = found.distinct()
     best = W.partitionBy("block", "extra", "atoms").orderBy(F.desc("score"), "ord")
     hits = (found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k)
             .groupBy("block", "extra", "atoms")
@@ -110,3 +168,53 @@ def token_matches(items: DataFrame, rows: DataFrame, item: str, k: int) -> DataF
     postings = first_per_group(wanted, ["token"], ["ord"], k, "_r").drop("_r")
     hits = items.distinct().join(postings, "token").select(item, "ord").distinct()
     return first_per_group(hits, [item], ["ord"], k, "rn")
+
+
+def _grams(text: Column, size: int) -> Column:
+    """Distinct grams of a text; a shorter text is its own only gram."""
+    n = F.length(text)
+    starts = F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+
+
+def contained_matches(items: DataFrame, rows: DataFrame, item: str, k: int, gram: int = 3, wave: int = 64) -> DataFrame:
+    """First k catalogue rows, in catalogue order, whose name contains a token of the item.
+
+    items: (item, token); rows: (ord, form) with unique ord.  An empty token is in every name.  Of a
+    token's grams only the one that the fewest names hold is looked up, and its names are verified in
+    catalogue order, wave by wave: a token that has k names takes no part in the next wave, which is
+    sixteen times as long.  Names are only read for the tokens still open.
+    """
+    from catamatch.operators.ordered import first_per_group, range_numbers
+
+    items, rows = written(items.distinct()), written(rows)
+    tokens = items.select("token").distinct()
+    grams = written(tokens.where("token <> ''").select(
+        "token", F.length("token").alias("size"), F.explode(_grams(F.col("token"), gram)).alias("gram")))
+    wanted = written(grams.select("gram").distinct())
+    # short tokens are grams of their own length
+    parts = F.array_distinct(F.flatten(F.array(*[_grams(F.col("form"), g) for g in range(1, gram + 1)])))
+    postings = rows.select("ord", F.explode(parts).alias("gram")).join(wanted, "gram", "left_semi")
+    postings = range_numbers(postings, ["gram"], ["ord"], "pos")
+    held = written(postings.groupBy("gram").agg(F.max("pos").alias("n")))
+    rarest = grams.join(held, "gram", "left").groupBy("token").agg(
+        F.min(F.coalesce("n", F.lit(0))).alias("n"), F.min_by("gram", F.struct("n", "gram")).alias("gram")).where("n > 0")
+    open_ = written(rarest)
+    every = tokens.where("token = ''").join(first_per_group(rows.select(F.lit("").alias("token"), "ord"), ["token"], ["ord"], k, "_r"), "token")
+    found, lo, hi = [written(every.select("token", "ord"))], 0, wave
+    while not open_.isEmpty():
+        met = open_.join(postings.where(F.col("pos").between(lo + 1, hi)), "gram").join(rows, "ord")
+        hits = met.where(F.col("form").contains(F.col("token"))).select("token", "ord")
+        found.append(written(first_per_group(hits, ["token"], ["ord"], k, "_r").drop("_r")))
+        had = found[1]
+        for f in found[2:]:
+            had = had.unionByName(f)
+        had = had.groupBy("token").agg(F.count("*").alias("had"))
+        open_ = written(open_.where(F.col("n") > hi).join(had, "token", "left").where(
+            F.coalesce("had", F.lit(0)) < k).drop("had"))
+        lo, hi = hi, hi * 16
+    hits = found[0]
+    for f in found[1:]:
+        hits = hits.unionByName(f)
+    firsts = first_per_group(hits, ["token"], ["ord"], k, "_r").drop("_r")
+    return first_per_group(items.join(firsts, "token").select(item, "ord").distinct(), [item], ["ord"], k, "rn")

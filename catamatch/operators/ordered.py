@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from catamatch.operators.stage import written
+
 CHUNK_ROWS = 1 << 16
 _CHUNK = "_chunk"
 
@@ -80,6 +82,25 @@ def row_numbers(df: DataFrame, group: list[str], order: list[str], out: str,
     return running_total(df, group, order, F.lit(1).cast("long"), out, chunk_rows)
 
 
+def range_numbers(df: DataFrame, group: list[str], order: list, out: str) -> DataFrame:
+    """1-based row number in the order of any sort key, written once.
+
+    The rows are cut by range of (group, order) at sampled quantiles, so a group of any size is numbered by
+    many tasks: each counts its own rows of a group, and the counts of the ranges before are added.
+    Only the counts, one a group and range, meet in one window.
+    """
+    key = [*[F.col(c) for c in group], *[F.col(c) if isinstance(c, str) else c for c in order]]
+    placed = written(df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    counts = placed.groupBy(*group, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(group)], F.col("_range").alias("_r"), "_first",
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(group)] + [F.col("_range") == F.col("_r")])
+    return placed.join(written(counts), on).select(
+        *df.columns, (F.col("_at") - F.col("_first") + 1 + F.col("_before")).alias(out))
+
+
 def first_per_group(df: DataFrame, group: list[str], order: list, n: int, out: str = "rn",
                     slices: int | None = None) -> DataFrame:
     """The first ``n`` rows of every group with their rank.

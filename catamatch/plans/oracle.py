@@ -86,6 +86,10 @@ SQL: dict[str, str] = {
     "provenance_label": "SELECT page_id, regexp_extract(url, '[^/]*$') || ' / ' || regexp_extract(url, '^https?://([^/]+)', 1) AS label FROM pages",
     "ordered_text_assembly": """SELECT conv_id, string_agg('(' || CAST(turn % 2 AS VARCHAR) || ',' || CAST(-CAST(floor(turn / 2) AS BIGINT) AS VARCHAR) || ') ' || text, chr(10)
         ORDER BY floor(turn / 2), turn % 2, text) AS text FROM conversations GROUP BY conv_id""",
+    "ordered_lines": """WITH p AS (SELECT user_id AS doc_id, event_type || ' ' || CAST(event_id AS VARCHAR) AS text,
+            date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS x, CAST(floor(value) AS BIGINT) AS y FROM events)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY y DESC, x, text) AS line_no,
+            '(' || CAST(x AS VARCHAR) || ',' || CAST(y AS VARCHAR) || ') ' || text AS line FROM p""",
     "report_detail": P + """SELECT doc_id, panel_idx, item_idx, panel, name AS raw, qty, CASE WHEN code = '' THEN '—' ELSE code END AS code,
         coalesce(official, '') AS official, conf FROM graded""",
     "report_summary": P + f""", s AS ({_summary('graded')}), d AS (SELECT count(*) AS n FROM dets WHERE parent_idx IS NOT NULL)
@@ -129,6 +133,11 @@ SQL: dict[str, str] = {
     "token_overlap_topk": f"""WITH i AS ({_tok('item_id', 'text', 'benchmark')}), r AS ({_tok('doc_id', 'text', 'documents')}),
         h AS (SELECT DISTINCT item_id, doc_id AS ord FROM i JOIN r USING (tok))
         SELECT item_id, ord, row_number() OVER (PARTITION BY item_id ORDER BY ord) AS rn FROM h QUALIFY rn <= 25""",
+    "token_contains_topk": f"""{_ITEMS}, cat AS ({views.CATALOGUE.format(part='part')}), r AS (SELECT ord, {op.norm('name')} AS form FROM cat),
+        i AS (SELECT DISTINCT name AS cname FROM items),
+        k AS (SELECT DISTINCT cname, {op.norm('w')} AS tok FROM (SELECT cname, unnest(string_split_regex(cname, '[\s　()（）]')) AS w FROM i) WHERE length(w) >= 2),
+        h AS (SELECT DISTINCT cname, ord FROM k JOIN r ON contains(form, tok))
+        SELECT cname, ord, row_number() OVER (PARTITION BY cname ORDER BY ord) AS rn FROM h QUALIFY rn <= 25""",
     "closed_world_check": """SELECT o_orderkey, CASE WHEN p_partkey IS NOT NULL THEN CAST(o_orderkey AS VARCHAR) ELSE '' END AS code, coalesce(p_name, '') AS name,
         CASE WHEN p_partkey IS NOT NULL AND o_orderstatus = 'F' THEN '○' ELSE '△' END AS conf FROM orders LEFT JOIN part ON p_partkey = o_orderkey AND o_orderstatus IN ('F', 'O')""",
     "required_attrs": TEXTS + f" SELECT cname, volt, part, array_to_string({op._lacking(True)}, '|') AS required, array_to_string({op._lacking(False)}, '|') AS optional FROM f3",

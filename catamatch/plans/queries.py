@@ -14,7 +14,7 @@ from catamatch.functions import text as t
 from catamatch.operators import candidates as cd
 from catamatch.operators import context as ctx
 from catamatch.operators import decide, lookup, ordered, report, scores
-from catamatch.operators.match import token_matches
+from catamatch.operators.match import contained_matches, token_matches
 from catamatch.operators.pipeline import attached_details, contexts_of, select_items
 from catamatch.operators.stage import written
 from catamatch.plans import views
@@ -133,6 +133,15 @@ def ordered_text_assembly(s, d):
     return docs.assemble(placed, "conv_id", "x", "y", "text")
 
 
+@query
+def ordered_lines(s, d):
+    """Events as placed text: a user is a document, the value the height, the day the place in a line."""
+    placed = table(s, d, "events").select(
+        F.col("user_id").alias("doc_id"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("text"),
+        F.datediff(F.to_date("ts"), F.lit("2024-01-01")).alias("x"), F.floor(F.col("value")).cast("long").alias("y"))
+    return docs.ordered_lines(placed, "doc_id", "x", "y", "text")
+
+
 @query
 def report_detail(s, d):
     return report.detail(select_items(_items(s, d), _cat(s, d), wide=False)).drop("note")
@@ -356,6 +365,16 @@ def token_overlap_topk(s, d):
     return token_matches(items, rows, "item_id", 25)
 
 
+@query
+def token_contains_topk(s, d):
+    """Item texts against catalogue names: a name is a hit if it contains a token of the text."""
+    named = _items(s, d).select(F.col("name").alias("cname")).distinct()
+    tokens = named.select("cname", F.explode(F.filter(F.split("cname", r"[\s　()（）]"), lambda w: F.length(w) >= 2)).alias("w"))
+    tokens = tokens.select("cname", t.squeeze(t.nfkc(F.col("w"))).alias("token"))
+    rows = _cat(s, d).select("ord", t.squeeze(t.nfkc(F.col("name"))).alias("form"))
+    return contained_matches(tokens, rows, "cname", 25)
+
+
 @query
 def closed_world_check(s, d):
     asked = table(s, d, "orders").select("o_orderkey", F.expr(

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catamatch.functions import text as t
+from catamatch.operators.ordered import range_numbers
+from catamatch.operators.stage import written
 
 ITEM = ("name STRING, qty STRING, volt STRING, symbol STRING, kw STRING, `group` STRING, "
         "load_detail STRING, parent STRING, unclear STRING, cable STRING")
@@ -56,7 +57,8 @@ def flatten(df: DataFrame, ids: list[str], json: str) -> DataFrame:
 def read_documents(df: DataFrame, ids: list[str], text: str, source: Column) -> DataFrame:
     """Item rows of readable documents and one marked row per unreadable or wrongly shaped one."""
     parsed = df.select(*ids, source.alias("_source"), salvage(F.col(text)).alias("_json"))
-    parsed = parsed.withColumn("_ok", readable(F.col("_json")))
+    # written: the text is validated once, not in every branch and filter
+    parsed = written(parsed.withColumn("_ok", readable(F.col("_json"))))
     good = flatten(parsed.where("_ok"), ids, "_json")
     bad = parsed.where("not _ok").select(
         *ids, F.lit(0).alias("panel_idx"), F.concat(F.lit(FAILED), "_source").alias("panel"),
@@ -101,12 +103,14 @@ def process_once(df: DataFrame, content: str, process) -> DataFrame:
 
 
 def ordered_lines(df: DataFrame, doc: str, x: str, y: str, text: str) -> DataFrame:
-    """(doc, line_no, line): placed pieces from top to bottom, left to right, a row each."""
-    lines = df.select(doc, F.struct((-F.col(y)).alias("a"), F.col(x).alias("b"), F.col(text).alias("c")).alias("_o"),
+    """(doc, line_no, line): placed pieces from top to bottom, left to right, a row each.
+
+    A document of any number of pieces is ordered and numbered by many tasks.
+    """
+    lines = df.select(doc, (-F.col(y)).alias("_a"), F.col(x).alias("_b"), F.col(text).alias("_c"),
                       F.concat(F.lit("("), F.col(x).cast("string"), F.lit(","), F.col(y).cast("string"),
                                F.lit(") "), F.col(text)).alias("line"))
-    order = W.partitionBy(doc).orderBy("_o")
-    return lines.withColumn("line_no", F.row_number().over(order)).drop("_o")
+    return range_numbers(lines, [doc], ["_a", "_b", "_c"], "line_no").select(doc, "line_no", "line")
 
 
 def assemble(df: DataFrame, doc: str, x: str, y: str, text: str, limit: int | None = None) -> DataFrame:
