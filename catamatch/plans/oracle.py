@@ -91,7 +91,7 @@ SQL: dict[str, str] = {
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY y DESC, x, text) AS line_no,
             '(' || CAST(x AS VARCHAR) || ',' || CAST(y AS VARCHAR) || ') ' || text AS line FROM p""",
     "report_detail": P + """SELECT doc_id, panel_idx, item_idx, panel, name AS raw, qty, CASE WHEN code = '' THEN '—' ELSE code END AS code,
-        coalesce(official, '') AS official, conf FROM graded""",
+        coalesce(official, '') AS official, conf, note FROM graded""",
     "report_summary": P + f""", s AS ({_summary('graded')}), d AS (SELECT count(*) AS n FROM dets WHERE parent_idx IS NOT NULL)
         SELECT 'items' AS label, CAST(total AS VARCHAR) AS value FROM s UNION ALL SELECT '◎', CAST(ok AS VARCHAR) FROM s UNION ALL SELECT '○', CAST(warn AS VARCHAR) FROM s
         UNION ALL SELECT '△', CAST(chk AS VARCHAR) FROM s UNION ALL SELECT 'rate', CAST({_RATE} AS VARCHAR) || '%' FROM s UNION ALL SELECT 'load details', CAST(n AS VARCHAR) FROM d""",

@@ -216,8 +216,10 @@ _KBN = ("CASE WHEN contains(cname, '支給') THEN 'S' WHEN contains(cname, 'ス
         "WHEN high THEN 'S' ELSE 'N' END")
 
 
-def _res(rule: str, code: str, conf: str) -> str:
-    return f"{{'rule': '{rule}', 'code': {code}, 'conf': '{conf}'}}"
+def _res(rule: str, code: str, conf: str, note: str) -> str:
+    """``note``: SQL, or the text itself after a colon."""
+    note = f"'{note[1:]}'" if note.startswith(":") else note
+    return f"{{'rule': '{rule}', 'code': {code}, 'conf': '{conf}', 'note': {note}}}"
 
 
 _S, _N, _C = rules.SURE, rules.NEARLY, rules.CHECK
@@ -232,28 +234,38 @@ def _ds(pole: str) -> str:
             "AND contains(c.name, '標準'))[1].code")
 
 
+_TB = ":terminal block of a "
+_BREAKER = ("CASE WHEN main_b THEN 'main ' ELSE 'branch ' END || CASE WHEN contains(cform, 'elb') THEN 'ELB' ELSE 'MCB' END "
+            "|| ' by panel kind and frame'")
 _CHAIN = [
-    (f"part = 'TB' AND after_main AND tb_control AND list_contains(known, {_TBC})", _res("R1", _TBC, _N)),
-    (f"part = 'TB' AND after_main AND list_contains(known, {_TBG})", _res("R1", _TBG, _N)),
-    ("part = 'TB' AND after_main", _res("R1", "''", _C)), ("part = 'TB'", _res("R2", "''", _N)),
-    (f"contains(cform, 'spd用') AND {has('cform', 'mcb|mccb')} AND af IS NULL", _res("R3", "''", _C)),
-    ("breaker_part AND breaker IS NOT NULL", _res("R4", "breaker", _S)), ("breaker_part", _res("R4", "''", _C)),
-    ("motor IS NOT NULL", _res("R5", "CASE WHEN list_contains(known, motor) THEN motor ELSE '' END", _C)),
-    (f"part = 'CT' AND ratio IS NOT NULL AND band = 'HV' AND list_contains(known, {_CTH})", _res("R6", _CTH, _N)),
-    (f"part = 'CT' AND ratio IS NOT NULL AND band IN ('400V', '200V', '100V') AND list_contains(known, {_CTL})", _res("R6", _CTL, _N)),
-    ("part = 'CT' AND ratio IS NOT NULL", _res("R6", "''", _C)),
-    ("sized AND fit IS NOT NULL AND abs(fit.c - want) < 1e-6", _res("R7", "fit.k", _S)),
-    ("sized AND fit IS NOT NULL", _res("R7", "fit.k", _N)), ("sized", _res("R7", "''", _C)),
-    ("part IS NULL", _res("R8", "''", _C)),
-    (f"ds AND contains(form, '3p') AND {_ds('3P')} IS NOT NULL", _res("R9", _ds("3P"), _N)),
+    (f"part = 'TB' AND after_main AND tb_control AND list_contains(known, {_TBC})", _res("R1", _TBC, _N, _TB + "control panel main")),
+    (f"part = 'TB' AND after_main AND list_contains(known, {_TBG})", _res("R1", _TBG, _N, _TB + "main breaker")),
+    ("part = 'TB' AND after_main", _res("R1", "''", _C, _TB + "main breaker, check the rating")),
+    ("part = 'TB'", _res("R2", "''", _N, ":terminal block contained in the branch unit")),
+    (f"contains(cform, 'spd用') AND {has('cform', 'mcb|mccb')} AND af IS NULL", _res("R3", "''", _C, ":breaker for a surge device without rating")),
+    ("breaker_part AND breaker IS NOT NULL", _res("R4", "breaker", _S, _BREAKER)),
+    ("breaker_part", _res("R4", "''", _C, ":breaker rating or panel kind to check")),
+    ("motor IS NOT NULL", _res("R5", "CASE WHEN list_contains(known, motor) THEN motor ELSE '' END", _C, ":motor set")),
+    (f"part = 'CT' AND ratio IS NOT NULL AND band = 'HV' AND list_contains(known, {_CTH})", _res("R6", _CTH, _N, ":high-voltage CT by ratio")),
+    (f"part = 'CT' AND ratio IS NOT NULL AND band IN ('400V', '200V', '100V') AND list_contains(known, {_CTL})",
+     _res("R6", _CTL, _N, ":low-voltage CT by ratio")),
+    ("part = 'CT' AND ratio IS NOT NULL", _res("R6", "''", _C, ":CT ratio or band to check")),
+    ("sized AND fit IS NOT NULL AND abs(fit.c - want) < 1e-6", _res("R7", "fit.k", _S, ":capacity equal")),
+    ("sized AND fit IS NOT NULL", _res("R7", "fit.k", _N, f"'capacity raised to ' || {_kw_key('fit.c')}")),
+    ("sized AND top_cap IS NOT NULL", _res("R7", "''", _C, f"'capacity above the largest, ' || {_kw_key('top_cap')}")),
+    ("sized", _res("R7", "''", _C, ":no row of this capacity series")),
+    ("part IS NULL", _res("R8", "''", _C, "'part not identified, ' || CAST(n AS VARCHAR) || ' candidates'")),
+    (f"ds AND contains(form, '3p') AND {_ds('3P')} IS NOT NULL", _res("R9", _ds("3P"), _N, ":three-pole standard disconnector")),
     (f"ds AND NOT {has('form', '[123]p')} AND coalesce({_ds('3P')}, {_ds('1P')}) IS NOT NULL",
-     _res("R10", f"coalesce({_ds('3P')}, {_ds('1P')})", _C)),
-    ("lgr AND NOT two AND list_contains(known, '46401')", _res("R11", "'46401'", _S)),
-    ("lgr AND two AND list_contains(known, '46403')", _res("R11", "'46403'", _N)),
-    ("n = 0", _res("R12", "''", _C)),
-    (has("cform", "(^|[^a-z])vmc([^a-z]|$)"), _res("R13", "top.code", _C)),
-    ("n = 1", _res("R14", "top.code", _S)),
-    ("len(missing) = 0 AND (matched > 0 OR opt_hit OR default_top)", _res("R15", "top.code", _N)),
+     _res("R10", f"coalesce({_ds('3P')}, {_ds('1P')})", _C, ":pole number to check")),
+    ("lgr AND NOT two AND list_contains(known, '46401')", _res("R11", "'46401'", _S, ":leak relay with detector")),
+    ("lgr AND two AND list_contains(known, '46403')", _res("R11", "'46403'", _N, ":two-stage leak relay")),
+    ("n = 0", _res("R12", "''", _C, ":no catalogue row")),
+    (has("cform", "(^|[^a-z])vmc([^a-z]|$)"), _res("R13", "top.code", _C, ":VMC read as VCS")),
+    ("n = 1", _res("R14", "top.code", _S, ":only candidate")),
+    ("len(missing) = 0 AND (matched > 0 OR opt_hit OR default_top)", _res("R15", "top.code", _N, "CASE WHEN matched > 0 THEN 'values agree' "
+     "WHEN opt_hit THEN 'option agrees' ELSE 'standard type' END")),
+    ("len(missing) > 0", _res("R15", "top.code", _C, "'not explained: ' || array_to_string(list_sort(missing), ', ')")),
 ]
 _SPEC = rules.attr_spec()
 
@@ -311,7 +323,7 @@ g3 AS (SELECT *, CAST(CASE WHEN af_any IN ({', '.join(map(str, _FR))}) THEN af_a
          AND len(list_filter(vals, lambda r: list_contains(tvals, r) AND ends_with(r, 'KVA'))) > 0))) AS missing
   FROM g2),
 ladder AS (SELECT *, TRY_CAST({grab('name', r'(?i)(\d+\.?\d*)\s*kvar?')} AS DOUBLE) AS cap, starts_with(code, '45') AS hrow FROM cat),
-fits AS (SELECT q.part, q.cform, q.high, q.need, q.want, min({{'c': l.cap, 'k': l.code}}) FILTER (WHERE l.cap >= q.want - 1e-6) AS fit
+fits AS (SELECT q.part, q.cform, q.high, q.need, q.want, min({{'c': l.cap, 'k': l.code}}) FILTER (WHERE l.cap >= q.want - 1e-6) AS fit, max(l.cap) AS top_cap
   FROM (SELECT DISTINCT part, cform, high, need, want FROM g3 WHERE sized) q JOIN ladder l
    ON starts_with(l.name, q.part) AND l.hrow = q.high AND l.cap IS NOT NULL
    AND CASE q.need WHEN 'S' THEN contains(l.name, '支給品') WHEN 'P' THEN contains(l.name, 'スペース') OR contains(l.name, '(SP)')
@@ -320,7 +332,7 @@ fits AS (SELECT q.part, q.cform, q.high, q.need, q.want, min({{'c': l.cap, 'k':
    AND (q.part <> 'TR' OR ((NOT contains(q.cform, '3φ') OR contains(l.name, '3φ3W')) AND (NOT contains(q.cform, '1φ') OR contains(l.name, '1φ3W'))))
    AND (q.part <> 'SR' OR NOT q.high OR {grab('q.cform', r'l=?(\d+)')} IS NULL OR contains(l.name, '=' || {grab('q.cform', r'l=?(\d+)')} || '%'))
   GROUP BY ALL),
-g4 AS (SELECT g3.*, fits.fit, CASE WHEN af_any IS NOT NULL THEN CASE WHEN main_b THEN
+g4 AS (SELECT g3.*, fits.fit, fits.top_cap, CASE WHEN af_any IS NOT NULL THEN CASE WHEN main_b THEN
      CASE WHEN NOT elb AND pole = '3' AND list_contains(known, {mapping(_MAINS, "kind || chr(124) || frame")}) THEN {mapping(_MAINS, "kind || chr(124) || frame")} END
      ELSE CASE WHEN kind = 'control' THEN coalesce({', '.join(_branch(b) for b in ('50', '40', '60'))})
        ELSE coalesce({', '.join(_branch(b) for b in ('40', '60', '50'))}) END END END AS breaker
@@ -335,27 +347,31 @@ sparts AS (SELECT cname, symbol, kw, volt, list({{'code': CASE WHEN list_contain
   FROM sp3 GROUP BY cname, symbol, kw, volt),
 settled0 AS (SELECT g4.*, sp.parts, CASE WHEN g4.symbol <> '' THEN {{'rule': 'SYMBOL', 'code': sp.parts[1].code, 'conf':
      CASE WHEN sp.parts[1].code = '' OR len(list_filter(sp.parts, lambda p: p.clamped)) > 0 THEN '{_C}'
-       WHEN len(sp.parts) = 1 THEN '{_S}' ELSE '{_N}' END}}
-   {' '.join(f'WHEN {c} THEN {r}' for c, r in _CHAIN)} ELSE {_res('R15', 'top.code', _C)} END AS sel
+       WHEN len(sp.parts) = 1 THEN '{_S}' ELSE '{_N}' END, 'note': 'by main-circuit symbol'}}
+   {' '.join(f'WHEN {c} THEN {r}' for c, r in _CHAIN)} ELSE {_res('R15', 'top.code', _C, ':several candidates')} END AS sel
   FROM g4 LEFT JOIN sparts sp ON g4.symbol <> '' AND sp.cname = g4.cname AND sp.symbol = g4.symbol AND sp.kw = g4.kw AND sp.volt = g4.volt),
-settled1 AS (SELECT *, sel.rule AS rule, sel.code AS code, CASE WHEN symbol = '' AND grp <> '' AND n > 0 AND sel.conf = '{_C}' AND sel.code <> ''
+settled1 AS (SELECT *, sel.rule AS rule, sel.code AS code, sel.note AS note0, CASE WHEN symbol = '' AND grp <> '' AND n > 0 AND sel.conf = '{_C}' AND sel.code <> ''
      AND NOT contains(coalesce({norm('part')}, cform), {norm('grp')}) THEN '{_N}' ELSE sel.conf END AS conf1,
    sel.conf AS conf0 FROM settled0),
 settled2 AS (SELECT *, CASE WHEN symbol = '' AND code <> '' THEN {_lacking(True)} ELSE []::VARCHAR[] END AS missing_attrs,
    CASE WHEN symbol = '' AND code <> '' THEN {_lacking(False)} ELSE []::VARCHAR[] END AS missing_opt FROM settled1),
-settled AS (SELECT *, CASE WHEN len(missing_attrs) > 0 AND conf1 = '{_S}' THEN '{_N}' ELSE conf1 END AS conf FROM settled2),
-r0 AS (SELECT k.*, s.part, s.rule, s.code, s.conf, s.cands, s.missing_attrs, s.missing_opt, s.symbol <> '' AS by_symbol, c.name AS official, c.spec,
+settled AS (SELECT *, CASE WHEN len(missing_attrs) > 0 AND conf1 = '{_S}' THEN '{_N}' ELSE conf1 END AS conf,
+   CASE WHEN len(missing_attrs) > 0 AND conf1 = '{_S}' THEN 'required values missing (' || array_to_string(missing_attrs, '/') || '): ' ELSE '' END
+   || CASE WHEN conf1 <> conf0 THEN 'accessory of ' || grp || ': ' ELSE '' END || note0 AS note FROM settled2),
+r0 AS (SELECT k.*, s.part, s.rule, s.code, s.conf, s.note, s.cands, s.missing_attrs, s.missing_opt, s.symbol <> '' AS by_symbol, c.name AS official, c.spec,
    coalesce(starts_with(s.code, '420') AND contains(c.name, 'マルチ指示計'), false) AS src
   FROM kept k JOIN settled s USING (cname, volt, symbol, kw, grp, kind, tb_control, cap_panel, after_main) LEFT JOIN cat c ON c.code = s.code),
 r1 AS (SELECT *, last_value(CASE WHEN src THEN code END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY panel_idx, item_idx
    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mm FROM r0),
 r2 AS (SELECT *, NOT src AND mm IS NOT NULL AND NOT {has('form', rules.METER_GUARD)} AND (code IN ({', '.join(repr(c) for c in rules.METER_CODES)})
    OR {has('form', rules.METER_TEXT)}) AS carried FROM r1),
-r3 AS (SELECT * REPLACE (CASE WHEN carried THEN mm ELSE code END AS code, CASE WHEN carried OR src OR unclear THEN '{_C}' ELSE conf END AS conf) FROM r2),
+r3 AS (SELECT * REPLACE (CASE WHEN carried THEN mm ELSE code END AS code,
+   CASE WHEN carried THEN 'same type as the multi-meter above, check the type' WHEN src THEN 'multi-meter, check the type'
+     ELSE CASE WHEN unclear AND conf <> '{_C}' THEN 'drawing hard to read: ' ELSE '' END || note END AS note, CASE WHEN carried OR src OR unclear THEN '{_C}' ELSE conf END AS conf) FROM r2),
 r4 AS (SELECT r3.* EXCLUDE (official, spec), c.name AS official, c.spec, bool_or(r3.code <> '' AND (contains(c.name || c.spec, 'ZCT付')
    OR contains(c.name || c.spec, 'ZCT含') OR contains(c.name, 'LG-RY'))) OVER (PARTITION BY doc_id, panel_idx) AS has_relay
   FROM r3 LEFT JOIN cat c ON c.code = r3.code),
-graded AS (SELECT * REPLACE (CASE WHEN gone THEN '' ELSE code END AS code, CASE WHEN gone THEN '—' ELSE conf END AS conf, CASE WHEN gone THEN NULL ELSE official END AS official)
+graded AS (SELECT * REPLACE (CASE WHEN gone THEN '' ELSE code END AS code, CASE WHEN gone THEN 'contained in the relay of the panel' ELSE note END AS note, CASE WHEN gone THEN '—' ELSE conf END AS conf, CASE WHEN gone THEN NULL ELSE official END AS official)
   FROM (SELECT *, coalesce(has_relay, false) AND {has('form', rules.STANDALONE_DETECTOR)} AND NOT {has('form', rules.STANDALONE_GUARD)} AS gone FROM r4)),
 dets AS (SELECT d.doc_id, d.panel_idx, d.item_idx, {grab('trim(d.name)', r'^(\S+)')} AS load,
    (SELECT max(k.item_idx) FROM kept k WHERE k.doc_id = d.doc_id AND k.panel_idx = d.panel_idx AND k.item_idx < d.item_idx) AS parent_idx

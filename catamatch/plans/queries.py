@@ -144,7 +144,7 @@ def ordered_lines(s, d):
 
 @query
 def report_detail(s, d):
-    return report.detail(select_items(_items(s, d), _cat(s, d), wide=False)).drop("note")
+    return report.detail(select_items(_items(s, d), _cat(s, d), wide=False))
 
 
 @query
