@@ -31,12 +31,24 @@ def contexts_of(marked: DataFrame) -> DataFrame:
 
 
 def select_items(items: DataFrame, catalogue: DataFrame, wide: bool = True) -> DataFrame:
-    """Graded rows of all kept items.
+    """Graded rows of all kept items (see ``graded_rows``); ``wide`` adds loads, display, candidates,
+    parts and missing attributes at the end."""
+    df, marked, settled = graded_rows(items, catalogue)
+    return with_details(df, marked, settled) if wide else df.drop("decision")
+
+
+def graded_and_details(items: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Graded rows and load details, from one pass over the items."""
+    df, marked, _ = graded_rows(items, catalogue)
+    return df.drop("decision"), ctx.detail_rows(marked)
+
+
+def graded_rows(items: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Graded rows with their decision, the marked items and the settled decisions.
 
     items: doc_id, panel_idx, panel, item_idx and ITEM_FIELDS; catalogue: ord, code, name,
     volt, kind, spec with unique codes.  Equal contexts are settled once and joined back.
-    Rows travel through the context rules with their short columns only; ``wide`` adds loads,
-    display, candidates, parts and missing attributes at the end.
+    Rows travel through the context rules with their short columns only.
     """
     marked = written(ctx.with_parent(written(ctx.mark_rows(items))))
     rows = contexts_of(marked)
@@ -54,8 +66,7 @@ def select_items(items: DataFrame, catalogue: DataFrame, wide: bool = True) -> D
     df = df.withColumns({
         "note": F.when(unclear, F.concat(F.lit("drawing hard to read: "), "note")).otherwise(F.col("note")),
         "conf": F.when(unclear, rules.CHECK).otherwise(F.col("conf"))})
-    df = ctx.absorb_detectors(df).drop("form", "unclear")
-    return with_details(df, marked, settled) if wide else df.drop("decision")
+    return ctx.absorb_detectors(df).drop("form", "unclear"), marked, settled
 
 
 def with_details(df: DataFrame, marked: DataFrame, settled: DataFrame) -> DataFrame:

@@ -81,6 +81,18 @@ SQL: dict[str, str] = {
         UNION ALL SELECT event_id, 0, event_type, 1, 'L-1 5kVA', false FROM events WHERE event_type <> 'error'
         UNION ALL SELECT event_id, 1, '', 0, '', false FROM events WHERE event_type <> 'error'
         UNION ALL SELECT event_id, 0, '[抽出失敗] event-' || {_DOCQ}, 0, 'unreadable', true FROM events WHERE event_type = 'error'""",
+    "read_counts": """SELECT count(*) FILTER (event_type <> 'error') AS n_docs, count(*) FILTER (event_type = 'error') AS n_failed,
+        CAST(sum(CASE WHEN event_type IN ('error', 'click') THEN 0 ELSE 2 END) AS BIGINT) AS n_panels,
+        CAST(sum(CASE WHEN event_type IN ('error', 'click', 'view') THEN 0 ELSE 3 END) AS BIGINT) AS n_items FROM events""",
+    "stored_results": f"SELECT doc_id, length({op.norm('text')}) AS n_form FROM documents UNION ALL SELECT item_id, length({op.norm('text')}) FROM benchmark",
+    "detail_sink": P + " SELECT doc_id, panel_idx, item_idx, panel, name, qty, state FROM stated",
+    "dictionary_parts": f"""{_ITEMS}, cat AS ({views.CATALOGUE.format(part='part')}),
+        d0 AS (SELECT * FROM (VALUES {', '.join(f"('{t.squeeze_literal(a)}', '{p}', {i})" for i, (a, p) in enumerate(rules.aliases()))}) AS v(alias, part, priority)
+          UNION ALL SELECT w, w, min(ord) + {len(rules.aliases())} FROM (SELECT {op.norm("string_split(name, ' ')[1]")} AS w, ord FROM cat) GROUP BY w),
+        f AS (SELECT DISTINCT {op.norm('name')} AS form FROM items),
+        h AS (SELECT form, alias, part, priority FROM f JOIN d0 ON alias <> '' AND contains(form, alias) AND (length(alias) > 2
+          OR regexp_matches(form, '(^|[^a-z])' || regexp_escape(alias) || '([^a-z]|$)')))
+        SELECT form, alias, part FROM h QUALIFY row_number() OVER (PARTITION BY form ORDER BY priority, alias) = 1""",
     "path_filter": "SELECT page_id, url FROM pages WHERE regexp_matches(lower(url), '\\.html?$') AND NOT contains(url, '/.')",
     "content_dedup": f"SELECT doc_id, sha256(text) AS hash, length({op.norm('text')}) AS n_form FROM documents",
     "provenance_label": "SELECT page_id, regexp_extract(url, '[^/]*$') || ' / ' || regexp_extract(url, '^https?://([^/]+)', 1) AS label FROM pages",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from catamatch import rules
@@ -14,12 +15,14 @@ from catamatch.functions import text as t
 from catamatch.operators import candidates as cd
 from catamatch.operators import context as ctx
 from catamatch.operators import decide, lookup, ordered, report, scores
+from catamatch.operators.dictionary import first_aliases
 from catamatch.operators.match import contained_matches, token_matches
-from catamatch.operators.pipeline import attached_details, contexts_of, select_items
-from catamatch.operators.stage import written
+from catamatch.operators.pipeline import contexts_of, graded_and_details, select_items
+from catamatch.operators.stage import shared_folder, written
 from catamatch.plans import views
 from catamatch.plans.views import table
 from catamatch.sources import documents as docs
+from catamatch.sources.versioned import VersionedTable, process_new, replace_documents
 
 REGISTRY = {}
 
@@ -108,6 +111,17 @@ def dead_letter_split(s, d):
     return rows.select("event_id", "panel_idx", "panel", "item_idx", "name", "unclear")
 
 
+@query
+def read_counts(s, d):
+    """Files read and failed, panels (empty ones too) and items, as the reading pass counts them."""
+    raw = table(s, d, "events").select("event_id", F.expr(
+        f"""CASE event_type WHEN 'error' THEN '{{"panels": ' WHEN 'view' THEN '{{"panels":[{{"panel":"a","items":[]}},{{"panel":"b"}}]}}'
+            WHEN 'click' THEN '{{"panels":[]}}' ELSE {_DOC} END""").alias("raw"))
+    counts = Observation("read")
+    docs.read_documents(raw, ["event_id"], "raw", F.col("event_id").cast("string"), counts)
+    return s.createDataFrame([counts.get], "n_docs bigint, n_failed bigint, n_panels bigint, n_items bigint")
+
+
 @query
 def path_filter(s, d):
     return table(s, d, "pages").where(docs.accepted(F.col("url"), (".html", ".htm"))).select("page_id", "url")
@@ -120,6 +134,30 @@ def content_dedup(s, d):
     return docs.process_once(table(s, d, "documents").select("doc_id", "text"), "text", process)
 
 
+@query
+def stored_results(s, d):
+    """Documents of two runs over one results table: the second one processes only what is new."""
+    def process(new):
+        return new.select("hash", F.length(t.squeeze(t.nfkc(F.col("content")))).alias("n_form"))
+    results = VersionedTable(s, f"{shared_folder(s)}/{uuid.uuid4().hex}", "hash string, n_form int")
+    first = table(s, d, "benchmark").select("item_id", F.col("text").alias("content"))
+    process_new(results, first, process)
+    both = table(s, d, "documents").select("doc_id", F.col("text").alias("content")).unionByName(
+        first.withColumnRenamed("item_id", "doc_id"))
+    return process_new(results, both, process).select("doc_id", "n_form")
+
+
+@query
+def detail_sink(s, d):
+    """Marked items as the sink holds them after a run and its rerun."""
+    rows = ctx.mark_rows(_items(s, d)).select(*ctx.KEY, "panel", "name", "qty", "state")
+    sink = VersionedTable(s, f"{shared_folder(s)}/{uuid.uuid4().hex}",
+                          "doc_id bigint, panel_idx int, item_idx bigint, panel string, name string, qty string, state string")
+    for _ in range(2):
+        replace_documents(sink, rows, ctx.KEY)
+    return sink.read()
+
+
 @query
 def provenance_label(s, d):
     return table(s, d, "pages").select("page_id", docs.provenance(
@@ -149,8 +187,8 @@ def report_detail(s, d):
 
 @query
 def report_summary(s, d):
-    items = _items(s, d)
-    return report.summary_lines(report.summary(select_items(items, _cat(s, d), wide=False)), attached_details(items))
+    graded, details = graded_and_details(_items(s, d), _cat(s, d))
+    return report.summary_lines(report.summary(graded), details)
 
 
 # --- expressions ---------------------------------------------------------------------------
@@ -214,6 +252,17 @@ def alias_classify(s, d):
     return _text_features(s, d).groupBy("part").agg(F.count("*").alias("n_texts"), F.sum("n_items").alias("n_items"))
 
 
+@query
+def dictionary_parts(s, d):
+    """Item texts by a dictionary of the rule table's aliases and, after them, the first words of all catalogue names."""
+    rule = [(t.squeeze_literal(a), p, i) for i, (a, p) in enumerate(rules.aliases())]
+    words = _cat(s, d).groupBy(t.squeeze(t.nfkc(F.element_at(F.split("name", " "), 1))).alias("alias")).agg(
+        (F.min("ord") + len(rule)).alias("priority")).select("alias", F.col("alias").alias("part"), "priority")
+    named = s.createDataFrame(rule, "alias string, part string, priority bigint").unionByName(words)
+    texts = _items(s, d).select(t.squeeze(t.nfkc(F.col("name"))).alias("form")).distinct()
+    return first_aliases(texts, named).select("form", "alias", "part")
+
+
 @query
 def display_compose(s, d):
     marked = written(ctx.with_parent(written(ctx.mark_rows(_items(s, d)))))
@@ -528,11 +577,12 @@ def attach_details(s, d):
 
 @query
 def group_suppress(s, d):
-    df = _events(s, d)
-    flagged = df.where("event_type = 'error' and value > 20").select(*ctx.PANEL).distinct().withColumn("_f", F.lit(True))
-    gone = F.coalesce(F.col("_f") & (F.col("event_type") == "click"), F.lit(False))
-    return df.join(flagged, ctx.PANEL, "left").select(
-        "item_idx", gone.alias("absorbed"), F.when(gone, rules.UNCOUNTED).otherwise(rules.SURE).alias("conf"))
+    """Clicks as stand-alone detectors, errors above 20 as the relay that contains them."""
+    df = _events(s, d).select(
+        *ctx.KEY, F.when(F.col("event_type") == "click", "zct").otherwise(F.col("event_type")).alias("form"),
+        ((F.col("event_type") == "error") & (F.col("value") > 20)).alias("built_in"),
+        *[F.lit(v).alias(c) for c, v in (("code", "x"), ("official", "x"), ("conf", rules.SURE), ("note", ""))])
+    return ctx.absorb_detectors(df).select("item_idx", "absorbed", "conf")
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from catamatch.functions import text as t
@@ -43,7 +43,11 @@ def readable(json: Column) -> Column:
 
 def flatten(df: DataFrame, ids: list[str], json: str) -> DataFrame:
     """One row per item of panels[].items[] with its position; missing texts become ''."""
-    doc = F.from_json(F.col(json), DOCUMENT)
+    return item_rows(df.select(*ids, F.from_json(F.col(json), DOCUMENT).alias("_doc")), ids, F.col("_doc"))
+
+
+def item_rows(df: DataFrame, ids: list[str], doc: Column) -> DataFrame:
+    """``flatten`` for documents that are parsed already."""
     panels = df.select(*ids, F.posexplode(doc["panels"]).alias("panel_idx", "_p"))
     items = panels.select(*ids, "panel_idx", F.coalesce("_p.panel", F.lit("")).alias("panel"),
                           F.posexplode("_p.items").alias("item_idx", "_i"))
@@ -54,12 +58,25 @@ def flatten(df: DataFrame, ids: list[str], json: str) -> DataFrame:
         *[truthy(F.col("_i")[a]).alias(a) for a in ("load_detail", "unclear", "cable")])
 
 
-def read_documents(df: DataFrame, ids: list[str], text: str, source: Column) -> DataFrame:
-    """Item rows of readable documents and one marked row per unreadable or wrongly shaped one."""
+def read_documents(df: DataFrame, ids: list[str], text: str, source: Column,
+                   counts: Observation | None = None) -> DataFrame:
+    """Item rows of readable documents and one marked row per unreadable or wrongly shaped one.
+
+    A text is validated and parsed once.  ``counts`` gathers in the same pass n_docs (readable ones), n_failed,
+    n_panels (those without items too) and n_items.
+    """
     parsed = df.select(*ids, source.alias("_source"), salvage(F.col(text)).alias("_json"))
-    # written: the text is validated once, not in every branch and filter
-    parsed = written(parsed.withColumn("_ok", readable(F.col("_json"))))
-    good = flatten(parsed.where("_ok"), ids, "_json")
+    parsed = parsed.withColumn("_ok", readable(F.col("_json")))
+    parsed = parsed.select(*ids, "_source", "_ok", F.when(F.col("_ok"), F.from_json("_json", DOCUMENT)).alias("_doc"))
+    if counts is not None:
+        panels = F.when(F.col("_ok"), F.greatest(F.size("_doc.panels"), F.lit(0)))
+        items = F.aggregate(F.coalesce("_doc.panels", F.from_json(F.lit("[]"), DOCUMENT[7:])), F.lit(0),
+                            lambda n, p: n + F.greatest(F.size(p["items"]), F.lit(0)))
+        parsed = parsed.observe(counts, F.count_if("_ok").alias("n_docs"), F.count_if(~F.col("_ok")).alias("n_failed"),
+                                F.coalesce(F.sum(panels), F.lit(0)).alias("n_panels"),
+                                F.coalesce(F.sum(F.when(F.col("_ok"), items)), F.lit(0)).alias("n_items"))
+    parsed = written(parsed)
+    good = item_rows(parsed.where("_ok"), ids, F.col("_doc"))
     bad = parsed.where("not _ok").select(
         *ids, F.lit(0).alias("panel_idx"), F.concat(F.lit(FAILED), "_source").alias("panel"),
         F.lit(0).alias("item_idx"), F.lit("unreadable").alias("name"), F.lit(True).alias("unclear"))
