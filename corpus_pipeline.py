@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but
 the last return the columns of documents.  ``run`` writes every stage's rows and reads them again.
+
+Defined results: a null text, or one without a letter, goes in the first stage; a text that loses all its
+lines goes on as the empty text, is never a near copy, and has no words for the mix, where it ends.  Rows
+without a doc_id are judged by their text, and near copies that have no doc_id among them all stay.  Rows that
+repeat a doc_id with other texts are documents of their own in every stage; rows equal in doc_id, text and
+source become one in the mix.  A null source is a source.  Extra columns pass through up to the packing, whose
+rows are pieces.  An empty table gives no rows.
 """
 
 from __future__ import annotations
