@@ -49,7 +49,8 @@ def test_run_and_registration(spark):
     assert entry.queries()["pipeline"](spark, SF).count() > 0
     assert sorted(n for n in entry.queries() if n.startswith("op") and n[2].isdigit()) == sorted(
         ["op1_exact_dedup", "op2_personal_data", "op3_mix", "op4_pack", "op5_near_dedup", "op6_url_filter", "op7_line_dedup",
-         "op8_substring_dedup", "op9_language", "op10_fingerprints"])
+         "op8_substring_dedup", "op9_language", "op10_fingerprints", "op11_sentence_pieces", "op12_conversation_repair",
+         "op13_lexical_search"])
 
 
 def test_stages_take_empty_tables(spark):
