@@ -147,7 +147,7 @@ SQL: dict[str, str] = {
         SELECT item_id, ord, row_number() OVER (PARTITION BY item_id ORDER BY ord) AS rn FROM h QUALIFY rn <= 25""",
     "token_contains_topk": f"""{_ITEMS}, cat AS ({views.CATALOGUE.format(part='part')}), r AS (SELECT ord, {op.norm('name')} AS form FROM cat),
         i AS (SELECT DISTINCT name AS cname FROM items),
-        k AS (SELECT DISTINCT cname, {op.norm('w')} AS tok FROM (SELECT cname, unnest(string_split_regex(cname, '[\s　()（）]')) AS w FROM i) WHERE length(w) >= 2),
+        k AS (SELECT DISTINCT cname, {op.norm('w')} AS tok FROM (SELECT cname, unnest(string_split_regex(cname, '[\\s　()（）]')) AS w FROM i) WHERE length(w) >= 2),
         h AS (SELECT DISTINCT cname, ord FROM k JOIN r ON contains(form, tok))
         SELECT cname, ord, row_number() OVER (PARTITION BY cname ORDER BY ord) AS rn FROM h QUALIFY rn <= 25""",
     "closed_world_check": """SELECT o_orderkey, CASE WHEN p_partkey IS NOT NULL THEN CAST(o_orderkey AS VARCHAR) ELSE '' END AS code, coalesce(p_name, '') AS name,
