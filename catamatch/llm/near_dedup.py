@@ -14,10 +14,13 @@ Then, without ever listing the pairs of a group:
 2. A shingle that no other candidate holds can be in no intersection.  From their number follows
    a bound on the similarity of a class to any other one; classes below the threshold leave, and
    pairs below it are not looked at.  This is exact.
-3. Every class is compared with the smallest one of each of its bands: one edge a class and band.
-   Edges are confirmed on the full sets and their components found.
-4. Classes that still share a band across different components are compared too, where the bound of
-   step 2 and the triangle inequality over their distances to the band's centre allow a link.  So no link between different texts is lost that a band shows.
+3. Every class is compared with the centre of each of its bands, the class with the least share of shingles of
+   its own: one edge a class and band.  Edges are confirmed on the full sets and their components found.
+4. Classes that still share a band across different components are compared too, where the bound of step 2
+   and the differences from the band's centre allow a link.  Two classes are the nearer to each other the more
+   of their differences from the centre they have in common, and these are at most the differences that some
+   class of another component has as well, which one count a centre and shingle finds.  The bound is exact, so
+   no link between different texts is lost that a band shows.
 
 Components are found by alternating star contractions, a written table a round; nothing of
 document size goes to the driver, and skewed bands and classes meet only in joins that adaptive
@@ -46,6 +49,8 @@ SHINGLE, PERMUTATIONS, BAND_VALUES = 5, 48, 4
 PERCENT = 80
 _SLICE = 4096
 _OTHER = 1 << 62
+#: The least of these in a band is its centre.
+_CENTRE = "struct((n - m) / n AS own, rep, n, m)"
 _RANDOM = np.random.Generator(np.random.PCG64(5))
 _FACTORS = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -121,23 +126,40 @@ def possible(percent: int, a: str = "a", b: str = "b") -> Column:
 
 
 def close_enough(percent: int, a: str = "a", b: str = "b") -> Column:
-    """Whether the triangle inequality allows the threshold: far counts the shingles that a class and the centre do not share.
+    """Whether the differences from a common centre allow the threshold.
 
-    The distance of two classes is at least the difference of their distances to a third one.
+    ``far`` counts the shingles that a class and the centre do not share, ``common`` those of them that a class
+    of another component differs in as well.  The distance of two classes is the sum of their ``far`` less twice
+    the differences they have in common.
     """
-    gap = F.abs(F.col(f"{a}.far") - F.col(f"{b}.far"))
-    return F.coalesce(gap * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent), F.lit(True))
+    least = F.col(f"{a}.far") + F.col(f"{b}.far") - 2 * F.least(f"{a}.common", f"{b}.common")
+    return least * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
 
 
-def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) with far, the number of shingles they do not share, and linked; two full sets at a time, inside the JVM."""
+def beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) with their full sets x and y; two sets at a time, inside the JVM."""
     left = sets.select(F.col("rep").alias("u"), F.col("shingles").alias("x"))
     right = sets.select(F.col("rep").alias("v"), F.col("shingles").alias("y"))
+    return pairs.join(left, "u").join(right, "v")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that reach the threshold on their full sets."""
     both = F.size(F.array_intersect("x", "y")).cast("long")
-    every = F.size("x") + F.size("y")
-    return pairs.join(left, "u").join(right, "v").withColumn("both", both).select(
-        "u", "v", (every - 2 * F.col("both")).alias("far"),
-        (F.col("both") * 100 >= (every - F.col("both")) * percent).alias("linked"))
+    rows = beside(pairs, sets).select("u", "v", (F.size("x") + F.size("y")).alias("every"), both.alias("both"))
+    return rows.where(F.col("both") * 100 >= (F.col("every") - F.col("both")) * percent).select("u", "v")
+
+
+def differences(around: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v, far and common for classes u around centres v, given with the label of u's component."""
+    differ = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    found = written(beside(around, sets).select("u", "v", "label", differ.alias("differ")))
+    each = found.select("u", "v", "label", F.explode("differ").alias("s"))
+    several = each.groupBy("v", "s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    common = each.join(written(several.select("v", "s")), ["v", "s"], "left_semi").groupBy("u", "v").agg(
+        F.count("*").alias("common"))
+    return written(found.select("u", "v", F.size("differ").cast("long").alias("far")).join(common, ["u", "v"], "left")
+                   .fillna(0, ["common"]))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,6 +189,22 @@ def components(edges: DataFrame) -> DataFrame:
     return written(e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots))
 
 
+def open_pairs(rows: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of different components in a band of rows (rep, band, key, n, m) that may reach the threshold."""
+    rows = same(rows, labels.withColumnRenamed("node", "rep"), "rep").withColumn("label", F.coalesce("label", "rep"))
+    open_ = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.expr(_CENTRE)).alias("c"))
+    open_ = written(open_.where("lo < hi").select("key", F.col("c.rep").alias("v")))
+    rows = written(rows.join(open_, "key").join(reps, "rep").withColumn(
+        "before", F.slice("bands", F.lit(1), F.col("band"))).drop("bands"))
+    bounds = differences(written(rows.select(F.col("rep").alias("u"), "v", "label").distinct()), sets)
+    rows = written(rows.withColumnRenamed("rep", "u").join(bounds, ["u", "v"]).select(
+        "key", F.struct(F.col("u").alias("rep"), "n", "m", "label", "far", "common", "before").alias("a")))
+    pairs = rows.join(rows.select("key", F.col("a").alias("b")), "key").where(
+        (F.col("a.rep") < F.col("b.rep")) & (F.col("a.label") != F.col("b.label")) & possible(percent) & close_enough(percent)
+        & ~F.arrays_overlap("a.before", "b.before"))  # a pair is met in its first common band only
+    return pairs.select(F.col("b.rep").alias("u"), F.col("a.rep").alias("v"))
+
+
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_hash for every row; doc_id and text_hash name the row.
 
@@ -196,26 +234,14 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # step 3: a star in every band
     me = F.struct("rep", "n", "m")
-    centres = rows.groupBy("key").agg(F.min(me).alias("a"), F.max("rep").alias("top")).where("top > a.rep")
-    stars = rows.select("key", me.alias("b")).join(centres, "key").where((F.col("a.rep") < F.col("b.rep")) & possible(percent))
-    stars = written(stars.select(F.col("b.rep").alias("u"), F.col("a.rep").alias("v")).distinct())
-    edges = written(measured(stars, sets, percent))
-    labels = components(edges.where("linked").select("u", "v"))
+    centres = rows.groupBy("key").agg(F.min(F.expr(_CENTRE)).alias("a"), F.count("*").alias("c")).where("c > 1")
+    stars = rows.select("key", me.alias("b")).join(centres, "key").where((F.col("a.rep") != F.col("b.rep")) & possible(percent))
+    stars = written(stars.select(F.greatest("a.rep", "b.rep").alias("u"), F.least("a.rep", "b.rep").alias("v")).distinct())
+    labels = components(linked(stars, sets, percent))
 
     # step 4: bands that join different components
-    rows = same(rows, labels.withColumnRenamed("node", "rep"), "rep").withColumn("label", F.coalesce("label", "rep"))
-    open_ = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("rep").alias("v")).where("lo < hi")
-    firsts = reps.select(F.col("rep").alias("r"), "bands")
-    rows = rows.join(written(open_.select("key", "v")), "key").join(firsts, F.col("rep") == F.col("r"))
-    far = F.when(F.col("rep") == F.col("v"), F.lit(0).cast("long")).otherwise(F.col("far"))
-    rows = rows.join(edges.select(F.col("u").alias("rep"), "v", "far"), ["rep", "v"], "left").select(
-        "key", F.struct("rep", "n", "m", "label", far.alias("far"), F.slice("bands", F.lit(1), F.col("band")).alias("before")).alias("a"))
-    rows = written(rows)
-    across = rows.join(rows.select("key", F.col("a").alias("b")), "key").where(
-        (F.col("a.rep") < F.col("b.rep")) & (F.col("a.label") != F.col("b.label")) & possible(percent) & close_enough(percent)
-        & ~F.arrays_overlap("a.before", "b.before"))  # a pair is met in its first common band only
-    across = across.select(F.col("b.rep").alias("u"), F.col("a.rep").alias("v")).join(stars, ["u", "v"], "left_anti")
-    more = written(measured(across, sets, percent).where("linked").select("u", "v"))
+    across = open_pairs(rows, labels, reps.select("rep", "bands"), sets, percent).join(stars, ["u", "v"], "left_anti")
+    more = written(linked(across, sets, percent))
     final = labels
     if not more.isEmpty():
         old = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
