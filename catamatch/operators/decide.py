@@ -272,6 +272,29 @@ def missing_attributes(part: str, text: str, required: bool, spec=None) -> Colum
     return F.expr(f"CASE {' '.join(cases)} ELSE CAST(array() AS array<string>) END")
 
 
+def with_missing_attributes(df: DataFrame, part: str, text: str, spec: DataFrame) -> DataFrame:
+    """Adds missing_attrs and missing_opt by a spec table (class, pos, attr, required, pattern) of any size.
+
+    A part's class is its upper-case spelling, else its own; a part without a class, a null text and an attribute
+    without a pattern miss nothing.  Distinct texts are checked once, sorted by pattern, so that a task compiles
+    each of its patterns once.
+    """
+    asked = df.select(F.col(part).alias("_part"), F.col(text).alias("_text")).dropna().distinct()
+    parts = asked.select("_part").distinct().withColumn("_keys", F.array_distinct(F.array(F.upper("_part"), "_part")))
+    owned = lookup.first_existing(parts, ["_part"], "_keys", spec.select("class").distinct(), "class", "_class")
+    checks = spec.where("pattern is not null").select(F.col("class").alias("_class"), "pos", "attr", "required", "pattern")
+    each = asked.join(owned.select("_part", "_class"), "_part").join(checks, "_class").sortWithinPartitions("pattern")
+    absent = F.regexp_instr("_text", F.concat(F.lit("(?i)"), "pattern")) == 0
+    lacking = each.groupBy("_part", "_text").agg(F.array_sort(F.collect_list(
+        F.when(absent, F.struct("pos", "attr", "required")))).alias("_lacking"))
+    found = df.join(lacking, (F.col(part) == F.col("_part")) & (F.col(text) == F.col("_text")), "left")
+    def names(required):
+        kept = F.filter("_lacking", lambda a: a["required"] == F.lit(required))
+        return F.coalesce(F.transform(kept, lambda a: a["attr"]), t.empty_strings())
+    return found.withColumns({"missing_attrs": names(True), "missing_opt": names(False)}).drop(
+        "_part", "_text", "_lacking")
+
+
 def evidence(contexts: DataFrame, cats: DataFrame) -> DataFrame:
     """Joins every distinct context with what the rules need: features, candidates, capacity fit."""
     feats = item_features(contexts)
@@ -297,10 +320,10 @@ def evidence(contexts: DataFrame, cats: DataFrame) -> DataFrame:
         "_top", "_volt", "_fold")
 
 
-def select_codes(contexts: DataFrame, cats: DataFrame) -> DataFrame:
+def select_codes(contexts: DataFrame, cats: DataFrame, spec: DataFrame | None = None) -> DataFrame:
     """Settles every distinct context: rule, code, conf, note, candidates, parts, missing attributes.
 
-    cats is the written table of ``catalogue_features``.
+    cats is the written table of ``catalogue_features``; spec replaces the built-in attribute spec.
     """
     df = evidence(contexts, cats).withColumn("known", known_codes(cats))
     codes = F.col("known")
@@ -315,11 +338,13 @@ def select_codes(contexts: DataFrame, cats: DataFrame) -> DataFrame:
                                                         "by main-circuit symbol")).otherwise(rule_list(codes)))
     df = df.select(*CONTEXT, "part", "cform", "parts", "sel.*", "cands", by_symbol.alias("by_symbol"))
     df = promote_group(df)
-    req = missing_attributes("part", "cname", True)
-    opt = missing_attributes("part", "cname", False)
+    if spec is None:
+        df = df.withColumns({"missing_attrs": missing_attributes("part", "cname", True),
+                             "missing_opt": missing_attributes("part", "cname", False)})
+    else:
+        df = with_missing_attributes(df, "part", "cname", spec)
     checked = ~F.col("by_symbol") & (F.col("code") != "")
-    df = df.withColumn("missing_attrs", F.when(checked, req).otherwise(t.empty_strings())).withColumn(
-        "missing_opt", F.when(checked, opt).otherwise(t.empty_strings()))
+    df = df.withColumns({c: F.when(checked, F.col(c)).otherwise(t.empty_strings()) for c in ("missing_attrs", "missing_opt")})
     lowered = (F.size("missing_attrs") > 0) & (F.col("conf") == rules.SURE)
     return df.withColumn("note", F.when(lowered, F.concat(
         F.lit("required values missing ("), F.array_join("missing_attrs", "/"), F.lit("): "), "note"))

@@ -152,6 +152,17 @@ SQL: dict[str, str] = {
         SELECT cname, ord, row_number() OVER (PARTITION BY cname ORDER BY ord) AS rn FROM h QUALIFY rn <= 25""",
     "closed_world_check": """SELECT o_orderkey, CASE WHEN p_partkey IS NOT NULL THEN CAST(o_orderkey AS VARCHAR) ELSE '' END AS code, coalesce(p_name, '') AS name,
         CASE WHEN p_partkey IS NOT NULL AND o_orderstatus = 'F' THEN '○' ELSE '△' END AS conf FROM orders LEFT JOIN part ON p_partkey = o_orderkey AND o_orderstatus IN ('F', 'O')""",
+    "catalogue_arrays": """SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INT) AS ord,
+        p_partkey % 7 < 2 AS failed, CASE WHEN p_partkey % 7 < 2 THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS code,
+        CASE p_partkey % 7 WHEN 0 THEN '{"name":"' || p_name || '"}' WHEN 1 THEN '' ELSE p_name END AS name, '' AS volt,
+        CASE WHEN p_partkey % 7 < 2 THEN '' ELSE p_type END AS kind, '' AS spec FROM part""",
+    "required_attrs_table": """SELECT l_orderkey, l_linenumber,
+        concat_ws('|', CASE WHEN NOT regexp_matches(text, '(^| )' || size || 'A') THEN 'size' END,
+            CASE WHEN NOT contains(lower(text), lower(brand)) THEN 'brand' END) AS required,
+        CASE WHEN regexp_matches(text, '(?i)[ar]$') THEN '' ELSE 'mode' END AS optional
+        FROM (SELECT l_orderkey, l_linenumber, p_type, p_brand || ' ' || CAST(CAST(l_quantity AS INT) AS VARCHAR) || 'A ' || l_returnflag AS text
+              FROM lineitem JOIN part ON l_partkey = p_partkey)
+        JOIN (SELECT p_type, min(p_size) AS size, min(p_brand) AS brand FROM part GROUP BY p_type) USING (p_type)""",
     "required_attrs": TEXTS + f" SELECT cname, volt, part, array_to_string({op._lacking(True)}, '|') AS required, array_to_string({op._lacking(False)}, '|') AS optional FROM f3",
     "recipe_expand": f"""WITH {op.BASE.strip()[:op.BASE.strip().index('catf AS (')]}
         known AS (SELECT list(code) AS known FROM cat WHERE code IN ({', '.join(repr(c) for c in rules.rule_codes())})),

@@ -79,7 +79,18 @@ def attr_spec_long(s, d):
     part = table(s, d, "part").select("p_partkey", F.expr(
         """'{"' || p_type || '": {"required": ["size", "brand"], "optional": ["price"], "patterns": {"size": "'
            || CAST(p_size AS STRING) || 'A", "brand": "' || p_brand || '"}}}'""").alias("spec"))
-    return docs.spec_rows(part, ["p_partkey"], "spec")
+    return docs.spec_rows(part, ["p_partkey"], "spec").drop("pos")
+
+
+@query
+def catalogue_arrays(s, d):
+    """The parts of a brand as one catalogue array, every seventh without a code."""
+    part = table(s, d, "part").select("p_brand", "p_partkey", F.expr(
+        """CASE p_partkey % 7 WHEN 0 THEN '{"name": "' || p_name || '"}' WHEN 1 THEN 'null'
+           ELSE '{"code": "' || CAST(p_partkey AS STRING) || '", "name": "' || p_name || '", "kind": "' || p_type || '"}' END""").alias("row"))
+    arrays = part.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "row"))).alias("rows"))
+    text = F.concat(F.lit("["), F.array_join("rows.row", ",\n"), F.lit("]"))
+    return docs.catalogue_rows(arrays.select("p_brand", text.alias("json")), ["p_brand"], "json")
 
 
 _DOC = """'{"panels":[{"panel":"' || event_type || '","items":[{"name":"' || event_type || ' ' || CAST(event_id AS STRING)
@@ -440,6 +451,21 @@ def required_attrs(s, d):
         _pairs(decide.missing_attributes("part", "cname", False)).alias("optional"))
 
 
+@query
+def required_attrs_table(s, d):
+    """Order lines checked by a spec of one class a part type, read from its JSON form."""
+    part = table(s, d, "part")
+    spec = part.groupBy("p_type").agg(F.min("p_size").alias("size"), F.min("p_brand").alias("brand")).select(F.expr(
+        """'{"' || p_type || '": {"required": ["size", "brand"], "optional": ["mode", "none"], "patterns": {"size": "(^| )'
+           || CAST(size AS STRING) || 'A", "brand": "' || lower(brand) || '", "mode": "[ar]$"}}}'""").alias("spec"))
+    lines = table(s, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        "l_orderkey", "l_linenumber", "p_type", F.concat_ws(
+            " ", "p_brand", F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("A")), "l_returnflag").alias("text"))
+    found = decide.with_missing_attributes(lines, "p_type", "text", docs.spec_rows(spec, [], "spec"))
+    return found.select("l_orderkey", "l_linenumber", _pairs(F.col("missing_attrs")).alias("required"),
+                        _pairs(F.col("missing_opt")).alias("optional"))
+
+
 @query
 def recipe_expand(s, d):
     df = _items(s, d).where("symbol <> ''").groupBy("name", "symbol", "kw", "volt").agg(F.count("*").alias("n"))

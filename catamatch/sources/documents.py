@@ -14,6 +14,9 @@ ITEM = ("name STRING, qty STRING, volt STRING, symbol STRING, kw STRING, `group`
 DOCUMENT = f"panels ARRAY<STRUCT<panel: STRING, items: ARRAY<STRUCT<{ITEM.replace(' STRING', ': STRING')}>>>>"
 SPEC = "MAP<STRING, STRUCT<required: ARRAY<STRING>, optional: ARRAY<STRING>, patterns: MAP<STRING, STRING>>>"
 
+CATALOGUE_FIELDS = ("code", "name", "volt", "kind", "spec")
+CATALOGUE = ", ".join(f"{c} STRING" for c in CATALOGUE_FIELDS)
+
 # --- fixed values: accepted inputs and the name of a failed one ---------------------------
 EXTENSIONS = (".pdf", ".png", ".jpg", ".jpeg", ".dxf", ".zip")
 FAILED = "[抽出失敗] "
@@ -84,13 +87,31 @@ def read_documents(df: DataFrame, ids: list[str], text: str, source: Column,
 
 
 def spec_rows(df: DataFrame, ids: list[str], json: str) -> DataFrame:
-    """Long form of a map-shaped attribute spec: class, attr, required, pattern."""
+    """Long form of a map-shaped attribute spec: class, pos (place within the class), attr, required, pattern."""
     classes = df.select(*ids, F.explode(F.from_json(F.col(json), SPEC)).alias("class", "_s"))
     def side(name, required):
         return F.transform(F.coalesce(F.col("_s")[name], t.empty_strings()), lambda a: F.struct(
             a.alias("attr"), F.lit(required).alias("required"), F.col("_s.patterns")[a].alias("pattern")))
-    return classes.select(*ids, "class", F.explode(F.concat(
-        side("required", True), side("optional", False))).alias("_a")).select(*ids, "class", "_a.*")
+    return classes.select(*ids, "class", F.posexplode(F.concat(
+        side("required", True), side("optional", False))).alias("pos", "_a")).select(*ids, "class", "pos", "_a.*")
+
+
+def catalogue_rows(df: DataFrame, ids: list[str], json: str) -> DataFrame:
+    """Rows of catalogue arrays with ord, their place in the array, and failed.
+
+    An element that is no object with a code is kept as a failed row with its compact text as name; so is a text
+    that is no array, with a null ord.  Missing texts become ''.
+    """
+    read = df.select(*ids, F.trim(json).alias("_json")).withColumn("_rows", F.when(
+        F.col("_json").startswith("[") & F.try_parse_json("_json").isNotNull(), F.from_json("_json", "array<string>")))
+    each = read.where("_rows is not null").select(*ids, F.posexplode("_rows").alias("ord", "_text"))
+    broken = read.where("_rows is null").select(*ids, F.lit(None).cast("int").alias("ord"), F.col("_json").alias("_text"))
+    rows = each.unionByName(broken).withColumn("_row", F.from_json("_text", CATALOGUE))
+    failed = F.col("ord").isNull() | F.coalesce(~F.startswith("_text", F.lit("{")), F.lit(True)) | (
+        F.coalesce("_row.code", F.lit("")) == "")
+    return rows.withColumn("failed", failed).select(
+        *ids, "ord", "failed", *[F.when(~F.col("failed"), F.coalesce(f"_row.{c}", F.lit(""))).otherwise(
+            F.coalesce("_text", F.lit("")) if c == "name" else "").alias(c) for c in CATALOGUE_FIELDS])
 
 
 def accepted(path: Column, extensions=EXTENSIONS) -> Column:

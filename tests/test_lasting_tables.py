@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from catamatch.functions import extract as x
 from catamatch.functions import text as t
 from catamatch import rules
+from catamatch.operators import decide
 from catamatch.operators.dictionary import first_aliases
 from catamatch.plans import views
+from catamatch.sources import documents
 from catamatch.sources.versioned import VersionedTable, process_new, replace_documents
 
 
@@ -123,3 +125,35 @@ def test_sink_replaces_documents(spark, tmp_path):
         for f in sorted((tmp_path / "sink" / part).glob("part-*.parquet")):
             read += [(r["doc_id"], r["item_idx"]) for r in pq.read_table(f).to_pylist()]
     assert read == sorted(read) and len(read) == len(want)
+
+
+def test_spec_table_equals_built_in_spec(spark):
+    order, rows = {}, []
+    for cls, attr, required, pattern in rules.attr_spec():
+        order[cls] = order.get(cls, -1) + 1
+        rows.append((cls, order[cls], attr, required, pattern))
+    rows += [("VCB", 9, "unpatterned", True, None), ("vcb", 0, "own spelling", True, "never")]
+    spec = spark.createDataFrame(rows, "class string, pos int, attr string, required boolean, pattern string")
+    texts = ["VCB 7.2kV 600A 12.5kA", "MCB 3P 100AF", "elb 2p 30/20", "SC 50kvar", "", None, "7.2kv"]
+    items = [(p, x) for p in ("VCB", "MCB", "ELB", "SC", "other", None) for x in texts] + [("VCB", texts[0])] * 3
+    df = spark.createDataFrame(items, "part string, cname string").withColumn("pattern", F.lit("clash"))
+    got = decide.with_missing_attributes(df, "part", "cname", spec)
+    want = df.withColumns({"missing_attrs": decide.missing_attributes("part", "coalesce(cname, '?')", True),
+                           "missing_opt": decide.missing_attributes("part", "coalesce(cname, '?')", False)})
+    blank = F.col("cname").isNull()
+    want = want.withColumns({c: F.when(blank, F.array().cast("array<string>")).otherwise(F.col(c))
+                             for c in ("missing_attrs", "missing_opt")})
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    lower = spark.createDataFrame([("vcb", "x"), ("Vcb", "x")], "part string, cname string")
+    found = {r["part"]: r["missing_attrs"] for r in decide.with_missing_attributes(lower, "part", "cname", spec).collect()}
+    assert found["vcb"] == found["Vcb"] and "own spelling" not in found["vcb"]
+
+
+def test_catalogue_arrays_keep_places_and_failures(spark):
+    text = ' [{"code": "1", "name": "a\\n}, {"}, 7, null, {"name": "n"}, {"code": "", "name": "e"}, {"code": "2", "extra": [1]}, {"code": "1"}]'
+    df = spark.createDataFrame([(1, text), (2, "[]"), (3, '{"code": "1"}'), (4, None), (5, '[{"code"'), (6, "")], "f int, j string")
+    got = sorted(map(tuple, documents.catalogue_rows(df, ["f"], "j").select("f", "ord", "failed", "code", "name").collect()), key=repr)
+    assert got == sorted([
+        (1, 0, False, "1", "a\n}, {"), (1, 1, True, "", "7"), (1, 2, True, "", ""), (1, 3, True, "", '{"name":"n"}'),
+        (1, 4, True, "", '{"code":"","name":"e"}'), (1, 5, False, "2", ""), (1, 6, False, "1", ""),
+        (3, None, True, "", '{"code": "1"}'), (4, None, True, "", ""), (5, None, True, "", '[{"code"'), (6, None, True, "", "")], key=repr)
