@@ -129,3 +129,26 @@ def test_very_long_text(spark):
     long = " ".join(f"w{i}" for i in range(3 * op._SLICE))
     got = op.near_dedup(documents(spark, [long, long + " end", "w1 w2 w3 w4 w5"]))
     assert rows(got, "doc_id", "n_shingles", "component_id") == [(0, 3 * op._SLICE - 4, 0), (1, 3 * op._SLICE - 3, 0), (2, 1, 2)]
+
+
+def test_groups_below_the_threshold_are_not_compared_pair_by_pair(spark, monkeypatch):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+
+    def edited(words, places):
+        words = list(words)
+        for at in places:
+            words[at] = word()
+        return words
+
+    base = [word() for _ in range(300)]
+    other = edited(base, (30, 70, 110, 150, 190, 230, 270))  # similarity 0.79 to base
+    texts = [base, other] + [edited(b, r.sample(range(300), 2)) for b, n in ((base, 120), (other, 60)) for _ in range(n)]
+    texts = [" ".join(x) for x in texts]
+    looked, inner = [], op.open_pairs
+    monkeypatch.setattr(op, "open_pairs", lambda *a: looked.append(inner(*a)) or looked[-1])
+    got = op.near_dedup(documents(spark, texts), 80).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    ids = sorted(x["doc_id"] for x in got)
+    assert sorted(map(tuple, got), key=repr) == brute(texts, ids, 80)
+    assert len({x["component_id"] for x in got}) == 2
+    assert looked[0].count() < 120 * 60 / 20
