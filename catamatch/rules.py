@@ -22,85 +22,85 @@ SPECIAL_IN_DRAWING = "引出 電動 可逆 スペース".split()
 EXTRA_WORDS = "スペース (SP) コージェネ 高性能".split()
 
 # --- fixed values: part dictionary, one part per line in priority order -----------------
-# part | aliases | "~" when the catalogue name may hold the part anywhere
-PART_DICTIONARY = """
-T/U | t/u
-リモコンSW | リモコンsw
-MDF | mdf
-端子盤 | 端子盤
-分配器 | 分配器
-増幅器 | 増幅器
-混合器 | 混合器
-UHFアンテナ | uhf | ~
-BS-110CSアンテナ | bs-110 | ~
-アンテナ | アンテナ | ~
-インターホン | インターホン
-ネットワークカメラ | ネットワークカメラ | ~
-カメラ | カメラ | ~
-カードリーダー | カードリーダー
-TV BOX | tvbox | ~
-TV | tv- | ~
-自動力率調整器 | 自動力率調整, 自動力率, apfc
-マルチ指示計 | マルチ指示計, mda, 多機能電力計, デジタルマルチメーター
-マルチT/D | マルチt/d
-電圧計 | 電圧計
-電流計 | 電流計
-電力計 | 電力計
-力率計 | 力率計
-VM | vm
-AM | am
-VS | vs
-AS | as
-WHM | whm | ~
-MGS | mgs
-PAS | pas
-VCB | vcb, vgb
-VCT | vct
-VCS | vcs, vmc
-SOG | sog
-LBS | lbs
-DS | ds
-CH | ch
-L-S | l-s | ~
-INV | インバータ, inv | ~
-OCR | ocr
-DGR | dgr
-RPR | rpr
-OVGR | ovgr
-LG-RY | lg-ry
-LGR | lgr
-ZPD | zpd
-ZCTT | zctt
-ZCT | zct
-VTT | vtt
-CTT | ctt
-M)LUG | m)lug
-M)MCB | m)mcb, m)mccb
-M)ELB | m)elb, m)elcb
-B)MCB | b)mcb, b)mccb
-B)ELB | b)elb, b)elcb
-MCB | mcb, mccb
-ELB | elb, elcb
-ACB | acb
-VT | vt
-CT | ct
-PF | pf
-LA | la
-SC | sc
-SR | sr, srx
-TR | tr
-SM | sm
-FL-10W | fl-10w
-PBS | pbs
-SPD | spd
-MCTT | mctt
-換気扇 | 換気扇
-コンセント | コンセント
-伝送 | 伝送
-R.RY | リモコンリレー | ~
-R.TR | リモコントランス | ~
-TB | 端子台
-"""
+# part, aliases, whether the catalogue name must start with the part
+PART_DICTIONARY = (
+    ("T/U", ("t/u",), True),
+    ("リモコンSW", ("リモコンsw",), True),
+    ("MDF", ("mdf",), True),
+    ("端子盤", ("端子盤",), True),
+    ("分配器", ("分配器",), True),
+    ("増幅器", ("増幅器",), True),
+    ("混合器", ("混合器",), True),
+    ("UHFアンテナ", ("uhf",), False),
+    ("BS-110CSアンテナ", ("bs-110",), False),
+    ("アンテナ", ("アンテナ",), False),
+    ("インターホン", ("インターホン",), True),
+    ("ネットワークカメラ", ("ネットワークカメラ",), False),
+    ("カメラ", ("カメラ",), False),
+    ("カードリーダー", ("カードリーダー",), True),
+    ("TV BOX", ("tvbox",), False),
+    ("TV", ("tv-",), False),
+    ("自動力率調整器", ("自動力率調整", "自動力率", "apfc"), True),
+    ("マルチ指示計", ("マルチ指示計", "mda", "多機能電力計", "デジタルマルチメーター"), True),
+    ("マルチT/D", ("マルチt/d",), True),
+    ("電圧計", ("電圧計",), True),
+    ("電流計", ("電流計",), True),
+    ("電力計", ("電力計",), True),
+    ("力率計", ("力率計",), True),
+    ("VM", ("vm",), True),
+    ("AM", ("am",), True),
+    ("VS", ("vs",), True),
+    ("AS", ("as",), True),
+    ("WHM", ("whm",), False),
+    ("MGS", ("mgs",), True),
+    ("PAS", ("pas",), True),
+    ("VCB", ("vcb", "vgb"), True),
+    ("VCT", ("vct",), True),
+    ("VCS", ("vcs", "vmc"), True),
+    ("SOG", ("sog",), True),
+    ("LBS", ("lbs",), True),
+    ("DS", ("ds",), True),
+    ("CH", ("ch",), True),
+    ("L-S", ("l-s",), False),
+    ("INV", ("インバータ", "inv"), False),
+    ("OCR", ("ocr",), True),
+    ("DGR", ("dgr",), True),
+    ("RPR", ("rpr",), True),
+    ("OVGR", ("ovgr",), True),
+    ("LG-RY", ("lg-ry",), True),
+    ("LGR", ("lgr",), True),
+    ("ZPD", ("zpd",), True),
+    ("ZCTT", ("zctt",), True),
+    ("ZCT", ("zct",), True),
+    ("VTT", ("vtt",), True),
+    ("CTT", ("ctt",), True),
+    ("M)LUG", ("m)lug",), True),
+    ("M)MCB", ("m)mcb", "m)mccb"), True),
+    ("M)ELB", ("m)elb", "m)elcb"), True),
+    ("B)MCB", ("b)mcb", "b)mccb"), True),
+    ("B)ELB", ("b)elb", "b)elcb"), True),
+    ("MCB", ("mcb", "mccb"), True),
+    ("ELB", ("elb", "elcb"), True),
+    ("ACB", ("acb",), True),
+    ("VT", ("vt",), True),
+    ("CT", ("ct",), True),
+    ("PF", ("pf",), True),
+    ("LA", ("la",), True),
+    ("SC", ("sc",), True),
+    ("SR", ("sr", "srx"), True),
+    ("TR", ("tr",), True),
+    ("SM", ("sm",), True),
+    ("FL-10W", ("fl-10w",), True),
+    ("PBS", ("pbs",), True),
+    ("SPD", ("spd",), True),
+    ("MCTT", ("mctt",), True),
+    ("換気扇", ("換気扇",), True),
+    ("コンセント", ("コンセント",), True),
+    ("伝送", ("伝送",), True),
+    ("R.RY", ("リモコンリレー",), False),
+    ("R.TR", ("リモコントランス",), False),
+    ("TB", ("端子台",), True),
+)
 
 # --- fixed values: exclusion patterns on the normalised text ----------------------------
 CABLE_PATTERN = r"^(\d+k?v)?(fpt|cvt|cvv|vvf|kiv|hiv|fp|cv)\d"
@@ -181,43 +181,39 @@ ATTR_PATTERN = {
     "電流": r"\d+A", "検定": "検付|未検", "容量": r"\d+\.?\d*\s*kW", "AF": r"\d+AF|\d+/\d+",
     "AT": r"\d+AT|/\d+", "クラス": "クラス[III]+|class", "形式": "モールド",
 }
-# class | required | optional | patterns that differ from the table above
-ATTR_SPEC = r"""
-VCB | 定格電流 遮断容量 | 電圧 操作方式
-VCS | 定格電流 | 電圧 形式 | 形式=電磁|引出|PF付
-DS | 極数 定格電流 | 電圧 | 極数=[13]P
-LBS | 定格電流 | 電圧 PF G感度
-PAS | 定格電流 | 電圧 種別
-PF | 定格電流
-CT | 変流比 | 負担 形式 | 形式=丸型|モールド
-VT | 負担 | 電圧 形式
-WHM | 相数 | 変流比 電流 検定
-ZCT | 定格電流
-TR | 相数 容量 | - | 容量=\d+\.?\d*\s*kVA
-SC | 容量 | 電圧 | 電圧=\d+\.?\d*k?V ; 容量=\d+\.?\d*\s*(kVA|kvar)
-SR | 容量 | 相数 | 容量=\d+\.?\d*\s*kvar
-MCB | 極数 AF | AT
-ELB | 極数 AF | AT | AT=/\d+
-MCCB | 極数 定格電流
-ACB | 極数 AF | AT | AF=\d+AF
-MCTT | 極数 定格電流
-MGS | 容量 | 電圧 | 電圧=\d+V
-SM | 容量 | 極数 電圧 | 電圧=\d+V
-INV | 容量 | 電圧 | 電圧=\d+V
-端子盤 | 極数 | - | 極数=\d+P
-TB | 極数 | 定格電流 | 極数=\d+P
-SPD | クラス 極数 | 遮断容量 | 遮断容量=\d+kA
-コンセント | 極数 定格電流 | - | 極数=\d+P
-"""
+# class, required, optional, patterns that differ from the table above
+ATTR_SPEC = (
+    ("VCB", ("定格電流", "遮断容量"), ("電圧", "操作方式"), {}),
+    ("VCS", ("定格電流",), ("電圧", "形式"), {"形式": "電磁|引出|PF付"}),
+    ("DS", ("極数", "定格電流"), ("電圧",), {"極数": "[13]P"}),
+    ("LBS", ("定格電流",), ("電圧", "PF", "G感度"), {}),
+    ("PAS", ("定格電流",), ("電圧", "種別"), {}),
+    ("PF", ("定格電流",), (), {}),
+    ("CT", ("変流比",), ("負担", "形式"), {"形式": "丸型|モールド"}),
+    ("VT", ("負担",), ("電圧", "形式"), {}),
+    ("WHM", ("相数",), ("変流比", "電流", "検定"), {}),
+    ("ZCT", ("定格電流",), (), {}),
+    ("TR", ("相数", "容量"), (), {"容量": r"\d+\.?\d*\s*kVA"}),
+    ("SC", ("容量",), ("電圧",), {"電圧": r"\d+\.?\d*k?V", "容量": r"\d+\.?\d*\s*(kVA|kvar)"}),
+    ("SR", ("容量",), ("相数",), {"容量": r"\d+\.?\d*\s*kvar"}),
+    ("MCB", ("極数", "AF"), ("AT",), {}),
+    ("ELB", ("極数", "AF"), ("AT",), {"AT": r"/\d+"}),
+    ("MCCB", ("極数", "定格電流"), (), {}),
+    ("ACB", ("極数", "AF"), ("AT",), {"AF": r"\d+AF"}),
+    ("MCTT", ("極数", "定格電流"), (), {}),
+    ("MGS", ("容量",), ("電圧",), {"電圧": r"\d+V"}),
+    ("SM", ("容量",), ("極数", "電圧"), {"電圧": r"\d+V"}),
+    ("INV", ("容量",), ("電圧",), {"電圧": r"\d+V"}),
+    ("端子盤", ("極数",), (), {"極数": r"\d+P"}),
+    ("TB", ("極数",), ("定格電流",), {"極数": r"\d+P"}),
+    ("SPD", ("クラス", "極数"), ("遮断容量",), {"遮断容量": r"\d+kA"}),
+    ("コンセント", ("極数", "定格電流"), (), {"極数": r"\d+P"}),
+)
 
 
 def parts() -> list[tuple[str, tuple[str, ...], bool]]:
     """(part, aliases, catalogue name must start with the part) in priority order."""
-    out = []
-    for line in PART_DICTIONARY.strip().splitlines():
-        cells = [c.strip() for c in line.split("|")]
-        out.append((cells[0], tuple(a.strip() for a in cells[1].split(",")), len(cells) < 3))
-    return out
+    return list(PART_DICTIONARY)
 
 
 def aliases() -> list[tuple[str, str]]:
@@ -237,13 +233,9 @@ def aliases() -> list[tuple[str, str]]:
 
 def attr_spec() -> list[tuple[str, str, bool, str]]:
     """(class, attribute, required, pattern)."""
-    out = []
-    for line in ATTR_SPEC.strip().splitlines():
-        cells = [c.strip() for c in line.split(" | ")] + ["", "", ""]
-        own = dict(p.strip().split("=", 1) for p in cells[3].split(" ; ") if p.strip())
-        for names, required in ((cells[1], True), (cells[2].strip("-"), False)):
-            out += [(cells[0], a, required, own.get(a, ATTR_PATTERN[a])) for a in names.split()]
-    return out
+    return [(cls, attr, needed, own.get(attr, ATTR_PATTERN[attr]))
+            for cls, required, optional, own in ATTR_SPEC
+            for attrs, needed in ((required, True), (optional, False)) for attr in attrs]
 
 
 def main_codes() -> dict[tuple[str, int], str]:
