@@ -24,6 +24,13 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+def small_batches(spark) -> None:
+    """Cuts the session's Arrow batches to ``BATCH_ROWS`` rows; a smaller setting stays."""
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(most)) <= BATCH_ROWS:
+        spark.conf.set(most, str(BATCH_ROWS))
+
+
 def map_slices(df: DataFrame, fn, schema: str, rows: int = ROWS) -> DataFrame:
     """Runs ``fn(columns) -> columns`` on slices of a few rows in the tasks that hold them.
 
@@ -32,9 +39,7 @@ def map_slices(df: DataFrame, fn, schema: str, rows: int = ROWS) -> DataFrame:
     rows.  Slices keep the memory of a worker near that of a few texts.  Arrow batches of the
     session are cut to ``BATCH_ROWS`` rows: ten thousand whole texts would fill an executor.
     """
-    conf, most = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(most)) <= BATCH_ROWS:
-        conf.set(most, str(BATCH_ROWS))
+    small_batches(df.sparkSession)
     spark_schema = StructType.fromDDL(schema)
     arrow = to_arrow_schema(spark_schema)
 

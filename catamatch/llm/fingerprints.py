@@ -14,37 +14,50 @@ texts have equal fingerprints; repeated rows each get theirs; empty tables give
 
 from __future__ import annotations
 
-import math
+import hashlib
+from functools import lru_cache
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from catamatch.llm.common import map_slices, same, texts
-from catamatch.llm.words import mix, shingle_set, word_hashes
+from catamatch.llm.common import map_slices, small_batches, texts
+from catamatch.llm.words import mix, runs, word_hashes
+from catamatch.operators.stage import written
 
 BINS, BITS, SHINGLE = 256, 8, 5
-CHUNK_ROWS, CHUNKS = 2048, 65_536
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+@lru_cache(4096)
+def _donors(attempt: int, bins: int) -> np.ndarray:
+    """The bin that each bin asks in its n-th attempt when it is empty, the same for every text."""
+    return (mix(np.arange(bins, dtype=np.uint64) + np.uint64(attempt << 32)) % np.uint64(bins)).astype(np.int64)
+
+
 def fingerprint(text: bytes, bins: int = BINS) -> bytes:
     """``bins`` bytes, the low eight bits of each bin; empty for a text without words."""
-    hashes = mix(shingle_set(word_hashes(text, lower=True), SHINGLE))
-    if not len(hashes):
+    words = word_hashes(text, lower=True)
+    if not len(words):
         return b""
-    values = np.full(bins, _FULL)
+    hashes = np.sort(mix(runs(words, min(SHINGLE, len(words)))))
     shift = np.uint64(64 - (bins - 1).bit_length())
-    np.minimum.at(values, (hashes >> shift).astype(np.int64), hashes & ((np.uint64(1) << shift) - np.uint64(1)))
-    empty, attempt = np.flatnonzero(values == _FULL), np.uint64(1)
+    owner = (hashes >> shift).astype(np.int64)
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    values = np.full(bins, _FULL)
+    values[owner[first]] = hashes[first] & ((np.uint64(1) << shift) - np.uint64(1))
+    filled = values != _FULL
+    empty, attempt = np.flatnonzero(~filled), 1
     held = values.copy()
     while len(empty):
-        donor = (mix(empty.astype(np.uint64) + (attempt << np.uint64(32))) % np.uint64(bins)).astype(np.int64)
-        found = values[donor] != _FULL
+        donor = _donors(attempt, bins)[empty]
+        found = filled[donor]
         held[empty[found]] = values[donor[found]]
-        empty, attempt = empty[~found], attempt + np.uint64(1)
+        empty, attempt = empty[~found], attempt + 1
     return (mix(held) & np.uint64((1 << BITS) - 1)).astype(np.uint8).tobytes()
 
 
@@ -69,62 +82,90 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_slices(texts(docs), run, "doc_id bigint, fingerprint string")
 
 
-def with_next(docs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """doc_id, text and the text of the next document in descending doc_id (after the last, the first).
+def with_following(docs: DataFrame, fn, schema: str, parts: int | None = None) -> DataFrame:
+    """``fn(doc_id, text, next) -> row`` for every document, texts as UTF-8 bytes.
 
-    The order is cut into chunks at quantiles of doc_id, ``CHUNKS`` at most.  Each chunk also gets
-    the document that follows its last one, by a broadcast of one doc_id a chunk, so a window
-    inside the chunk finds every neighbour and texts are shuffled once.  A null doc_id comes
-    last, equal ones are ordered by text.
-    """
-    rows, ids = texts(docs), docs.select("doc_id")
-    chunks = min(CHUNKS, max(1, ids.count() // chunk_rows))
-    cuts = ids.approxQuantile("doc_id", [i / chunks for i in range(1, chunks)], 1 / (4 * chunks)) if chunks > 1 else []
-    split = Bucketizer(splits=[-math.inf, *sorted(set(cuts or [0.0])), math.inf], inputCol="__id", outputCol="__chunk",
-                       handleInvalid="keep")
-
-    def chunked(df):
-        """Chunk numbers fall as doc_id rises; nulls are the last chunk."""
-        up = split.transform(df.withColumn("__id", F.col("doc_id").cast("double")))
-        last = len(split.getSplits())
-        return up.withColumn("chunk", F.when(F.col("doc_id").isNull(), last).otherwise(last - 1 - F.col("__chunk")).cast("int")
-                             ).drop("__id", "__chunk")
-
-    # at most CHUNKS + 2 rows: the first document of each chunk goes to the chunk before
-    heads = sorted(tuple(r) for r in chunked(ids).groupBy("chunk").agg(F.max("doc_id")).collect())
-    homes = [heads[i - 1][0] for i in range(len(heads))]
-    tails = docs.sparkSession.createDataFrame([(d, c) for (_, d), c in zip(heads, homes)], "doc_id bigint, chunk int")
-    tails = same(rows, F.broadcast(tails), how="inner").groupBy("chunk", "doc_id").agg(F.min("text").alias("text"))
-    both = chunked(rows).withColumn("tail", F.lit(False)).unionByName(tails.withColumn("tail", F.lit(True)))
-    w = W.partitionBy("chunk").orderBy("tail", F.col("doc_id").desc_nulls_last(), "text")
-    return both.withColumn("next", F.lead("text").over(w)).where("not tail").select("doc_id", "text", "next")
-
-
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited form, and their likenesses.
-
-    The edited text has the last floor(n/3) code points replaced by as many first ones of the next document.
+    ``next`` is the text of the next document in descending doc_id (after the last, the first); a null
+    doc_id comes last, equal ones are ordered by a hash of the text.  Texts are shuffled once, into
+    ranges of that order (``parts`` of them, else as many as the session shuffles to), and a task reads its
+    sorted range as a stream that holds one row.  The last row of a range is left open; its text meets the
+    first text of the range after it in a join of one row a range.
     """
-    n, k = F.length("text"), F.floor(F.length("text") / 3).cast("int")
-    pairs = with_next(docs).select("doc_id", "text", F.col("next"), F.concat(
-        F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next"), F.lit(1), k)).alias("edited"))
-    pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-                         "text", "next", "edited")
+    spark = docs.sparkSession
+    small_batches(spark)
+    key = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
+    rows = texts(docs)
+    placed = rows.repartitionByRange(parts, *key) if parts else rows.repartitionByRange(*key)
+    placed = placed.sortWithinPartitions(*key, "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
+    result = StructType.fromDDL(schema)
+    edges = StructType.fromDDL("__id bigint, __part int, __head binary, __tail binary")
+    out = StructType([*result.fields, *edges.fields])
+    arrow, blank = to_arrow_schema(out), (None,) * len(result)
+
+    def stream(batches):
+        before, done = None, []
+        for batch in batches:
+            ids, own, at = batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2)
+            for i in range(batch.num_rows):
+                text = own[i].as_py()
+                if before is None:
+                    done.append((*blank, None, at[i].as_py(), text, None))
+                else:
+                    done.append((*fn(before[0], before[1], text), None, None, None, None))
+                before = ids[i].as_py(), text, at[i].as_py()
+            yield _batch(done, arrow)
+            done = []
+        if before:
+            yield _batch([(*blank, before[0], before[2], None, before[1])], arrow)
+
+    def close(cols):
+        made = [fn(*r) for r in zip(cols["__id"], cols["__tail"], cols["__next"])]
+        return {f.name: [m[i] for m in made] for i, f in enumerate(result)}
+
+    read = written(placed.mapInArrow(stream, out))
+    heads = read.where("__head is not null").select(F.col("__part").alias("part"), F.col("__head").alias("__next"))
+    tails = read.where("__tail is not null").select("__id", "__part", "__tail")
+    # one row a range: the range after each, after the last the first
+    order = W.orderBy("__part")
+    after = tails.select("__part").select("__part", F.coalesce(
+        F.lead("__part").over(order), F.min("__part").over(W.partitionBy())).alias("part"))
+    open_ = tails.join(after, "__part").join(heads, "part").select("__id", "__tail", "__next")
+    return read.where("__part is null").select(*result.names).unionByName(map_slices(open_, close, schema))
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """doc_id, text and the text of the next document (see ``with_following``)."""
+    return with_following(docs, lambda *row: row, "doc_id bigint, text string, next string", parts)
+
+
+def edited(text: bytes, following: bytes) -> tuple[int, bytes]:
+    """Code points of the text, and the text with its last floor(n/3) ones replaced by as many first ones of the next."""
+    own = text.decode("utf-8", "surrogateescape")
+    n = len(own)
+    # a code point has four bytes at most
+    start = following[:4 * (n // 3) + 4].decode("utf-8", "ignore")[:n // 3]
+    return n, (own[:n - n // 3] + start).encode("utf-8", "surrogateescape")
+
+
+def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """Fingerprints of every text and of its edited form (see ``edited``), and their likenesses."""
     held: dict = {}
 
-    def run(cols):
-        out = {c: cols[c] for c in ("doc_id", "n_chars", "edited_sha256")} | {
-            c: [] for c in ("fingerprint", "edited_fingerprint", "near_edited", "near_next")}
-        for text, following, edited in zip(cols["text"], cols["next"], cols["edited"]):
-            # the next row of a chunk is the document that was just read as the following one
-            own = held["print"] if held.get("text") == text else fingerprint(text)
-            held["text"], held["print"] = following, fingerprint(following)
-            changed = fingerprint(edited)
-            out["fingerprint"].append(shown(own))
-            out["edited_fingerprint"].append(shown(changed))
-            out["near_edited"].append(likeness(own, changed))
-            out["near_next"].append(likeness(own, held["print"]))
-        return out
-
-    return map_slices(pairs, run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
-                                  "edited_fingerprint string, near_edited double, near_next double")
+    def run(doc_id, text, following):
+        # the next row of a range is the document that was just read as the following one
+        own = held["print"] if held.get("text") == text else fingerprint(text)
+        held["text"], held["print"] = following, fingerprint(following)
+        n, other = edited(text, following)
+        changed = fingerprint(other)
+        return (doc_id, n, hashlib.sha256(other).digest(), own or bytes(BINS), changed or bytes(BINS),
+                likeness(own, changed), likeness(own, held["print"]))
+
+    made = with_following(docs, run, "doc_id bigint, n_chars bigint, sha binary, print binary, other binary, "
+                                     "near_edited double, near_next double", parts)
+    return made.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), F.lower(F.hex("print")).alias("fingerprint"),
+                       F.lower(F.hex("other")).alias("edited_fingerprint"), "near_edited", "near_next")

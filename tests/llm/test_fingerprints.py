@@ -80,3 +80,23 @@ def test_estimates_are_unbiased_for_sparse_texts():
         a, b = " ".join(w), " ".join(v)
         errors.append(op.likeness(op.fingerprint(a.encode()), op.fingerprint(b.encode())) - jaccard(a, b))
     assert abs(np.mean(errors)) < 0.03
+
+
+def test_repeated_ids_form_one_ring(spark):
+    """Rows that share an id, null ones too, each get a follower; the followers are all the texts."""
+    texts = [f"text {i}" for i in range(40)] + ["same"] * 5
+    ids = [None if i % 3 == 0 else i // 8 for i in range(45)]
+    for parts in (1, 6):
+        got = [(r["doc_id"], r["text"], r["next"]) for r in op.with_next(documents(spark, texts, ids=ids), parts).collect()]
+        assert sorted(t for _, t, _ in got) == sorted(n for _, _, n in got) == sorted(texts)
+        owner = dict(zip(texts, ids))
+        rank = lambda d: -1 if d is None else d
+        rises = [1 for d, t, n in got if "same" not in (t, n) and rank(owner[n]) > rank(d)]
+        assert len(rises) <= 1
+
+
+def test_edited_with_clashing_columns_and_long_texts(spark):
+    texts = {1: "ab " * 400_000, 2: "", 3: "é𝄞x" * 50_001, 4: "w " * 9, 5: "é" * 20}
+    docs = clashing(documents(spark, list(texts.values()), ids=list(texts)))
+    for parts in (1, 4, None):
+        check(op.edited_fingerprints(docs, parts).collect(), texts)
