@@ -9,6 +9,7 @@ from catamatch import rules
 from catamatch.functions import extract as x
 from catamatch.functions import text as t
 from catamatch.operators import lookup
+from catamatch.operators.ruletable import with_ruling
 from catamatch.operators.stage import written
 from catamatch.operators.candidates import SHOWN, candidates, item_features, residual
 
@@ -28,16 +29,18 @@ def known_codes(catalogue: DataFrame) -> Column:
             .agg(F.collect_set("code").alias("codes")).scalar())
 
 
+def known_names(catalogue: DataFrame) -> Column:
+    """MAP<code, name> of the same codes, each with the name of its last catalogue row."""
+    last = catalogue.where(F.col("code").isin(rules.rule_codes())).groupBy("code").agg(F.max_by("name", "ord").alias("name"))
+    return last.agg(F.map_from_entries(F.collect_list(F.struct("code", "name"))).alias("names")).scalar()
+
+
 def _result(rule: str, code, conf, note) -> Column:
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.struct(F.lit(rule).alias("rule"), lit(code).alias("code"), lit(conf).alias("conf"),
                     lit(note).alias("note"))
 
 
-def _if(cond: Column, result: Column) -> Column:
-    return F.when(cond, result)
-
-
 def series_of_item(df: DataFrame) -> DataFrame:
     """Adds high, class_label and series: which capacity ladder a TR/SC/SR item asks for."""
     form, spaced = F.col("cform"), F.col("cspaced")
@@ -179,6 +182,29 @@ def with_recipe(df: DataFrame, symbol: str, kw: Column, volt: Column, supplied:
         "_kw", "_band", "_own", "_ladders", "_codes", "_devices", "_steps")
 
 
+def with_part_notes(df: DataFrame, symbol: str, kw: Column, names: str, parts: str = "parts") -> DataFrame:
+    """Adds name and note to every device of ``with_recipe``.
+
+    name: the catalogue's name of its code, empty without one (names: column with MAP<code, name>).  note: the device
+    and the step it was put in, what to check where it has no code, or why the symbol stands for none.
+    """
+    number = r"regexp_replace(format_string('%.6f', {}), r'\.?0+$', '')"
+    labels = ", ".join(f"{t.sql(k)}, {t.sql(v)}" for k, v in rules.DEVICE_LABELS.items())
+    known = ", ".join(t.sql(s) for s in rules.SYMBOL_RECIPES)
+    df = df.withColumns({"_kw": kw.try_cast("double"), "_sign": F.upper(F.trim(F.coalesce(symbol, F.lit(""))))})
+    return df.withColumn(parts, F.expr(f"""transform({parts}, (d, i) -> named_struct(
+        'code', d.code, 'qty', d.qty, 'kind', d.kind, 'step', d.step, 'clamped', d.clamped,
+        'name', coalesce(try_element_at({names}, d.code), ''),
+        'note', CASE
+          WHEN d.kind IS NULL AND _sign IN ({known}) THEN concat('symbol ', _sign, ': supply only')
+          WHEN d.kind IS NULL THEN concat('symbol ', _sign, ' unknown, check')
+          ELSE concat(map({labels})[d.kind], IF(i > 0, ' as bypass', ''),
+            CASE WHEN _kw IS NULL THEN '' WHEN d.code = '' THEN concat(' ', {number.format('_kw')}, ' kW')
+              WHEN size({parts}) = 1 THEN concat(' ', {number.format('_kw')}, ' -> ', {number.format('d.step')}, ' kW')
+              ELSE concat(' ', {number.format('d.step')}, ' kW') END,
+            IF(d.qty > 1, concat(' x', d.qty), ''), IF(d.code = '', ', check', '')) END))""")).drop("_kw", "_sign")
+
+
 def recipe_grade(parts: Column) -> Column:
     head = F.get(parts, 0)
     clamped = F.exists(parts, lambda p: p["clamped"])
@@ -186,78 +212,64 @@ def recipe_grade(parts: Column) -> Column:
             .when(F.size(parts) == 1, rules.SURE).otherwise(rules.NEARLY))
 
 
-# --- the rule list ------------------------------------------------------------------------
+# --- the rules ------------------------------------------------------------------------
 
-def rule_list(codes: Column) -> Column:
-    """STRUCT<rule, code, conf, note> over the evidence columns, first rule that fires."""
-    S, N, C = rules.SURE, rules.NEARLY, rules.CHECK
+def with_decision(df: DataFrame, codes: Column, ruling=rules.DECISION_RULES) -> DataFrame:
+    """Adds sel STRUCT<rule, code, conf, note>: the rule of ``ruling`` that settles the evidence columns.
+
+    ruling: rows as in ``rules.DECISION_RULES`` or a DataFrame of them (see ``ruletable``).
+    """
     c = F.col
     form, name, part, band, cands = (c(n) for n in ("cform", "cname", "part", "band", "cands"))
-    has = lambda code: F.coalesce(F.array_contains(codes, code), F.lit(False))
+    has = lambda code: F.array_contains(codes, code)
     amp = x.amps(form)
-    none = F.lit(False)
-    is_part = lambda *p: F.coalesce(part.isin(*p), none)
-
-    control = t.text_map({str(k): v for k, v in rules.TB_CONTROL.items()})[amp]
-    general = t.text_map({str(k): v for k, v in rules.TB_GENERAL.items()})[amp]
-    tb_main = is_part("TB") & c("after_main")
-    breaker, motor = c("breaker"), c("motor")
-    spd = form.contains("spd用") & form.rlike("mcb|mccb")
-    ct = is_part("CT") & c("ratio").isNotNull()
-    ct_hv = lookup.bucket(c("ratio"), rules.CT_HV_BUCKETS)
-    ct_lv = t.text_map({str(k): v for k, v in rules.CT_LV.items()})[c("ratio").cast("string")]
-    sized = c("series").isNotNull()
-    want = c("kva").cast("double")
+    terminal = part == "TB"
+    motor = c("motor")
+    ct_high = lookup.bucket(c("ratio"), rules.CT_HV_BUCKETS)
+    ct_low = t.text_map({str(k): v for k, v in rules.CT_LV.items()})[c("ratio").cast("string")]
     qform = c("form")
-    ds = qform.rlike("(^|[^a-z])ds([^a-z]|$)")
     ds_amp = F.concat(t.first(qform, r"(\d+)a(?![a-z])"), F.lit("A"))
-    ds3 = _first_named(cands, F.lit("3P"), ds_amp, F.lit("標準"))
-    ds1 = _first_named(cands, F.lit("1P"), ds_amp, F.lit("標準"))
-    lgr = form.rlike("(^|[^a-z])(lgr|lgry)([^a-z]|$)")
-    two_stage = name.contains("2段") | name.contains("警報")
+    control = t.text_map({str(k): v for k, v in rules.TB_CONTROL.items()})[amp]
+    general = t.text_map({str(k): v for k, v in rules.TB_GENERAL.items()})[amp]
     n = F.coalesce(F.size(cands), F.lit(0))
     top = F.get(cands, 0)
-    res, top_form = c("res"), c("top_form")
-    clear = F.size(res["missing"]) == 0
-    opt_hit = F.exists(c("opts"), lambda o: (t.squeeze(o) != "") & top_form.contains(t.squeeze(o)))
-
-    chain = [
-        _if(tb_main & c("tb_control") & has(control), _result("R1", control, N, "terminal block of a control panel main")),
-        _if(tb_main & has(general), _result("R1", general, N, "terminal block of a main breaker")),
-        _if(tb_main, _result("R1", "", C, "terminal block of a main breaker, check the rating")),
-        _if(is_part("TB"), _result("R2", "", N, "terminal block contained in the branch unit")),
-        _if(spd & c("af").isNull(), _result("R3", "", C, "breaker for a surge device without rating")),
-        _if(is_part(*rules.BREAKER_PARTS) & breaker.isNotNull(), _result("R4", breaker, S, F.concat(
-            F.when(name.contains("主幹") | part.startswith("M)"), "main ").otherwise("branch "),
-            F.when(form.contains("elb"), "ELB").otherwise("MCB"), F.lit(" by panel kind and frame")))),
-        _if(is_part(*rules.BREAKER_PARTS), _result("R4", "", C, "breaker rating or panel kind to check")),
-        _if(motor.isNotNull(), _result("R5", F.when(has(motor), motor).otherwise(""), C, "motor set")),
-        _if(ct & (band == "HV") & has(ct_hv), _result("R6", ct_hv, N, "high-voltage CT by ratio")),
-        _if(ct & band.isin("200V", "400V", "100V") & has(ct_lv), _result("R6", ct_lv, N, "low-voltage CT by ratio")),
-        _if(ct, _result("R6", "", C, "CT ratio or band to check")),
-        _if(sized & c("fit").isNotNull() & (F.abs(c("fit") - want) < 1e-6), _result("R7", c("fit_code"), S, "capacity equal")),
-        _if(sized & c("fit").isNotNull(), _result("R7", c("fit_code"), N, F.concat(
-            F.lit("capacity raised to "), t.number_text(c("fit"))))),
-        _if(sized & c("top_cap").isNotNull(), _result("R7", "", C, F.concat(
-            F.lit("capacity above the largest, "), t.number_text(c("top_cap"))))),
-        _if(sized, _result("R7", "", C, "no row of this capacity series")),
-        _if(part.isNull(), _result("R8", "", C, F.concat(F.lit("part not identified, "), n.cast("string"),
-                                                         F.lit(" candidates")))),
-        _if(ds & qform.contains("3p") & ds3.isNotNull(), _result("R9", ds3, N, "three-pole standard disconnector")),
-        _if(ds & ~qform.rlike("[123]p") & F.coalesce(ds3, ds1).isNotNull(),
-            _result("R10", F.coalesce(ds3, ds1), C, "pole number to check")),
-        _if(lgr & ~two_stage & has(F.lit(rules.LGR_PLAIN)), _result("R11", rules.LGR_PLAIN, S, "leak relay with detector")),
-        _if(lgr & two_stage & has(F.lit(rules.LGR_TWO_STAGE)), _result("R11", rules.LGR_TWO_STAGE, N, "two-stage leak relay")),
-        _if(n == 0, _result("R12", "", C, "no catalogue row")),
-        _if(form.rlike("(^|[^a-z])vmc([^a-z]|$)"), _result("R13", top["code"], C, "VMC read as VCS")),
-        _if(n == 1, _result("R14", top["code"], S, "only candidate")),
-        _if(clear & (F.size(res["matched"]) > 0), _result("R15", top["code"], N, "values agree")),
-        _if(clear & opt_hit, _result("R15", top["code"], N, "option agrees")),
-        _if(clear & t.contains_any(top["name"], rules.DEFAULT_WORDS), _result("R15", top["code"], N, "standard type")),
-        _if(~clear, _result("R15", top["code"], C, F.concat(F.lit("not explained: "), F.array_join(
-            F.array_sort(res["missing"]), ", ")))),
-    ]
-    return F.coalesce(*chain, _result("R15", top["code"], C, "several candidates"))
+    res = c("res")
+    df = df.withColumns({
+        "_ds3": _first_named(cands, F.lit("3P"), ds_amp, F.lit("標準")),
+        "_ds1": _first_named(cands, F.lit("1P"), ds_amp, F.lit("標準"))})
+    any_pole = F.coalesce("_ds3", "_ds1")
+    conditions = {
+        "main_terminal": terminal & c("after_main"), "terminal": terminal, "control_panel": c("tb_control"),
+        "control_code": has(control), "general_code": has(general),
+        "surge_breaker": form.contains("spd用") & form.rlike("mcb|mccb"), "frame": c("af").isNotNull(),
+        "breaker_part": part.isin(*rules.BREAKER_PARTS), "breaker_code": c("breaker").isNotNull(),
+        "motor": motor.isNotNull(),
+        "ct": (part == "CT") & c("ratio").isNotNull(), "high_band": band == "HV",
+        "low_band": band.isin("200V", "400V", "100V"), "ct_high_code": has(ct_high), "ct_low_code": has(ct_low),
+        "capacity": c("series").isNotNull(), "step_fits": c("fit").isNotNull(),
+        "step_equal": F.abs(c("fit") - c("kva").cast("double")) < 1e-6, "largest_step": c("top_cap").isNotNull(),
+        "part": part.isNotNull(),
+        "disconnector": qform.rlike("(^|[^a-z])ds([^a-z]|$)"), "three_poles": qform.contains("3p"),
+        "poles": qform.rlike("[123]p"), "three_pole_code": c("_ds3").isNotNull(), "any_pole_code": any_pole.isNotNull(),
+        "leak_relay": form.rlike("(^|[^a-z])(lgr|lgry)([^a-z]|$)"), "two_stage": name.contains("2段") | name.contains("警報"),
+        "plain_relay_code": has(F.lit(rules.LGR_PLAIN)), "two_stage_code": has(F.lit(rules.LGR_TWO_STAGE)),
+        "candidates": n > 0, "vmc": form.rlike("(^|[^a-z])vmc([^a-z]|$)"), "one_candidate": n == 1,
+        "explained": F.size(res["missing"]) == 0, "agreed": F.size(res["matched"]) > 0,
+        "option_agreed": F.exists(c("opts"), lambda o: (t.squeeze(o) != "") & c("top_form").contains(t.squeeze(o))),
+        "standard": t.contains_any(top["name"], rules.DEFAULT_WORDS),
+    }
+    results = {
+        "control": control, "general": general, "breaker": c("breaker"), "motor": F.when(has(motor), motor),
+        "ct_high": ct_high, "ct_low": ct_low, "step": c("fit_code"), "three_pole": c("_ds3"), "any_pole": any_pole,
+        "plain_relay": F.lit(rules.LGR_PLAIN), "two_stage_relay": F.lit(rules.LGR_TWO_STAGE), "top": top["code"],
+    }
+    fields = {
+        "place": F.when(name.contains("主幹") | part.startswith("M)"), "main").otherwise("branch"),
+        "device": F.when(form.contains("elb"), "ELB").otherwise("MCB"),
+        "step": t.number_text(c("fit")), "largest": t.number_text(c("top_cap")), "candidates": n.cast("string"),
+        "missing": F.array_join(F.array_sort(res["missing"]), ", "),
+    }
+    return with_ruling(df, ruling, conditions, results, fields).drop("_ds3", "_ds1")
 
 
 def missing_attributes(part: str, text: str, required: bool, spec=None) -> Column:
@@ -320,10 +332,12 @@ def evidence(contexts: DataFrame, cats: DataFrame) -> DataFrame:
         "_top", "_volt", "_fold")
 
 
-def select_codes(contexts: DataFrame, cats: DataFrame, spec: DataFrame | None = None) -> DataFrame:
+def select_codes(contexts: DataFrame, cats: DataFrame, spec: DataFrame | None = None,
+                 ruling=rules.DECISION_RULES) -> DataFrame:
     """Settles every distinct context: rule, code, conf, note, candidates, parts, missing attributes.
 
-    cats is the written table of ``catalogue_features``; spec replaces the built-in attribute spec.
+    cats is the written table of ``catalogue_features``; spec replaces the built-in attribute spec, ruling the
+    built-in decision rules.  A context that no rule settles has no code and is to be checked.
     """
     df = evidence(contexts, cats).withColumn("known", known_codes(cats))
     codes = F.col("known")
@@ -332,10 +346,12 @@ def select_codes(contexts: DataFrame, cats: DataFrame, spec: DataFrame | None =
     kw = F.coalesce(F.nullif(F.col("kw"), F.lit("")), F.col("kw_text"))
     volt = F.coalesce(F.nullif(F.col("volt"), F.lit("")), F.lit("200V"))
     df = with_recipe(df, "symbol", kw, volt, F.col("cname").contains("支給"), "known")
+    df = with_part_notes(df.withColumn("_names", known_names(cats)), "symbol", kw, "_names")
     head = F.get("parts", 0)
     df = df.withColumn("_grade", recipe_grade(F.col("parts")))
-    df = df.withColumn("sel", F.when(by_symbol, _result("SYMBOL", head["code"], F.col("_grade"),
-                                                        "by main-circuit symbol")).otherwise(rule_list(codes)))
+    df = with_decision(df, codes, ruling)
+    df = df.withColumn("sel", F.when(by_symbol, _result("SYMBOL", head["code"], F.col("_grade"), "by main-circuit symbol"))
+                       .otherwise(F.coalesce("sel", _result("", "", rules.CHECK, "no rule"))))
     df = df.select(*CONTEXT, "part", "cform", "parts", "sel.*", "cands", by_symbol.alias("by_symbol"))
     df = promote_group(df)
     if spec is None:

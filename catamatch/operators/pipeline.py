@@ -30,10 +30,11 @@ def contexts_of(marked: DataFrame) -> DataFrame:
     }).drop("_q", "panel_form")
 
 
-def select_items(items: DataFrame, catalogue: DataFrame, wide: bool = True, spec: DataFrame | None = None) -> DataFrame:
+def select_items(items: DataFrame, catalogue: DataFrame, wide: bool = True, spec: DataFrame | None = None,
+                 ruling=rules.DECISION_RULES) -> DataFrame:
     """Graded rows of all kept items (see ``graded_rows``); ``wide`` adds loads, display, candidates,
     parts and missing attributes at the end."""
-    df, marked, settled = graded_rows(items, catalogue, spec)
+    df, marked, settled = graded_rows(items, catalogue, spec, ruling)
     return with_details(df, marked, settled) if wide else df.drop("decision")
 
 
@@ -43,18 +44,19 @@ def graded_and_details(items: DataFrame, catalogue: DataFrame) -> tuple[DataFram
     return df.drop("decision"), ctx.detail_rows(marked)
 
 
-def graded_rows(items: DataFrame, catalogue: DataFrame, spec: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def graded_rows(items: DataFrame, catalogue: DataFrame, spec: DataFrame | None = None,
+                ruling=rules.DECISION_RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Graded rows with their decision, the marked items and the settled decisions.
 
     items: doc_id, panel_idx, panel, item_idx and ITEM_FIELDS; catalogue: ord, code, name,
     volt, kind, spec with unique codes; spec: class, pos, attr, required, pattern in place of the built-in
-    attribute spec.  Equal contexts are settled once and joined back.
+    attribute spec; ruling: decision rules in place of the built-in ones.  Equal contexts are settled once and joined back.
     Rows travel through the context rules with their short columns only.
     """
     marked = written(ctx.with_parent(written(ctx.mark_rows(items))))
     rows = contexts_of(marked)
     cats = written(catalogue_features(catalogue))
-    settled = select_codes(rows.select(*CONTEXT).distinct(), cats, spec)
+    settled = select_codes(rows.select(*CONTEXT).distinct(), cats, spec, ruling)
     settled = written(ctx.with_code_facts(settled, cats).withColumn(
         "decision", F.md5(F.to_json(F.struct(*CONTEXT)))))
     short = settled.select(*CONTEXT, "decision", "part", "rule", "code", "official", "conf", "note",

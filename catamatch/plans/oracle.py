@@ -171,8 +171,19 @@ SQL: dict[str, str] = {
           FROM g LEFT JOIN {op._recipe()} ON r.sym = upper(trim(g.symbol))),
         b AS (SELECT a.*, (SELECT min(s.step) FROM {op._STEPS} WHERE s.dev = a.dev AND s.step >= a.v) AS fit, (SELECT max(s.step) FROM {op._STEPS} WHERE s.dev = a.dev) AS top FROM a),
         c AS (SELECT *, CASE WHEN v IS NOT NULL THEN coalesce(fit, top) END AS step, coalesce(v > top, false) AS clamped FROM b),
-        e AS (SELECT *, coalesce({op.mapping(op._MOTOR, "dev || '|' || CASE WHEN volt = '400V' THEN '400V' ELSE '200V' END || '|' || " + op._kw_key('step') + " || '|' || CAST(contains(name, '支給') AS VARCHAR)")}, '') AS c0 FROM c)
-        SELECT name, symbol, kw AS given, volt, n, seq, CASE WHEN list_contains(known, c0) THEN c0 ELSE '' END AS code, q AS qty, CAST(step AS DOUBLE) AS step, clamped FROM e CROSS JOIN known""",
+        e AS (SELECT *, coalesce({op.mapping(op._MOTOR, "dev || '|' || CASE WHEN volt = '400V' THEN '400V' ELSE '200V' END || '|' || " + op._kw_key('step') + " || '|' || CAST(contains(name, '支給') AS VARCHAR)")}, '') AS c0 FROM c),
+        o AS (SELECT e.*, CASE WHEN list_contains(known, c0) THEN c0 ELSE '' END AS code, upper(trim(symbol)) AS sign,
+            count(*) OVER (PARTITION BY name, symbol, kw, volt) AS devices FROM e CROSS JOIN known)
+        SELECT o.name, symbol, kw AS given, o.volt, n, seq, o.code, q AS qty, CAST(step AS DOUBLE) AS step, clamped,
+          coalesce((SELECT arg_max(c.name, c.ord) FROM cat c WHERE c.code = o.code), '') AS part_name,
+          CASE WHEN dev IS NULL AND sign IN ({', '.join(repr(s) for s in rules.SYMBOL_RECIPES)}) THEN 'symbol ' || sign || ': supply only'
+            WHEN dev IS NULL THEN 'symbol ' || sign || ' unknown, check'
+            ELSE CASE dev WHEN 'direct' THEN 'direct starter' WHEN 'stardelta' THEN 'star-delta starter' ELSE 'inverter' END
+              || CASE WHEN seq > 0 THEN ' as bypass' ELSE '' END
+              || CASE WHEN v IS NULL THEN '' WHEN o.code = '' THEN ' ' || {op._kw_key('v')} || ' kW'
+                   WHEN devices = 1 THEN ' ' || {op._kw_key('v')} || ' -> ' || {op._kw_key('step')} || ' kW' ELSE ' ' || {op._kw_key('step')} || ' kW' END
+              || CASE WHEN q > 1 THEN ' x' || q ELSE '' END || CASE WHEN o.code = '' THEN ', check' ELSE '' END END AS part_note
+        FROM o""",
     "group_promotion": P + """ SELECT cname, volt, symbol, kw, grp, kind AS panel_kind, tb_control, cap_panel AS capacitor_panel, after_main, rule, code, conf FROM settled WHERE grp <> ''""",
     "candidate_topk": TEXTS + f" SELECT cname, volt, n_items, c.rn, c.ord, c.code, c.score FROM {_JOIN.format('ranked')}",
     "attr_score": TEXTS + f" SELECT cname, volt, c.rn, c.value_score AS score FROM {_JOIN.format('ranked')}",

@@ -472,8 +472,10 @@ def recipe_expand(s, d):
     df = df.withColumn("known", decide.known_codes(_cat(s, d)))
     kw = F.coalesce(F.nullif(F.col("kw"), F.lit("")), x.power_kw(F.col("name")))
     df = decide.with_recipe(df, "symbol", kw, F.col("volt"), F.col("name").contains("支給"), "known")
+    df = decide.with_part_notes(df.withColumn("names", decide.known_names(_cat(s, d))), "symbol", kw, "names")
     return df.select("name", "symbol", F.col("kw").alias("given"), "volt", "n", F.posexplode("parts").alias("seq", "p")).select(
-        "name", "symbol", "given", "volt", "n", "seq", "p.code", "p.qty", "p.step", "p.clamped")
+        "name", "symbol", "given", "volt", "n", "seq", "p.code", "p.qty", "p.step", "p.clamped",
+        F.col("p.name").alias("part_name"), F.col("p.note").alias("part_note"))
 
 
 @query

@@ -163,6 +163,8 @@ SYMBOL_RECIPES = {
     "L": (("inverter", 2),),
 }
 
+DEVICE_LABELS = {"direct": "direct starter", "stardelta": "star-delta starter", "inverter": "inverter"}
+
 # --- fixed values: ground relays, meters ------------------------------------------------
 LGR_PLAIN, LGR_TWO_STAGE = "46401", "46403"
 METER_CODES = "71001 71002 98802 98803 42001 42002 42003 42014 74275 74276".split()
@@ -238,6 +240,40 @@ def attr_spec() -> list[tuple[str, str, bool, str]]:
             for attrs, needed in ((required, True), (optional, False)) for attr in attrs]
 
 
+# --- decision rules, the first one that fits settles an item ------------------------------
+# rule, conditions ("!" in front: must not hold), code column, grade, note
+DECISION_RULES = (
+    ("R1", "main_terminal control_panel control_code", "control", NEARLY, "terminal block of a control panel main"),
+    ("R1", "main_terminal general_code", "general", NEARLY, "terminal block of a main breaker"),
+    ("R1", "main_terminal", "", CHECK, "terminal block of a main breaker, check the rating"),
+    ("R2", "terminal", "", NEARLY, "terminal block contained in the branch unit"),
+    ("R3", "surge_breaker !frame", "", CHECK, "breaker for a surge device without rating"),
+    ("R4", "breaker_part breaker_code", "breaker", SURE, "{place} {device} by panel kind and frame"),
+    ("R4", "breaker_part", "", CHECK, "breaker rating or panel kind to check"),
+    ("R5", "motor", "motor", CHECK, "motor set"),
+    ("R6", "ct high_band ct_high_code", "ct_high", NEARLY, "high-voltage CT by ratio"),
+    ("R6", "ct low_band ct_low_code", "ct_low", NEARLY, "low-voltage CT by ratio"),
+    ("R6", "ct", "", CHECK, "CT ratio or band to check"),
+    ("R7", "capacity step_fits step_equal", "step", SURE, "capacity equal"),
+    ("R7", "capacity step_fits", "step", NEARLY, "capacity raised to {step}"),
+    ("R7", "capacity largest_step", "", CHECK, "capacity above the largest, {largest}"),
+    ("R7", "capacity", "", CHECK, "no row of this capacity series"),
+    ("R8", "!part", "", CHECK, "part not identified, {candidates} candidates"),
+    ("R9", "disconnector three_poles three_pole_code", "three_pole", NEARLY, "three-pole standard disconnector"),
+    ("R10", "disconnector !poles any_pole_code", "any_pole", CHECK, "pole number to check"),
+    ("R11", "leak_relay !two_stage plain_relay_code", "plain_relay", SURE, "leak relay with detector"),
+    ("R11", "leak_relay two_stage two_stage_code", "two_stage_relay", NEARLY, "two-stage leak relay"),
+    ("R12", "!candidates", "", CHECK, "no catalogue row"),
+    ("R13", "vmc", "top", CHECK, "VMC read as VCS"),
+    ("R14", "one_candidate", "top", SURE, "only candidate"),
+    ("R15", "explained agreed", "top", NEARLY, "values agree"),
+    ("R15", "explained option_agreed", "top", NEARLY, "option agrees"),
+    ("R15", "explained standard", "top", NEARLY, "standard type"),
+    ("R15", "!explained", "top", CHECK, "not explained: {missing}"),
+    ("R15", "", "top", CHECK, "several candidates"),
+)
+
+
 def main_codes() -> dict[tuple[str, int], str]:
     """(panel kind, frame) -> code of the three-pole main breaker."""
     return {(kind, af): MAIN_BASE[kind] + FRAME_DIGIT[af] + MAIN_SUFFIX
