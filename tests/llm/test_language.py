@@ -71,3 +71,15 @@ def test_accepted_without_a_model(spark):
     kept = op.accepted(docs)
     assert kept.columns == docs.columns and rows(kept, "doc_id", "text") == [(0, "abc"), (4, "é 1"), (None, "x")]
     assert op.accepted(docs.limit(0)).collect() == []
+
+
+def test_very_long_and_tied_texts(spark):
+    """Long texts go through in pieces like short ones; equal texts under two languages get one of them, the same for both."""
+    docs = small(spark)
+    long = documents(spark, [SAMPLE["fr"] + " ", " ".join([SAMPLE["de"]] * 40_000)], langs=[None, None], ids=[1000, 1001])
+    got = {r["doc_id"]: r["lang_pred"] for r in op.identify(docs.unionByName(long)).collect()}
+    assert (got[1000], got[1001]) == ("fr", "de")
+    tied = documents(spark, ["same words here"] * 80, langs=["en", "de"] * 40)
+    preds = rows(op.identify(tied).select("lang_pred", "score").distinct(), "lang_pred", "score")
+    assert len(preds) == 1 and preds[0][0] in ("en", "de")
+    assert preds == rows(op.identify(tied.repartition(7)).select("lang_pred", "score").distinct(), "lang_pred", "score")

@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 from catamatch.llm.common import table
+from llm.cases import clashing, documents, rows
 from llm.test_line_dedup import brute as line_brute
 from llm.test_near_dedup import brute as near_brute
 from llm.test_packing import gapless
@@ -57,3 +58,26 @@ def test_stages_take_empty_tables(spark):
     docs = table(spark, SF, "documents").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, SF).collect() == []
+
+
+def test_stages_with_nulls_repeats_and_clashing_columns(spark):
+    """The defined results of the module's docstring, over a table that has every odd row at once."""
+    clean = [f"the garden number {i} has {i * 7} trees and {i * 13} stones by the house of {i * 3} people" for i in range(24)]
+    texts = [*clean, None, "", "12 ?!", clean[0], clean[1], "a second text under a used id with words of its own", clean[2], clean[2]]
+    ids = [*range(24), 24, 25, 26, 40, None, 3, None, 2]
+    docs = clashing(documents(spark, texts, langs=["en"] * len(texts), sources=[None, "a", "b", "a"] * 8, ids=ids))
+    columns, kept = docs.columns, []
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = pipeline.written(stage(spark, docs, SF))
+        assert docs.columns == columns, name
+        kept.append(rows(docs, "doc_id", "text"))
+    language, lines, near, _ = kept
+    odd = {None, "", "12 ?!"}
+    assert language == sorted([(d, t) for d, t in zip(ids, texts) if t not in odd], key=repr)
+    assert {(3, clean[3]), (3, "a second text under a used id with words of its own")} <= set(near)
+    left = [(d, t) for d, t in lines if t]
+    assert {t for _, t in near if t} == {t for _, t in left}
+    # repeated rows of the document that stays are that document
+    assert len({r for r in near if r[1]}) == len({t for _, t in left})
+    out = pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert out and gapless(out) >= 1

@@ -88,3 +88,16 @@ def test_random_texts_under_few_ids(spark):
         want = sorted(((None if i == 99 else i, *rest) for i, *rest in brute(texts, last, 12)), key=repr)
         got = op.substring_dedup(documents(spark, texts, ids=ids), window=12, gram=4)
         assert rows(got, "doc_id", "text", "n_words", "n_removed") == want
+
+
+def test_text_longer_than_a_piece(spark):
+    """A copy of an early passage far behind the first piece of hashed bytes is found, and nothing else goes."""
+    from catamatch.llm import words
+
+    fill = [f"w{i}" for i in range(words.PIECE // 4)]
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage), " ".join(fill + passage + ["end"])]
+    assert len(texts[1]) > words.PIECE
+    docs = documents(spark, texts, ids=[1, 2])
+    got = rows(op.substring_dedup(docs), "doc_id", "n_words", "n_removed")
+    assert got == [(1, 60, 0), (2, len(fill) + 61, 60)]

@@ -36,3 +36,16 @@ def test_reputation(spark):
     assert op.url_filter(pages.limit(0), labels).collect() == []
     repeated = op.url_filter(pages.limit(1).union(pages.limit(1)), labels)
     assert repeated.count() == 2
+
+
+def test_long_urls_null_ids_and_clashing_columns(spark):
+    long = "http://" + "a." * 30_000 + "net/" + "p" * 200_000
+    urls = [(None, long), (None, long), (1, "http://a.org/\nq?x"), (1, None), (None, None)]
+    pages = spark.createDataFrame(urls, "page_id bigint, url string")
+    for c in ("n", "bad", "rule", "verdict", "suffix", "domain", "score", "low", "labelled", "path"):
+        pages = pages.withColumn(c, op.F.lit("x"))
+    labels = spark.createDataFrame([(None, 1), (1, 0)], "page_id bigint, bad int").withColumn("host", op.F.lit("x"))
+    got = rows(op.url_filter(pages, labels), "page_id", "host", "path", "rule", "verdict")
+    host, path = "a." * 30_000 + "net", "/" + "p" * 200_000
+    assert got == sorted([(None, host, path, "net/", "block")] * 2 + [
+        (1, "a.org", "/\nq", None, "allow"), (1, "", "", None, "allow"), (None, "", "", None, "allow")], key=repr)
