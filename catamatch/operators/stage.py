@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_owned: ContextVar[list | None] = ContextVar("owned", default=None)
+
+
+@contextmanager
+def owned_tables(spark: SparkSession):
+    """Owns the tables that ``written`` makes inside the block and removes them at its end, also after an error.
+
+    Results built from them must be consumed (collected, or written elsewhere) inside the block.  An inner
+    block owns its own tables only; tables written outside any block stay until their folder's owner removes them.
+    """
+    paths: list[str] = []
+    token = _owned.set(paths)
+    try:
+        yield
+    finally:
+        _owned.reset(token)
+        conf = spark._jsc.hadoopConfiguration()
+        for path in paths:
+            made = spark._jvm.org.apache.hadoop.fs.Path(path)
+            made.getFileSystem(conf).delete(made, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Writes the table once and reads it back.
 
@@ -34,5 +58,7 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    if (paths := _owned.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

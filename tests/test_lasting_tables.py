@@ -1,5 +1,6 @@
 """Alias tables, results that outlive a run, and sinks that replace documents."""
 
+import pathlib
 import random
 
 import pyarrow.parquet as pq
@@ -11,6 +12,7 @@ from catamatch.functions import text as t
 from catamatch import rules
 from catamatch.operators import decide
 from catamatch.operators.dictionary import first_aliases
+from catamatch.operators.stage import owned_tables, written
 from catamatch.plans import views
 from catamatch.sources import documents
 from catamatch.sources.versioned import VersionedTable, process_new, replace_documents
@@ -157,3 +159,24 @@ def test_catalogue_arrays_keep_places_and_failures(spark):
         (1, 0, False, "1", "a\n}, {"), (1, 1, True, "", "7"), (1, 2, True, "", ""), (1, 3, True, "", '{"name":"n"}'),
         (1, 4, True, "", '{"code":"","name":"e"}'), (1, 5, False, "2", ""), (1, 6, False, "1", ""),
         (3, None, True, "", '{"code": "1"}'), (4, None, True, "", ""), (5, None, True, "", '[{"code"'), (6, None, True, "", "")], key=repr)
+
+
+def test_owned_tables_go_with_their_block(spark):
+    def held(df):
+        return {pathlib.Path(f.removeprefix("file://")).parent for f in df.inputFiles()}
+
+    outside = written(spark.range(3))
+    with owned_tables(spark):
+        first = written(spark.range(5))
+        with owned_tables(spark):
+            inner = held(written(first.where("id > 1")))
+            assert all(p.exists() for p in inner)
+        assert not any(p.exists() for p in inner)
+        mine = held(first)
+        assert first.count() == 5
+    assert mine and not any(p.exists() for p in mine)
+    with pytest.raises(ZeroDivisionError), owned_tables(spark):
+        late = held(written(spark.range(2)))
+        1 / 0
+    assert not any(p.exists() for p in late)
+    assert outside.count() == 3
