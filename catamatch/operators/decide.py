@@ -341,7 +341,8 @@ def select_codes(contexts: DataFrame, cats: DataFrame, spec: DataFrame | None =
     """
     df = evidence(contexts, cats).withColumn("known", known_codes(cats))
     codes = F.col("known")
-    df = with_motor_code(with_breaker_code(df, codes))
+    # the conditions name these columns many times; written, they are evaluated once
+    df = written(with_motor_code(with_breaker_code(df, codes)))
     by_symbol = F.coalesce(F.col("symbol"), F.lit("")) != ""
     kw = F.coalesce(F.nullif(F.col("kw"), F.lit("")), F.col("kw_text"))
     volt = F.coalesce(F.nullif(F.col("volt"), F.lit("")), F.lit("200V"))
