@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from catamatch.operators import candidates, decide, match, ordered, pipeline, stage
+from catamatch.operators import candidates, context, decide, match, ordered, pipeline, stage
 from catamatch.plans import queries
 
 SOURCE, TIMES = "/root/testdata/sf0.001", 40
@@ -34,7 +34,7 @@ def sizes(monkeypatch):
         seen.append((out.count(), out.columns))
         return out
 
-    for module in (candidates, decide, match, ordered, pipeline, queries):
+    for module in (candidates, context, decide, match, ordered, pipeline, queries):
         if hasattr(module, "written"):
             monkeypatch.setattr(module, "written", counted)
     return seen
@@ -56,3 +56,22 @@ def test_candidates_grow_with_texts_not_with_repeated_rows(spark, repeated, size
     assert max(c for c, _ in sizes) < n_rows
     features = [c for c, cols in sizes if "interval" in cols]
     assert features and max(features) <= n_rows // 3
+
+
+def test_contained_tokens_grow_with_names_not_with_repeated_rows(spark, repeated, sizes):
+    folder, n_rows, _ = repeated
+    n, diff = differences(spark, "token_contains_topk", folder)
+    assert n > 0 and diff == []
+    # every catalogue row was written, with all its grams, before
+    assert max(c for c, cols in sizes if "form" in cols) < n_rows
+
+
+@pytest.mark.parametrize("name", ["decision_list", "group_promotion"])
+def test_decisions_write_items_twice_at_most(spark, repeated, sizes, name):
+    folder, n_rows, n_items = repeated
+    n, diff = differences(spark, name, folder)
+    assert n > 0 and diff == []
+    # three times before, two of them with the forms of every text
+    long = [cols for c, cols in sizes if c > n_items // 2]
+    assert len(long) <= (2 if name == "decision_list" else 1) and not any("panel_form" in cols for cols in long)
+    assert max(c for c, cols in sizes if "interval" in cols) <= n_rows // 3
