@@ -46,7 +46,8 @@ class Encoder(dict):
     A Latin-1 text is lower-cased and split as the vocabulary says, and each distinct part goes
     through the merges once.  A text with any other character, or with a special token's string,
     goes through the whole tokenizer, chunk by chunk: its rules never look across a blank.
-    A memory is emptied when it holds ``KEPT_WORDS`` entries.
+    A memory of ``KEPT_WORDS`` parts is set aside when it is full and asked before the merges, until the next
+    one is full: parts in use return from it.  That of chunks is emptied.
     """
 
     def __init__(self, vocabulary: str):
@@ -54,26 +55,31 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.merges = self.tokenizer.model
-        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.forms = {c: as_bytes(chr(c))[0][0] for c in range(0x80, 0x100)}
+        self.before: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        form = part if part.isascii() else self.as_bytes(part)[0][0]
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(form)])
-        return self.keep(self, part, ids)
-
-    def keep(self, memory: dict, key: str, ids: bytes) -> bytes:
-        if len(key) <= KEPT_CHARS:
-            if len(memory) >= KEPT_WORDS:
-                memory.clear()
-            memory[key] = ids
+        ids = self.before.get(part)
+        if ids is None:
+            form = part if part.isascii() else part.translate(self.forms)
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(form)])
+        if len(part) <= KEPT_CHARS:
+            if len(self) >= KEPT_WORDS:
+                self.before = dict(self)
+                self.clear()
+            self[part] = ids
         return ids
 
     def chunk(self, chunk: str) -> bytes:
         ids = self.chunks.get(chunk)
         if ids is None:
             ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-            self.keep(self.chunks, chunk, ids)
+            if len(chunk) <= KEPT_CHARS:
+                if len(self.chunks) >= KEPT_WORDS:
+                    self.chunks.clear()
+                self.chunks[chunk] = ids
         return ids
 
     def ids(self, text: str) -> bytes:

@@ -82,3 +82,26 @@ def test_cases(spark):
     assert packing.pack(packing.token_pieces(docs.limit(0), VOCABULARY)).collect() == []
     whole = packing.sequences(packed).collect()
     assert sum(len(r["ids"]) for r in whole) == 4 * sum(r["length"] for r in got)
+
+
+def test_parts_in_use_outlive_a_full_memory(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 50)
+    encode, whole = packing.Encoder(VOCABULARY), packing.Encoder(VOCABULARY).tokenizer
+    asked = []
+
+    class Counted:
+        def __init__(self, merges):
+            self.merges = merges
+
+        def tokenize(self, form):
+            asked.append(form)
+            return self.merges.tokenize(form)
+
+    encode.merges = Counted(encode.merges)
+    for i in range(400):
+        text = f"the größe àþÿ° of q{chr(97 + i % 26)}z{chr(97 + i // 26)}x"
+        ids = np.frombuffer(encode.ids(text), "<u4").tolist()
+        assert ids == whole.encode(text, add_special_tokens=False).ids
+        assert len(encode) <= 50 and len(encode.before) <= 50
+    # it was read again after each of the emptyings before
+    assert asked.count("the") == 1
