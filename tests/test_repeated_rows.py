@@ -75,3 +75,20 @@ def test_decisions_write_items_twice_at_most(spark, repeated, sizes, name):
     long = [cols for c, cols in sizes if c > n_items // 2]
     assert len(long) <= (2 if name == "decision_list" else 1) and not any("panel_form" in cols for cols in long)
     assert max(c for c, cols in sizes if "interval" in cols) <= n_rows // 3
+
+
+@pytest.mark.parametrize("name", ["report_detail"])
+def test_reports_write_items_once(spark, repeated, sizes, name):
+    folder, _, n_items = repeated
+    n, diff = differences(spark, name, folder)
+    assert n > 0 and diff == []
+    # the graded rows were written too before, to be shuffled by panel after they had been shuffled by document
+    assert len([cols for c, cols in sizes if c > n_items // 2]) == 1
+
+
+def test_large_documents_are_graded_alike(spark, repeated, monkeypatch):
+    folder, _, _ = repeated
+    asked = []
+    monkeypatch.setattr(pipeline, "large_groups", lambda df, group: asked.append(group) or ordered.large_groups(df, group, 600))
+    n, diff = differences(spark, "report_detail", folder)
+    assert n > 0 and diff == [] and asked == [["doc_id"]]

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catamatch.operators import lookup, ordered
+from catamatch.operators import context, lookup, ordered
 from catamatch.operators.match import ranked_matches, token_matches
 
 
@@ -35,6 +35,17 @@ def test_ordered_forms_equal_plain_windows(spark):
         same(out, plain)
 
 
+def test_panels_in_one_window_absorb_like_joined_flags(spark):
+    rnd = random.Random(9)
+    some = lambda top: rnd.choice([None, *range(top)])
+    rows = [(some(6), some(3), i, rnd.choice([None, True, False, False]), rnd.random() < 0.5, "c", "n", "s", "") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, panel_idx int, item_idx long, built_in boolean, lone boolean, "
+                                     "code string, official string, conf string, note string")
+    joined, window = (context.absorb_detectors(df, small=small) for small in (False, True))
+    assert joined.where("absorbed").count() > 0
+    same(joined, window)
+
+
 def test_first_per_group_in_slices(spark):
     df = stream(spark)
     same(ordered.first_per_group(df, ["d"], ["i"], 5, slices=4), ordered.first_per_group(df, ["d"], ["i"], 5))
