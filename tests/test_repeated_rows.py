@@ -77,7 +77,7 @@ def test_decisions_write_items_twice_at_most(spark, repeated, sizes, name):
     assert max(c for c, cols in sizes if "interval" in cols) <= n_rows // 3
 
 
-@pytest.mark.parametrize("name", ["report_detail"])
+@pytest.mark.parametrize("name", ["report_detail", "review_diff"])
 def test_reports_write_items_once(spark, repeated, sizes, name):
     folder, _, n_items = repeated
     n, diff = differences(spark, name, folder)
@@ -86,6 +86,13 @@ def test_reports_write_items_once(spark, repeated, sizes, name):
     assert len([cols for c, cols in sizes if c > n_items // 2]) == 1
 
 
+def test_reviewed_rows_meet_no_load_details(spark, repeated):
+    folder, _, _ = repeated
+    plan = entry.queries()["review_diff"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    # its loads were listed and joined before, though the result shows none
+    assert "collect_list" not in plan
+
+
 def test_large_documents_are_graded_alike(spark, repeated, monkeypatch):
     folder, _, _ = repeated
     asked = []
