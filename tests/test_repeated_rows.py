@@ -58,6 +58,17 @@ def test_candidates_grow_with_texts_not_with_repeated_rows(spark, repeated, size
     assert features and max(features) <= n_rows // 3
 
 
+@pytest.mark.parametrize("name", ["residual_explain", "option_bonus", "first_match_in_ranked"])
+def test_candidates_are_taken_from_the_first_parts_of_each_description(spark, repeated, monkeypatch, name):
+    folder, n_rows, _ = repeated
+    given = []
+    monkeypatch.setattr(candidates, "first_alike", lambda cat, first=candidates.first_alike: given.append(cat.count()) or first(cat))
+    n, diff = differences(spark, name, folder)
+    assert n > 0 and diff == []
+    # every part was joined with its texts before
+    assert len(given) == 1 and given[0] <= candidates.KEPT * n_rows // TIMES
+
+
 def test_contained_tokens_grow_with_names_not_with_repeated_rows(spark, repeated, sizes):
     folder, n_rows, _ = repeated
     n, diff = differences(spark, "token_contains_topk", folder)

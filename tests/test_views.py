@@ -42,6 +42,20 @@ def test_catalogue_tests_no_code_on_the_parts(spark, tmp_path):
     assert len(re.findall(r"Relation \[.*p_brand", plan)) == 1
 
 
+def test_first_described_rows_are_those_of_the_sql(spark, tmp_path):
+    con = part_table(tmp_path, 3000)
+    (tmp_path / "unique").mkdir()
+    part = f"'{tmp_path}/unique/part.parquet'"
+    con.execute(f"COPY (SELECT * FROM '{tmp_path}/part.parquet' QUALIFY row_number() OVER (PARTITION BY p_partkey) = 1) TO {part} (FORMAT parquet)")
+    for k in (1, 3, 1000):
+        theirs = con.execute(f"""SELECT c.* FROM ({views.CATALOGUE.format(part=part)}) c JOIN {part} p ON p.p_partkey = c.ord
+            QUALIFY row_number() OVER (PARTITION BY p_type, p_size, p_brand, split_part(p_name, ' ', 2) ORDER BY ord) <= {k}""").fetchall()
+        mine = views.first_described(spark, str(tmp_path / "unique"), k)
+        assert sorted((tuple(r) for r in mine.collect()), key=str) == sorted(theirs, key=str) and len(theirs) > 20
+        # no part meets a text in a join
+        assert "Join" not in mine._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_long_expressions_are_compiled(spark):
     limit, d = "spark.sql.codegen.hugeMethodLimit", "/root/testdata/sf0.001"
     before = spark.conf.get(limit)
